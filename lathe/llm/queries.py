@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lathe.llm import decontaminate, secrets, simhash, topk, toxicity, urls
+import corpus_pipeline
+from lathe.llm import decontaminate, html, lines, mixing, secrets, simhash, substrings, topk, toxicity, urls
 from lathe.llm.common import table
 
 # The rules (verdict, host, path) of the op3 query.
@@ -21,6 +22,10 @@ def op1(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2(spark, sf_dir):
+    return substrings.substring_report(table(spark, sf_dir, "documents"))
+
+
 def op3(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -34,6 +39,18 @@ def op5(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6(spark, sf_dir):
+    return html.page_text_report(table(spark, sf_dir, "pages"))
+
+
+def op7(spark, sf_dir):
+    return mixing.mixing_report(table(spark, sf_dir, "documents"))
+
+
+def op8(spark, sf_dir):
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9(spark, sf_dir):
     return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,11 +62,16 @@ def op10(spark, sf_dir):
 def queries():
     return {
         "op1_benchmark_decontamination": op1,
+        "op2_substring_dedup": op2,
         "op3_url_filter": op3,
         "op4_exact_top_k": op4,
         "op5_secret_scan": op5,
+        "op6_html_extraction": op6,
+        "op7_mixing_to_targets": op7,
+        "op8_fuzzy_line_dedup": op8,
         "op9_toxicity": op9,
         "op10_simhash_near_dedup": op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -94,5 +116,26 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+# The fixed values of the mixing query: fraction 0.5, power 0.7, 10 cycles, seed 17.
+def _op7_sql() -> str:
+    topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in mixing.TOPICS)
+    words = r"CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT)"
+    parts = [
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, CASE {topic} ELSE 'prose' END AS topic, {words} AS n_tokens FROM documents)",
+        "c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS t, CAST(sum(n_tokens) AS DOUBLE) AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
+    ]
+    for x in ("source", "lang", "topic"):
+        parts.append(f"m_{x} AS MATERIALIZED (SELECT {x}, pow(sum(t), 0.7) / sum(pow(sum(t), 0.7)) OVER () AS target FROM c0 GROUP BY {x})")
+    n = 0
+    for _ in range(10):
+        for x in ("source", "lang", "topic"):
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, t, w * target / sum(w) OVER (PARTITION BY c.{x}) AS w FROM c{n} c JOIN m_{x} m ON c.{x} IS NOT DISTINCT FROM m.{x})")
+            n += 1
+    parts.append(f"f AS (SELECT source, lang, topic, w * (SELECT sum(t) FROM c0) / t AS weight FROM c{n})")
+    parts.append("j AS (SELECT d.*, coalesce(weight, 1.0) AS weight, least(1.0, 0.5 * coalesce(weight, 1.0)) AS p FROM d LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic)")
+    draw = "CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability, {draw} < p AS sampled FROM j"
+
+
 def oracle_sql():
-    return {"op1_benchmark_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}
+    return {"op7_mixing_to_targets": _op7_sql(), "op1_benchmark_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}
