@@ -73,19 +73,19 @@ class Model:
         return score
 
 
-def train(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray, bits: int, epochs: int = 150, rate: float = 0.15, l2: float = 2e-6, z_least: float = 4.0) -> Model:
+def train(numbers: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray, bits: int, epochs: int = 150, rate: float = 0.15, l2: float = 2e-6, z_least: float = 4.0) -> Model:
     """Fit sentence weights by Adam on the document log-loss of ``1 - prod(1 - p_sentence)``.
 
-    bags: each document's sentences as arrays of feature numbers. weights: how many documents each one stands for. Only
-    features that toxic documents hold more often than clean ones, by ``z_least`` standard errors, get a weight.
+    numbers, sentence: each feature and the sentence that holds it; doc: each
+    sentence's document. weights: how many documents each one stands for. Only
+    features that toxic documents hold more often than clean ones, by ``z_least``
+    standard errors, get a weight.
     """
-    sizes = np.array([len(b) for b in bags], np.int64)
-    flat = [s for b in bags for s in b]
-    lengths = np.array([len(s) for s in flat], np.int64)
-    numbers = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    sentence = np.repeat(np.arange(len(flat)), lengths)
-    doc, y = np.repeat(np.arange(len(bags)), sizes), labels.astype(float)
-    held = np.unique(doc[sentence] << bits | numbers)
+    n_sentences, n_docs, y = len(doc), len(labels), labels.astype(float)
+    held = doc[sentence].astype(np.int64)
+    held <<= bits
+    held |= numbers
+    held = np.unique(held)
     toxic = y[held >> bits] == 1
     size, n1, n0 = 1 << bits, max(1.0, y.sum()), max(1.0, (1 - y).sum())
     in_toxic, in_clean = np.bincount(held[toxic] & (size - 1), minlength=size), np.bincount(held[~toxic] & (size - 1), minlength=size)
@@ -98,9 +98,9 @@ def train(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray,
     w, b = np.zeros(len(used)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = b + np.bincount(sentence, w[index], len(flat))
+        z = b + np.bincount(sentence, w[index], n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags))
+        log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs)
         prob = np.clip(-np.expm1(log_clean), 1e-9, 1 - 1e-9)
         g = share[doc] * np.where(y[doc] == 1, -(1 - prob[doc]) / prob[doc] * p, p)
         gw, gb = np.bincount(index, g[sentence], len(used)) + l2 * w, g.sum()
@@ -117,7 +117,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 4000, max_chars: int = 32_000_000, bits: int = 18, epochs: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2000, max_chars: int = 16_000_000, bits: int = 18, epochs: int = 150) -> Model:
     """Train on a bounded sample: at most ``max_rows`` labelled documents of each class, by hashed id, and ``max_chars`` characters.
 
     Rows of the held-out fold are left out. A document labelled more than once
@@ -150,21 +150,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     if words:
                         f += [x for w in set(words) for x in features(w, bits)]
                         at.append(len(f))
-                feats.append(f)
-                ends.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["y", "f", "at"])
-
-    bags, ys = [], []
-    for r in sample.select("y", "text", "doc_id").orderBy("doc_id", "text").select("y", "text").mapInArrow(encode, "y int, f array<int>, at array<int>").toLocalIterator():
-        f = np.array(r.f, np.int64)
-        if len(r.at) > 1:
-            bags.append([f[a:b] for a, b in zip(r.at, r.at[1:])])
+                feats.append(np.array(f, np.int32).tobytes())
+                ends.append(np.diff(at).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.binary()), pa.array(ends, pa.binary())], names=["y", "f", "sizes"])
+
+    numbers, sizes, counts, ys = [], [], [], []
+    for r in sample.select("y", "text", "doc_id").orderBy("doc_id", "text").select("y", "text").mapInArrow(encode, "y int, f binary, sizes binary").toLocalIterator():
+        if r.sizes:
+            numbers.append(np.frombuffer(r.f, np.int32))
+            sizes.append(np.frombuffer(r.sizes, np.int32))
+            counts.append(len(sizes[-1]))
             ys.append(r.y)
     y = np.array(ys)
     if len(set(ys)) < 2:
         return Model(np.zeros(1 << bits, np.float32), -20.0, bits)
     stand = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    return train(bags, y, stand, bits, epochs)
+    lengths = np.concatenate(sizes)
+    sentence, doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.repeat(np.arange(len(ys), dtype=np.int32), counts)
+    flat = np.concatenate(numbers)
+    del numbers, sizes
+    return train(flat, sentence, doc, y, stand, bits, epochs)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", at_least: float = 0.3, name: str = "toxicity") -> DataFrame:
