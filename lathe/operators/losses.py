@@ -147,6 +147,13 @@ def geo_mean_loss(df: DataFrame, low: float = 0.2, high: float = 0.2) -> DataFra
     return df.select((-(total(lambda x: x["adv"]) / n) * F.exp(total(clipped) / n)).alias("l")).agg(F.avg("l").alias("loss"))
 
 
+def flow_loss(df: DataFrame, clip: float = 0.2, clip_high: float = 5.0) -> DataFrame:
+    """One row: ``loss`` over all steps of flow samples; advantages are held within +-``clip_high``, masks aren't used."""
+    x = df.select(F.explode(F.arrays_zip(F.col("new_lp").alias("new"), F.col("old_lp").alias("old"), F.col("adv").alias("adv"))).alias("x")).select("x.*")
+    a, r = clamp(F.col("adv"), -clip_high, clip_high), F.exp(F.col("new") - F.col("old"))
+    return x.agg(F.avg(F.greatest(-a * r, -a * clamp(r, 1 - clip, 1 + clip))).alias("loss"))
+
+
 def tokens(df: DataFrame) -> DataFrame:
     """Long form of the tokens under the mask: ``sid, pos, new, old, adv``."""
     zipped = F.arrays_zip(F.col("new_lp").alias("new"), F.col("old_lp").alias("old"), F.col("adv").alias("adv"), F.col("mask").alias("m"))
