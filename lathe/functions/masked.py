@@ -131,3 +131,38 @@ def kl_penalty(logprob: Column, ref: Column, kind: str) -> Column:
 def clamp(x: Column, low, high) -> Column:
     low, high = (F.lit(float(v)) if isinstance(v, (int, float)) else v for v in (low, high))
     return F.least(F.greatest(x, low), high)
+
+
+def mismatches(a: Column, b: Column, mask: Column) -> Column:
+    """Positions under the mask where two token lists differ."""
+    return F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: F.when(x.eqNullSafe(y), 0).otherwise(1)), mask, lambda d, m: d * m), F.lit(0), lambda s, x: s + x)
+
+
+def left_truncated_targets(mask: Column, targets: Column, length: int) -> Column:
+    """Per-response-token targets of the last ``length`` tokens.
+
+    A target belongs to the position before its token, so the first token kept
+    loses its target along with those cut off.
+    """
+    kept = F.slice(mask, F.greatest(F.size(mask) - length, F.lit(0)) + 1, F.lit(length))
+    count = lambda m: F.aggregate(m, F.lit(0), lambda a, x: a + x)
+    start = count(mask) - count(kept) + F.get(kept, F.lit(0))
+    return F.slice(targets, start + 1, count(kept) - F.get(kept, F.lit(0)))
+
+
+def response_predictions(values: Column, prompt_length: Column, response_length: Column) -> Column:
+    """Of values over prompt and response: those that predict the response, one place to the left of its tokens."""
+    return F.slice(values, prompt_length, response_length)
+
+
+def resample_weight(score: Column, method: str, power: float = 2.0, low: Column | None = None, high: Column | None = None) -> Column:
+    """Weight of a sample when a batch is drawn anew: a power of its size, or by being the extreme."""
+    if method == "pow":
+        w = F.pow(F.abs(score), F.lit(power))
+    elif method == "max_min":
+        w = F.when((score == high) | (score == low), 1.0).otherwise(0.0)
+    elif method == "max_random":
+        w = F.when(score == high, 0.4).otherwise(0.1)
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    return w + 1e-8

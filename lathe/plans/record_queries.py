@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lathe.functions import masked
+from lathe.functions import masked, tools
 from lathe.functions import text as T
 from lathe.operators import correction, evaluation, losses, records, replay, rows
 from lathe.plans.adapters import SAMPLES, TOKENS, samples, table, trajectories
@@ -215,3 +215,47 @@ def question_keys(spark, sf_dir):
     q = F.concat(F.lit("  "), F.upper("p_name"), F.lit("  $x^{"), (F.col("p_size") % 10).cast("string"), F.lit("}$? "))
     p = table(spark, sf_dir, "part").where("p_size < 10")
     return p.select(F.col("p_partkey").alias("id"), T.question_key(q).alias("key"))
+
+
+@query("tool_call_parse_xml", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'find' ELSE '' END AS names, CASE WHEN p_size % 2 = 0 THEN '{\"n\": ' || p_size || ', \"q\": \"' || p_name || '\", \"deep\": true, \"opt\": null}' END AS arguments FROM part")
+def tool_call_parse_xml(spark, sf_dir):
+    body = F.concat(F.lit("<tool_call>\n<function=find><parameter=n>"), F.col("p_size").cast("string"), F.lit("</parameter><parameter=q>\n"), "p_name", F.lit("\n</parameter><parameter=deep>TRUE</parameter><parameter=opt>null</function>"))
+    text = F.when(F.col("p_size") % 2 == 0, body).otherwise(F.col("p_name"))
+    calls = tools.xml_tool_calls({"find": {"n": "integer", "q": "string", "deep": "bool", "opt": "object"}})(text)
+    return table(spark, sf_dir, "part").withColumn("c", calls).select(F.col("p_partkey").alias("id"), F.array_join(F.transform("c", lambda x: x["name"]), ",").alias("names"), F.get("c", F.lit(0))["arguments"].alias("arguments"))
+
+
+@query("tool_call_parse_channels", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'find={' || p_size || '};get={}' ELSE '' END AS calls FROM part")
+def tool_call_parse_channels(spark, sf_dir):
+    call = lambda f, a: F.concat(F.lit(f"<|start|>assistant<|channel|>commentary to=functions.{f} <|constrain|>json<|message|>"), a, F.lit("<|call|>"))
+    think = F.lit("<|channel|>analysis<|message|>to=functions.no<|end|>")
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(think, call("find", F.concat(F.lit("{"), F.col("p_size").cast("string"), F.lit("}"))), call("get", F.lit("{}")))).otherwise(think)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(F.transform(tools.channel_calls(text), lambda c: F.concat(c["name"], F.lit("="), c["arguments"])), ";").alias("calls"))
+
+
+@query("distill_left_truncation", "WITH s AS (SELECT event_id, event_id % 7 + 2 AS p, event_id % 5 + 1 AS r FROM events), t AS (SELECT *, least(r, greatest(4 - 0, 0)) AS kept FROM s) SELECT event_id, CASE WHEN p + r <= 4 THEN r WHEN r >= 4 THEN 3 ELSE r END AS n_targets, CASE WHEN p + r <= 4 THEN 1 WHEN r >= 4 THEN r - 2 ELSE 1 END AS first_target FROM t")
+def distill_left_truncation(spark, sf_dir):
+    p, r = (F.col("event_id") % 7 + 2).cast("int"), (F.col("event_id") % 5 + 1).cast("int")
+    mask = F.concat(F.array_repeat(F.lit(0), p), F.array_repeat(F.lit(1), r))
+    kept = masked.left_truncated_targets(mask, F.sequence(F.lit(1), r), 4)
+    return table(spark, sf_dir, "events").select("event_id", F.size(kept).cast("long").alias("n_targets"), F.get(kept, F.lit(0)).cast("long").alias("first_target"))
+
+
+@query("token_list_difference", f"WITH {TOKENS} SELECT sid, sum(CASE WHEN old_lp IS DISTINCT FROM new_lp THEN mask ELSE 0 END) AS n FROM tok GROUP BY sid")
+def token_list_difference(spark, sf_dir):
+    return trajectories(spark, sf_dir).select("sid", masked.mismatches(F.col("old_lp"), F.col("new_lp"), F.col("mask")).cast("long").alias("n"))
+
+
+@query("resample_weights", off_grid(f"WITH {SAMPLES}, b AS (SELECT max(score) AS hi, min(score) AS lo FROM samples) SELECT uid, sample_index, round(score * score + 1e-8, 7) AS pow, CASE WHEN score = hi OR score = lo THEN 1.0 ELSE 0.0 END + 1e-8 AS max_min, CASE WHEN score = hi THEN 0.4 ELSE 0.1 END + 1e-8 AS max_random FROM samples, b"))
+def resample_weights(spark, sf_dir):
+    from lathe.operators.advantages import with_totals
+
+    s = with_totals(samples(spark, sf_dir), hi=F.max("score"), lo=F.min("score"))
+    w = lambda m: masked.resample_weight(F.col("score"), m, low=F.col("lo"), high=F.col("hi"))
+    return rounded(s.select("uid", "sample_index", w("pow").alias("pow"), w("max_min").alias("max_min"), w("max_random").alias("max_random")), "pow", digits=7)
+
+
+@query("response_prediction_shift", f"WITH {TOKENS}, n AS (SELECT sid, pos, old_lp, count(*) OVER (PARTITION BY sid) AS n FROM tok) SELECT sid, count(*) AS n, round(sum(old_lp), 6) + 0.0 AS s FROM n WHERE pos >= 2 AND pos < n - 1 GROUP BY sid")
+def response_prediction_shift(spark, sf_dir):
+    out = masked.response_predictions(F.col("old_lp"), F.lit(3), F.size("old_lp") - 3)
+    return trajectories(spark, sf_dir).select("sid", F.size(out).cast("long").alias("n"), (F.round(masked.total(out), 6) + F.lit(0.0)).alias("s"))
