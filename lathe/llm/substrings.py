@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.llm.common import sized_broadcast, stored
+from lathe.llm.common import stored
 
 TRIGGER = 16  # bytes under the rolling hash
 BASE = 0x9E3779B97F4A7C15
@@ -215,7 +215,7 @@ def by_strings(contexts: DataFrame, length: int) -> DataFrame:
     return strings.where("n = 1").join(again, ["h1", "h2"], "left_semi").select("r1", "r2", "s", (F.col("s") + length).alias("e"))
 
 
-def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int, broadcast_rows: int) -> DataFrame:
+def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int) -> DataFrame:
     """Byte ranges ``r1, r2, s, e`` covered by strings of ``length`` bytes that start more than once. rows: ``r1, r2, text``.
 
     1. A bucket met once holds no repeat; the rest go on.
@@ -225,14 +225,12 @@ def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int, broadc
     """
     buckets = stored(contexts_of(rows, length, reach).groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
     met = stored(contexts_of(rows, length, reach).join(buckets, "k"))
-    names = stored(met.groupBy("k", "c1", "c2").agg(F.count(F.lit(1)).alias("n")))
+    one = F.struct("r1", "r2", "low", "size", "at")
+    names = stored(met.groupBy("k", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("x")))
     shared = stored(names.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"))
     full = stored(names.where("n > 1").select("c1", "c2"))
     whole = met.join(full, ["c1", "c2"], "left_semi").select("r1", "r2", F.col("low").alias("s"), (F.col("low") + F.col("size")).alias("e"))
-    open_names = stored(names.join(shared, "k").select("c1", "c2", "n", "m"))
-    candidates = met.join(open_names, ["c1", "c2"])
-    one = F.struct("r1", "r2", "low", "size", "at")
-    spots = stored(candidates.groupBy("k", "c1", "c2", "n", "m").agg(F.min(one).alias("x")).select("k", "n", "m", "x.*"))
+    spots = names.join(shared, "k").select("k", "n", "m", "x.*")
     by_text = stored(spots.groupBy("r1", "r2").agg(F.collect_list(F.struct("k", "n", "m", "low", "size", "at")).alias("spots")))
 
     def fetch(batches):
@@ -244,8 +242,7 @@ def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int, broadc
             kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(8)], names=["k", "n", "m", "r1", "r2", "low", "at", "bytes"])
 
-    near = sized_broadcast(by_text, broadcast_rows)
-    data = rows.join(near, ["r1", "r2"]).select("r1", "r2", "text", "spots").mapInArrow(fetch, "k long, n long, m long, r1 long, r2 long, low int, at int, bytes binary")
+    data = rows.join(by_text.hint("merge"), ["r1", "r2"]).select("r1", "r2", "text", "spots").mapInArrow(fetch, "k long, n long, m long, r1 long, r2 long, low int, at int, bytes binary")
     data = stored(data)
     part = in_buckets(data.where(F.col("m") <= crowd), length)
     crowded = data.where(F.col("m") > crowd)
@@ -254,7 +251,7 @@ def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int, broadc
     return whole.unionByName(part)
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, reach: int = 256, crowd: int = 500, broadcast_rows: int = 50_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, reach: int = 256, crowd: int = 500) -> DataFrame:
     """Adds ``n_bytes``, ``removed`` (flat byte offsets of the maximal removed runs) and ``kept`` (the remaining bytes) to every row.
 
     A byte goes if a ``length``-byte string that also starts anywhere else covers
@@ -269,9 +266,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     kept = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
     keyed = docs.select(*kept, F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("_r1"), F.xxhash64(F.lit(2), F.col(text), F.col(doc_id)).alias("_r2"))
     rows = keyed.where(F.octet_length(text) >= length).select(F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col(text).alias("text"))
-    found = repeated_ranges(rows, length, reach, crowd, broadcast_rows)
+    found = repeated_ranges(rows, length, reach, crowd)
     runs = stored(found.distinct().groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.collect_list(F.struct("s", "e")).alias("_runs")))
-    joined = keyed.join(sized_broadcast(runs, broadcast_rows), ["_r1", "_r2"], "left").select(*kept, "_runs")
+    joined = keyed.join(runs.hint("merge"), ["_r1", "_r2"], "left").select(*kept, "_runs")
 
     def run(batches):
         for batch in batches:
