@@ -15,7 +15,7 @@ from lathe.llm.common import sized_broadcast, stored
 from lathe.llm.urls import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas")}
 # Elements that start and end a block of text.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center nav header footer aside form fieldset dialog menu hr head search".split())
@@ -47,15 +47,14 @@ def attributes(raw: str) -> tuple[str, bool]:
     classes, chrome = "", False
     if raw and not raw.isspace():
         for m in ATTRIBUTE.finditer(raw):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name == "hidden":
-                chrome = chrome or not m[2]
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name not in ("class", "id", "role"):
                 continue
-            for token in value.lower().split():
+            for token in value.split():
                 parts = SPLIT_NAME.split(token)
                 chrome = chrome or (parts[0] not in STATES and not CHROME_WORDS.isdisjoint(parts))
             if name == "class":
-                classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()}))
+                classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.split()}))
     return classes, chrome
 
 

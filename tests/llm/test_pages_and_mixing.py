@@ -28,6 +28,11 @@ def test_extraction_leaves_page_chrome_out(spark):
     assert html.page_text_report(df.limit(0)).count() == 0
 
 
+def test_attributes_are_read_by_name():
+    page = '<body><div style="overflow:hidden" data-id="sidebar" title="comments"><p>kept</p><div role="complementary">gone</div><DIV CLASS=ads>gone</DIV></div>'
+    assert html.extract(page, html.best_container(page)) == "kept"
+
+
 def test_hosts_agree_on_one_path(spark):
     # one page whose comment block outweighs its article follows the path that its host voted for
     good = "<body><div class='story{}'><p>{}</p></div><div class='box'><p>{}</p></div></body>"
