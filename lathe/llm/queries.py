@@ -95,6 +95,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+# Bytes are pairs of hex digits; a run goes on while the next repeated string starts within or right after the last one.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM s GROUP BY doc_id, run),
+seg AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM runs),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS rest, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM seg JOIN d ON seg.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 # The tables hold no redirect or canonical link, so here the rules alone decide.
 OP3_SQL = f"""
 WITH u AS (
@@ -116,6 +131,30 @@ SELECT * FROM r WHERE rank <= 10
 """
 
 
+def _op5_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, lang, '{kind}' AS kind, {i} AS o, {least} AS least, regexp_split_to_array(t, '{quoted(p)}') AS parts, regexp_extract_all(t, '{quoted(p)}', 1) AS whole, regexp_extract_all(t, '{quoted(p)}', {g}) AS vals FROM d"
+        for i, (kind, p, g, least) in enumerate([*secrets.BASE, secrets.OPAQUE])
+    )
+    return f"""
+WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+k AS (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM m),
+x AS (SELECT doc_id, source, lang, kind, o, least, whole[i] AS w, vals[i] AS v,
+  CAST(list_sum(list_transform(list_slice(parts, 1, i), lambda p: length(p))) + coalesce(list_sum(list_transform(list_slice(whole, 1, i - 1), lambda p: length(p))), 0) AS BIGINT) AS s FROM k),
+y AS (SELECT *, s + length(w) AS e FROM x WHERE length(v) >= least),
+base AS (SELECT * FROM y WHERE kind <> 'opaque'),
+a AS (SELECT * FROM base UNION ALL SELECT * FROM y WHERE kind = 'opaque' AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = y.doc_id AND b.s < y.e AND y.s < b.e)),
+u AS (SELECT v, count(DISTINCT source) <= 1 AND count(DISTINCT source || '/' || lang) <= 1 AS live FROM a GROUP BY v),
+f AS (SELECT a.doc_id, s, o, live, CASE WHEN kind = 'opaque' THEN 'owned' ELSE kind END AS kk, CASE WHEN kind = 'opaque' THEN 'owned' ELSE kind END || ':' || s || ':' || e AS span FROM a JOIN u ON a.v = u.v WHERE live OR kind <> 'opaque')
+SELECT d.doc_id, count(*) FILTER (kk = 'assign') AS n_assign, count(*) FILTER (kk = 'access') AS n_access, count(*) FILTER (kk = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY s, o) FILTER (kk <> 'owned'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, o), '') AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id"""
+
+
 # The fixed values of the mixing query: fraction 0.5, power 0.7, 10 cycles, seed 17.
 def _op7_sql() -> str:
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{t}'" for t, p in mixing.TOPICS)
@@ -138,4 +177,4 @@ def _op7_sql() -> str:
 
 
 def oracle_sql():
-    return {"op7_mixing_to_targets": _op7_sql(), "op1_benchmark_decontamination": OP1_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}
+    return {"op5_secret_scan": _op5_sql(), "op7_mixing_to_targets": _op7_sql(), "op1_benchmark_decontamination": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_exact_top_k": OP4_SQL}
