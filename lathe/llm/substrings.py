@@ -197,22 +197,74 @@ def intervals(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds[i]) for i in range(4)], names=["r1", "r2", "s", "e"])
 
 
-def by_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for the contexts of crowded buckets: their strings are dealt out one by one, by 128-bit hash."""
+BLOCK = "r1 long, r2 long, low int, at int, n long, a int, c1 long, c2 long, s1 long, s2 long"
+SPOT = ["r1", "r2", "low"]
+
+
+def blocks_of(contexts: DataFrame, size: int, length: int) -> DataFrame:
+    """A row for each open block of each context: the name of what all its strings share, and of all its bytes.
+
+    contexts: ``r1, r2, low, at, bytes`` and ``open``, an array of struct(a, n). A block
+    holds the strings that start ``a`` to ``a + size - 1`` bytes before the trigger; one that
+    reaches past the context's strings has no second name.
+    """
 
     def run(batches):
+        def name(x):
+            v = xxhash.xxh3_128_intdigest(x)
+            return v >> 64, v & (1 << 64) - 1
+
+        def packed(out):
+            pick = lambda i, kind: pa.array([r[i] for r in out], kind)
+            longs = [pa.array([None if r[i] is None else r[i] - (1 << 64) * (r[i] >> 63) for r in out], pa.int64()) for i in range(6, 10)]
+            return pa.RecordBatch.from_arrays([pick(0, pa.int64()), pick(1, pa.int64()), pick(2, pa.int32()), pick(3, pa.int32()), pick(4, pa.int64()), pick(5, pa.int32()), *longs], names=["r1", "r2", "low", "at", "n", "a", "c1", "c2", "s1", "s2"])
+
         for batch in batches:
-            n, r1, r2, low, _, data = (c.to_pylist() for c in batch.columns)
-            for i, x in enumerate(data):
-                count = len(x) - length + 1
-                names = [xxhash.xxh3_128_intdigest(x[s : s + length]) for s in range(count)]
-                columns = [pa.array(np.array([v >> 64 for v in names], np.uint64).view(np.int64)), pa.array(np.array([v & (1 << 64) - 1 for v in names], np.uint64).view(np.int64))]
-                columns += [pa.array(np.full(count, v, np.int64)) for v in (n[i], r1[i], r2[i])] + [pa.array(np.arange(low[i], low[i] + count, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "n", "r1", "r2", "s"])
+            out = []
+            for r1, r2, low, c, data, todo in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                least = c - (len(data) - length)
+                for x in todo:
+                    a, tag = x["a"], b"%d:%d:" % (x["a"], size)
+                    if a <= c and a + size - 1 >= least:
+                        whole = name(tag + data[c - a - size + 1 : c - a + length]) if a >= least and a + size - 1 <= c else (None, None)
+                        out.append((r1, r2, low, c, x["n"], a, *name(tag + data[c - a : c - a - size + 1 + length]), *whole))
+            yield packed(out)
+
+    return contexts.select(*SPOT, "at", "bytes", "open").mapInArrow(run, BLOCK)
+
 
-    strings = contexts.select("n", "r1", "r2", "low", "at", "bytes").mapInArrow(run, "h1 long, h2 long, n long, r1 long, r2 long, s int")
-    again = stored(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("h1", "h2"))
-    return strings.where("n = 1").join(again, ["h1", "h2"], "left_semi").select("r1", "r2", "s", (F.col("s") + length).alias("e"))
+def by_blocks(contexts: DataFrame, length: int, reach: int, cut: int = 4) -> DataFrame:
+    """The same for the contexts of crowded buckets, by blocks of strings that are cut until they are settled.
+
+    A block whose strings share bytes that no other block has is done: nothing in
+    it repeats. One whose bytes another block has repeats whole. The rest are cut
+    in ``cut``, down to single strings; of blocks with the same bytes one goes on for
+    all, so that others can still meet it. Every round counts by hash, so no
+    crowd meets in one task and a context makes few rows a round.
+    """
+    size = 1
+    while size < reach:
+        size *= cut
+    todo = contexts.withColumn("open", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("n"))))
+    found = None
+    while True:
+        blocks = stored(blocks_of(todo, size, length))
+        cores = stored(blocks.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("c1", "c2"))
+        live = stored(blocks.join(cores, ["c1", "c2"], "left_semi"))
+        same = stored(live.where("s1 is not null").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*SPOT, "a")).alias("x")).where("m > 1"))
+        again = live.where("n = 1").join(same.select("s1", "s2"), ["s1", "s2"], "left_semi")
+        part = stored(again.select("r1", "r2", (F.col("low") + F.col("at") - F.col("a") - size + 1).alias("s"), (F.col("low") + F.col("at") - F.col("a") + length).alias("e")))
+        found = part if found is None else found.unionByName(part)
+        if size == 1:
+            return found
+        size //= cut
+        single = live.join(same.select("s1", "s2"), ["s1", "s2"], "left_anti").select(*SPOT, "a", "n")
+        stand = same.select("x.*", F.lit(2).cast("long").alias("n"))
+        parts = F.explode(F.array(*(F.struct((F.col("a") + i * size).alias("a"), F.col("n").alias("n")) for i in range(cut)))).alias("x")
+        rest = stored(single.unionByName(stand).select(*SPOT, parts).groupBy(*SPOT).agg(F.collect_list("x").alias("open")))
+        if rest.isEmpty():
+            return found
+        todo = contexts.join(rest, SPOT)
 
 
 def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int) -> DataFrame:
@@ -247,7 +299,7 @@ def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int) -> Dat
     part = in_buckets(data.where(F.col("m") <= crowd), length)
     crowded = data.where(F.col("m") > crowd)
     if not crowded.isEmpty():
-        part = part.unionByName(by_strings(crowded, length))
+        part = part.unionByName(by_blocks(crowded, length, reach))
     return whole.unionByName(part)
 
 
@@ -261,7 +313,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     repeat one another are each other's copies. Columns named like the new ones
     are replaced.
 
-    ``reach`` bounds phrases; a bucket of more than ``crowd`` different contexts is dealt out by strings.
+    ``reach`` bounds phrases; a bucket of more than ``crowd`` different contexts is settled by blocks, spread over all tasks.
     """
     kept = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
     keyed = docs.select(*kept, F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("_r1"), F.xxhash64(F.lit(2), F.col(text), F.col(doc_id)).alias("_r2"))
