@@ -70,11 +70,13 @@ def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: st
     A null dimension is a value of its own. Null and empty texts have no tokens: a
     cell without tokens has weight 1. Rows that share a doc_id share their draw;
     null ids draw as one. An empty table gives none. Columns named like the new
-    ones are replaced; names of ``dims`` in ``docs`` stay as they are.
+    ones are replaced; a margin that isn't a column of ``docs`` becomes one.
     """
-    new = {f"_d{i}": F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for i, c in enumerate(dims.values())}
-    keys = list(new)
-    out = docs.drop("n_tokens", "weight", "probability", "sampled").withColumns({**new, "n_tokens": word_count(F.col(text))})
+    base = docs.drop("n_tokens", "weight", "probability", "sampled")
+    made = {name: c for name, c in dims.items() if name not in base.columns}
+    base = base.withColumns({**made, "n_tokens": word_count(F.col(text))})
+    keys = [f"_d{i}" for i in range(len(dims))]
+    out = base.withColumns({k: F.coalesce(F.concat(F.lit("="), (F.col(name) if name in made else c).cast("string")), F.lit("-")) for k, (name, c) in zip(keys, dims.items(), strict=True)})
     cells = stored(out.groupBy(*keys).agg(F.sum("n_tokens").alias("t")).where("t > 0"))
     margins = {}
     for key, name in zip(keys, dims, strict=True):
@@ -92,6 +94,5 @@ def document_dims(text: str = "text") -> dict[str, Column]:
 
 def mixing_report(docs: DataFrame) -> DataFrame:
     """The rows of ``op7``: one for every document row."""
-    dims = document_dims()
-    found = mix(docs.select("doc_id", "source", "lang", "text"), dims).withColumn("topic", dims["topic"])
+    found = mix(docs.select("doc_id", "source", "lang", "text"), document_dims())
     return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
