@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lathe.operators.rows import numbered
+
 
 def group_stats(df: DataFrame, uid: str = "uid", score: str = "score", floor: float | None = None) -> DataFrame:
     """Adds ``g_n``, ``g_mean``, ``g_std``: a single sample has mean 0 and std 1; the variance is held above ``floor``."""
@@ -23,10 +25,8 @@ def keep_informative(df: DataFrame, uid: str = "uid", metric: str = "score") ->
 
 
 def group_number(df: DataFrame, label: str, name: str = "group") -> DataFrame:
-    """Adds dense numbers from 0 by label, from the distinct labels only."""
-    labels = df.select(label).distinct()
-    numbered = labels.withColumn(name, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(numbered, label)
+    """Adds dense numbers from 0 by label: positions of the distinct labels, found without one task seeing them all."""
+    return df.join(numbered(df.select(label).distinct(), [label], name), label)
 
 
 def majority(df: DataFrame, keys: list[str], vote: str, value: str, order: list[str]) -> DataFrame:
