@@ -11,36 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.llm.common import sized_broadcast, stored
+from lathe.llm.common import let, sized_broadcast, stored
 from lathe.llm.components import connected_components
 
 #: A-Z is lower-cased, digits become 0, other ASCII becomes a space; beyond ASCII bytes stay.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 for b in range(256))
 
 
-def normal_words(line: str) -> list[bytes]:
-    return line.encode("utf-8", "surrogatepass").translate(NORMAL).split()
+def normal_words(line: str | bytes) -> list[bytes]:
+    return (line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line).translate(NORMAL).split()
 
 
-def simhashes(lines: list[list[bytes]]) -> np.ndarray:
-    """64-bit SimHash of each line's words and word pairs."""
-    hashed = xxhash.xxh3_64_intdigest
+# The four bits of a digit, each in a 16-bit lane of its own.
+LANES = np.array([sum((d >> b & 1) << 16 * b for b in range(4)) for d in range(16)], np.uint64)
+
+
+def bit_counts(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of each group's values have each of the 64 bits; a group has fewer than 2**16 values."""
+    out = np.empty((len(starts), 16), np.uint64)
+    for d in range(16):
+        out[:, d] = np.add.reduceat(LANES[(values >> np.uint64(4 * d) & np.uint64(15)).astype(np.intp)], starts)
+    return out.view("<u2").reshape(len(starts), 64).astype(np.int64)
+
+
+def simhashes(lines: list[list[bytes]], memo: dict[bytes, int] | None = None, most_words: int = 300_000) -> np.ndarray:
+    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines aren't empty.
+
+    memo keeps words' hashes between calls, up to ``most_words``.
+    """
+    hashed, memo = xxhash.xxh3_64_intdigest, {} if memo is None else memo
     out = np.zeros(len(lines), np.uint64)
     at = 0
-    while at < len(lines):  # about 2**17 features at a time, so memory stays bounded
+    while at < len(lines):  # about 2**17 words at a time, so memory stays bounded
         end, n = at, 0
         while end < len(lines) and (n < 1 << 17 or end == at):
-            n += 2 * len(lines[end])
+            n += len(lines[end])
             end += 1
-        values, sizes = [], []
-        for words in lines[at:end]:
-            values += [hashed(w) for w in words]
-            values += [hashed(a + b" " + b) for a, b in zip(words, words[1:], strict=False)]
-            sizes.append(2 * len(words) - 1)
-        bits = np.unpackbits(np.array(values, np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[at:end] = np.packbits(2 * counts > np.array(sizes)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        if len(memo) > most_words:
+            memo.clear()
+        known = memo.get
+        values = np.fromiter((known(w) or memo.setdefault(w, hashed(w)) for words in lines[at:end] for w in words), np.uint64, n)
+        sizes = np.fromiter(map(len, lines[at:end]), np.int64, end - at)
+        stops = np.cumsum(sizes)
+        after = np.empty_like(values)
+        after[:-1] = values[1:]
+        after[stops - 1] = 0
+        pairs = (values * np.uint64(0x9E3779B97F4A7C15) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
+        pairs ^= pairs >> np.uint64(32)
+        starts = stops - sizes
+        cuts = np.unique(np.concatenate([starts, *(np.arange(s, e, 1 << 15) for s, e in zip(starts[sizes > 1 << 15], stops[sizes > 1 << 15], strict=True))]))
+        parts = bit_counts(values, cuts) + bit_counts(pairs, cuts)
+        counts = parts if len(cuts) == len(starts) else np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0)
+        out[at:end] = np.packbits(counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
         at = end
     return out
 
@@ -190,29 +212,38 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     clean = docs.select(*kept)
-    source = clean.select(F.col(doc_id).cast("string").alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
+    source = clean.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
 
     def cut(batches):
+        memo: dict[bytes, int] = {}
+
+        def packed(batch, rows, numbers, norms):
+            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in norms]
+            first: dict[bytes, int] = {}
+            for n, key in enumerate(keys):
+                first.setdefault(key, n)
+            sims = dict(zip(first, simhashes([norms[n] for n in first.values()], memo).view(np.int64).tolist(), strict=True))
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())], names=["doc", "hash", "line", "key", "sim"])
+
         for batch in batches:
-            doc, hashes, rows, numbers, keys, norms = batch.column(0), batch.column(1), [], [], [], []
-            for i, t in enumerate(batch.column(2)):
-                for k, line in enumerate(t.as_py().split("\n")):
+            rows, numbers, norms, n = [], [], [], 0
+            for i, t in enumerate(batch.column(2).cast(pa.binary())):
+                for k, line in enumerate(t.as_py().split(b"\n")):
                     words = normal_words(line)
                     if len(words) >= min_words:
                         rows.append(i)
                         numbers.append(k)
                         norms.append(words)
-                        keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-            first: dict[bytes, int] = {}
-            for n, key in enumerate(keys):
-                first.setdefault(key, n)
-            order = list(first.values())
-            sims = dict(zip(first, simhashes([norms[n] for n in order]).view(np.int64).tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows, pa.int64())), hashes.take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())], names=["doc", "hash", "line", "key", "sim"])
-
-    lines = stored(source.mapInArrow(cut, "doc string, hash long, line int, key binary, sim long"))
-    # ids that are numbers come in the order of numbers
-    place = F.struct(F.expr("try_cast(doc as decimal(38, 0))").alias("n"), F.col("doc"), F.col("hash"), F.col("line"))
+                        n += len(words)
+                if n > 1 << 17:  # words of a few hundred documents at a time
+                    yield packed(batch, rows, numbers, norms)
+                    rows, numbers, norms, n = [], [], [], 0
+            yield packed(batch, rows, numbers, norms)
+
+    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType())]
+    lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])))
+    place = F.struct("doc", "hash", "line")
     distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n_lines = distinct.count()
     pairs = stored(candidate_pairs(distinct, n_lines, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -227,16 +258,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "line"])
 
     spots = stored(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("at")))
-    holders = source.join(sized_broadcast(spots, broadcast_rows), (F.coalesce(source["doc"], F.lit("\x00")) == F.coalesce(spots["doc"], F.lit("\x00"))) & (source["hash"] == spots["hash"]))
+    holders = source.join(sized_broadcast(spots, broadcast_rows), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
     split_lines = holders.select(F.explode("at").alias("at"), F.split("text", "\n", -1).alias("parts")).select("at.id", F.get("parts", F.col("at.line")).alias("text"), F.lit(0).alias("number"))
     texts = stored(split_lines.mapInArrow(fetch, "id long, line string").dropDuplicates(["id"]))
     checked = stored(verified(pairs, texts, similarity))
     good, bad = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
     groups = connected_components(good)
     if not bad.isEmpty():
-        whole = connected_components(checked.select("a", "b"))
-        torn = stored(bad.select(F.col("a").alias("node")).distinct().join(whole, "node").select("component").distinct())
-        parts = stored(whole.join(torn, "component").select("node").join(groups, "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("label")))
+        # parts that failed links join: only they can still be linked
+        label = stored(bad.select(F.col("a").alias("id")).union(bad.select("b")).distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+        ends = bad.join(label.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        torn = stored(ends.where("x <> y").select(F.explode(F.array("x", "y")).alias("label")).distinct())
+        members = groups.join(torn, groups["component"] == torn["label"]).select(F.col("node").alias("id"), "label")
+        parts = stored(members.union(label.join(torn, "label", "left_semi").select("id", "label")).distinct())
         again = candidate_pairs(parts.join(distinct.select("id", "sim"), "id").select("id", "sim", "label"), n_lines, radius, labelled=True)
         again = stored(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(bad, ["a", "b"], "left_anti"))
         if not again.isEmpty():
@@ -246,25 +280,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     marks = stored(grouped.select("key", "component").join(firsts, "component").select("key", "keep"))
     gone = lines.join(marks, "key").where("not (doc <=> keep.doc and hash = keep.hash and line = keep.line)")
     removed = stored(gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("gone")))
-    few = sized_broadcast(removed, broadcast_rows)
-    marked = clean.withColumns({"_doc": F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), "_hash": F.xxhash64(F.col(text))})
-    marked = marked.join(few.select(F.coalesce("doc", F.lit("\x00")).alias("_doc"), F.col("hash").alias("_hash"), "gone"), ["_doc", "_hash"], "left")
-
-    def rebuild(batches):
-        at = kept.index(text)
-        for batch in batches:
-            out, n_all, n_gone = [], [], []
-            for t, gone in zip(batch.column(at), batch.column(len(kept)), strict=True):
-                t, gone = t.as_py(), set(gone.as_py() or ())
-                parts = t.split("\n") if t else []
-                out.append("\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else t)
-                n_all.append(len(parts))
-                n_gone.append(len(gone))
-            columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64())], names=[*kept, "n_lines", "n_removed"])
-
-    schema = T.StructType([*clean.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return marked.select(*kept, "gone").mapInArrow(rebuild, schema)
+    few = sized_broadcast(removed, broadcast_rows).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.sort_array("gone").alias("_gone"))
+    marked = clean.withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(F.col(text))}).join(few, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
+    parts = F.split(F.col(text), "\n", -1)
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1)).alias("s"), F.concat(F.col("_gone"), F.array(F.size(parts))).alias("e"))
+    rest = let(parts, lambda p: F.array_join(F.flatten(F.transform(between, lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), "\n"))
+    n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
+    cut_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text)
+    return marked.select(*(cut_text if c == text else F.col(c) for c in kept), n.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
