@@ -22,46 +22,58 @@ def normal_words(line: str | bytes) -> list[bytes]:
     return (line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line).translate(NORMAL).split()
 
 
-# The four bits of a digit, each in a 16-bit lane of its own.
-LANES = np.array([sum((d >> b & 1) << 16 * b for b in range(4)) for d in range(16)], np.uint64)
-
-
-def bit_counts(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many of each group's values have each of the 64 bits; a group has fewer than 2**16 values."""
-    out = np.empty((len(starts), 16), np.uint64)
-    for d in range(16):
-        out[:, d] = np.add.reduceat(LANES[(values >> np.uint64(4 * d) & np.uint64(15)).astype(np.intp)], starts)
-    return out.view("<u2").reshape(len(starts), 64).astype(np.int64)
-
-
-def simhashes(lines: list[list[bytes]], memo: dict[bytes, int] | None = None, most_words: int = 300_000) -> np.ndarray:
-    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines aren't empty.
-
-    memo keeps words' hashes between calls, up to ``most_words``.
-    """
-    hashed, memo = xxhash.xxh3_64_intdigest, {} if memo is None else memo
+# The eight bits of a byte, each in an 8-bit lane of its own.
+LANES = np.array([sum((d >> b & 1) << 8 * b for b in range(8)) for d in range(256)], np.uint64)
+BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+SPAN = 120  # words summed in one lane: two features each stay below 256
+
+
+def powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    """base**0 ... base**(n - 1) modulo 2**64; a worker keeps the longest that it made."""
+    if len(kept.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        kept[base] = np.cumprod(out)
+    return kept[base][:n]
+
+
+def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and how many words end with each line; words end with a space, lines with a newline."""
+    n = len(text)
+    ends = np.flatnonzero(text <= 32)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BACK, n))))
+    h = (sums[ends] - sums[starts]) * powers(BASE, n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for shift in (32, 29):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, np.diff(np.concatenate(([0], np.flatnonzero(text[ends] == 10) + 1)))
+
+
+def simhashes(lines: list[bytes]) -> np.ndarray:
+    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines are words joined by single spaces."""
     out = np.zeros(len(lines), np.uint64)
     at = 0
-    while at < len(lines):  # about 2**17 words at a time, so memory stays bounded
+    while at < len(lines):  # about half a megabyte at a time, so memory stays bounded
         end, n = at, 0
-        while end < len(lines) and (n < 1 << 17 or end == at):
+        while end < len(lines) and (n < 1 << 19 or end == at):
             n += len(lines[end])
             end += 1
-        if len(memo) > most_words:
-            memo.clear()
-        known = memo.get
-        values = np.fromiter((known(w) or memo.setdefault(w, hashed(w)) for words in lines[at:end] for w in words), np.uint64, n)
-        sizes = np.fromiter(map(len, lines[at:end]), np.int64, end - at)
+        values, sizes = word_hashes(np.frombuffer(b"\n".join(lines[at:end]) + b"\n", np.uint8))
         stops = np.cumsum(sizes)
+        starts = stops - sizes
         after = np.empty_like(values)
         after[:-1] = values[1:]
         after[stops - 1] = 0
-        pairs = (values * np.uint64(0x9E3779B97F4A7C15) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
+        pairs = (values * np.uint64(BASE) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
         pairs ^= pairs >> np.uint64(32)
-        starts = stops - sizes
-        cuts = np.unique(np.concatenate([starts, *(np.arange(s, e, 1 << 15) for s, e in zip(starts[sizes > 1 << 15], stops[sizes > 1 << 15], strict=True))]))
-        parts = bit_counts(values, cuts) + bit_counts(pairs, cuts)
-        counts = parts if len(cuts) == len(starts) else np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0)
+        lanes = LANES[values.view(np.uint8)] + LANES[pairs.view(np.uint8)]
+        spans = -(-sizes // SPAN)
+        first = np.cumsum(spans) - spans
+        cuts = np.repeat(starts, spans) + SPAN * (np.arange(spans.sum()) - np.repeat(first, spans))
+        parts = np.add.reduceat(lanes.reshape(-1, 8), cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
+        counts = np.add.reduceat(parts.astype(np.int64), first, axis=0)
         out[at:end] = np.packbits(counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
         at = end
     return out
@@ -130,6 +142,27 @@ def near_pairs(prints: np.ndarray, radius: int, label: np.ndarray | None = None)
     return out
 
 
+SMALL = 64
+
+
+def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Of pairs (bucket, a, b): those that join two parts of their bucket."""
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    out = []
+    for bucket, a, b in pairs:
+        x, y = root((bucket, a)), root((bucket, b))
+        if x != y:
+            up[x] = y
+            out.append((a, b))
+    return out
+
+
 def candidate_pairs(points: DataFrame, n_lines: int, radius: int, labelled: bool = False) -> DataFrame:
     """Pairs ``(a, b)`` of ids whose prints lie within ``radius``, from buckets of equal blocks.
 
@@ -150,14 +183,22 @@ def candidate_pairs(points: DataFrame, n_lines: int, radius: int, labelled: bool
         held: list[np.ndarray] = []
 
         def group(block):
-            a, b = [], []
             cuts = np.flatnonzero(np.diff(block[0])) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [block.shape[1]]))
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                for i, j in near_pairs(block[2, s:e].view(np.uint64), radius, block[3, s:e] if labelled else None):
-                    a.append(block[1, s + i])
-                    b.append(block[1, s + j])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            sims, found = block[2].view(np.uint64), []
+            small = block[:, np.repeat((ends - starts > 1) & (ends - starts <= SMALL), ends - starts)]
+            for lag in range(1, min(SMALL, small.shape[1])):  # all small buckets at once, by distance in the bucket
+                same = small[0, lag:] == small[0, :-lag]
+                if not same.any():
+                    break
+                hits = np.flatnonzero(same & (np.bitwise_count(small[2, lag:].view(np.uint64) ^ small[2, :-lag].view(np.uint64)) <= radius))
+                if labelled:
+                    hits = hits[small[3, hits] != small[3, hits + lag]]
+                found += [(small[0, i], small[1, i], small[1, i + lag]) for i in hits.tolist()]
+            pairs = [(a, b) for _, a, b in found] if labelled else forest(found)
+            for s, e in zip(starts[ends - starts > SMALL].tolist(), ends[ends - starts > SMALL].tolist(), strict=True):
+                pairs += [(block[1, s + i], block[1, s + j]) for i, j in near_pairs(sims[s:e], radius, block[3, s:e] if labelled else None)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             now = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
@@ -215,14 +256,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     source = clean.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
 
     def cut(batches):
-        memo: dict[bytes, int] = {}
-
         def packed(batch, rows, numbers, norms):
-            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in norms]
+            keys = [xxhash.xxh3_128_digest(x) for x in norms]
             first: dict[bytes, int] = {}
             for n, key in enumerate(keys):
                 first.setdefault(key, n)
-            sims = dict(zip(first, simhashes([norms[n] for n in first.values()], memo).view(np.int64).tolist(), strict=True))
+            sims = dict(zip(first, simhashes([norms[n] for n in first.values()]).view(np.int64).tolist(), strict=True))
             at = pa.array(rows, pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())], names=["doc", "hash", "line", "key", "sim"])
 
@@ -234,7 +273,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                     if len(words) >= min_words:
                         rows.append(i)
                         numbers.append(k)
-                        norms.append(words)
+                        norms.append(b" ".join(words))
                         n += len(words)
                 if n > 1 << 17:  # words of a few hundred documents at a time
                     yield packed(batch, rows, numbers, norms)
@@ -285,7 +324,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     parts = F.split(F.col(text), "\n", -1)
     between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1)).alias("s"), F.concat(F.col("_gone"), F.array(F.size(parts))).alias("e"))
     rest = let(parts, lambda p: F.array_join(F.flatten(F.transform(between, lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), "\n"))
-    n = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
+    n = F.when(F.octet_length(text) > 0, F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
     cut_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text)
     return marked.select(*(cut_text if c == text else F.col(c) for c in kept), n.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
 

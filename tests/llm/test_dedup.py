@@ -54,7 +54,7 @@ def test_substrings_equal_brute_force(spark):
     want = brute_cut(docs, 40)
     assert sum(x[2] for x in want) > 5000
     assert report(df, length=40, reach=16) == want
-    assert report(df, length=40, reach=16, crowd=2) == want  # crowded buckets dealt out by strings
+    assert report(df, length=40, reach=16, crowd=2) == want  # crowded buckets settled by blocks
     assert report(df, length=40, reach=25) == want
     assert report(df.limit(0), length=40, reach=16) == []
 
@@ -79,7 +79,7 @@ def brute_lines(docs, min_words=5, radius=3, similarity=0.8):
                 spots.append(((d is not None, d or 0), t, k, b" ".join(w)))
                 norms[b" ".join(w)] = None
     keys = list(norms)
-    sims = lines.simhashes([k.split() for k in keys])
+    sims = lines.simhashes(keys)
     up = {k: k for k in keys}
 
     def root(x):
@@ -132,6 +132,20 @@ def test_lines_equal_brute_force(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_hashes_equal_a_plain_count():
+    rng = random.Random(8)
+    made = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(1, 700))).encode() for _ in range(60)] + [b"one", ("é " * 3000).strip().encode()]
+    for line, got in zip(made, lines.simhashes(made), strict=True):
+        h, _ = lines.word_hashes(np.frombuffer(line + b"\n", np.uint8))
+        h = h.tolist()
+        assert len(h) == len(line.split()) and len(set(h)) == len(set(line.split()))
+        full, features = (1 << 64) - 1, list(h)
+        for x, y in zip(h, [*h[1:], 0], strict=True):
+            v = ((x * lines.BASE & full) ^ (y << 31 & full | y >> 33)) * 0xD6E8FEB86659FD93 & full
+            features.append(v ^ v >> 32)
+        assert int(got) == sum((2 * sum(f >> b & 1 for f in features) > len(features)) << b for b in range(64))
+
+
 def test_links_whose_forest_fails_the_edit_check_are_found(spark):
     a = "one two three four five six seven eight nine ten"
     texts = spark.createDataFrame([(0, a), (1, "x" * 40), (2, a + " x")], "id long, line string")
