@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions.masked import clamp, kl_penalty
 from lathe.operators.advantages import with_totals
+from lathe.operators.rows import numbered
 
 LOSSES: dict[str, Callable] = {}
 MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-sum-norm", "seq-mean-token-mean")
@@ -168,25 +169,22 @@ def with_covariance(df: DataFrame) -> DataFrame:
 
 def kl_cov_loss(df: DataFrame, ratio: float = 0.0002, coef: float = 1.0) -> DataFrame:
     """Token-mean of minus advantage times ratio, with a KL term on the share ``ratio`` of tokens of largest covariance; ties in the order of sid and pos."""
-    t = with_covariance(df)
+    t = numbered(with_covariance(df), [F.desc("cov"), "sid", "pos"], "place")
     k = max(1, int(t.count() * ratio))
-    top = F.broadcast(t.orderBy(F.desc("cov"), "sid", "pos").limit(k).select("sid", "pos", F.lit(True).alias("top")))  # k rows
     d = F.col("new") - F.col("old")
-    loss = -F.col("adv") * F.exp(d) + F.when(F.col("top"), F.abs(d) * coef).otherwise(0.0)
-    return t.join(top, ["sid", "pos"], "left").agg(F.avg(loss).alias("loss"), (F.sum(F.abs(d)) / (F.count(F.lit(1)) + 1e-8)).alias("kl"))
+    loss = -F.col("adv") * F.exp(d) + F.when(F.col("place") < k, F.abs(d) * coef).otherwise(0.0)
+    return t.agg(F.avg(loss).alias("loss"), (F.sum(F.abs(d)) / (F.count(F.lit(1)) + 1e-8)).alias("kl"))
 
 
 def clip_cov_loss(df: DataFrame, ratio: float = 0.0002, low_cov: float = 1.0, high_cov: float = 5.0, low: float = 0.2, high: float = 0.2, seed: int = 0) -> DataFrame:
     """PPO loss without the share ``ratio`` of tokens drawn (by hash) from those of covariance within the bounds and not clipped anyway."""
-    t = with_covariance(df)
     r = F.exp(F.col("new") - F.col("old"))
     one, two = -F.col("adv") * r, -F.col("adv") * clamp(r, 1 - low, 1 + high)
-    k = max(1, int(t.count() * ratio))
-    open_ = t.where((F.col("cov") < high_cov) & (F.col("cov") > low_cov) & ~(two > one))
+    drawable = (F.col("cov") < high_cov) & (F.col("cov") > low_cov) & ~(two > one)
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("sid").cast("string"), F.col("pos").cast("string")), 256)
-    drawn = F.broadcast(open_.orderBy(order, "sid", "pos").limit(k).select("sid", "pos", F.lit(True).alias("drawn")))  # k rows
-    out = t.join(drawn, ["sid", "pos"], "left")
-    return out.agg(F.avg(F.when(F.col("drawn"), 0.0).otherwise(F.greatest(one, two))).alias("loss"), (F.sum(F.when(F.col("drawn"), 1.0).otherwise(0.0)) / (F.count(F.lit(1)) + 1e-8)).alias("clipfrac"))
+    t = numbered(with_covariance(df).withColumns({"shut": ~drawable, "draw": order}), ["shut", "draw", "sid", "pos"], "place")
+    gone = ~F.col("shut") & (F.col("place") < max(1, int(t.count() * ratio)))
+    return t.agg(F.avg(F.when(gone, 0.0).otherwise(F.greatest(one, two))).alias("loss"), (F.sum(F.when(gone, 1.0).otherwise(0.0)) / (F.count(F.lit(1)) + 1e-8)).alias("clipfrac"))
 
 
 def value_loss(df: DataFrame, clip: float = 0.5, mode: str = "token-mean", horizon: int | None = None) -> DataFrame:
