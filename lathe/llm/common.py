@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to hold at most ``max_rows`` rows, else as it is, for a shuffled join.
+def sized_broadcast(df: DataFrame, size: Column, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its rows' bytes, by the column ``size``, sum to at most ``max_bytes``; else as it is, for a shuffled join.
 
-    ``df`` should be a stored table: the count then comes from Parquet footers.
+    ``df`` should be a stored table, so that the sum is a cheap scan.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -247,7 +247,7 @@ def vote(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return counted.groupBy("host").agg(best.alias("b")).select("host", "b.winner", "b.votes")
 
 
-def main_text(pages: DataFrame, url: str = "url", html: str = "html", name: str = "text", host_rows: int = 200_000) -> DataFrame:
+def main_text(pages: DataFrame, url: str = "url", html: str = "html", name: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Adds ``text``: the page's main text, empty where there is none.
 
     A host's pages agree on one path, found in a first pass; the second extracts
@@ -256,13 +256,13 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", name: str
     empty name; repeated rows stay; a column named ``text`` is replaced.
 
     Votes are summed before they are shuffled, so a host with a third of all pages
-    is a few rows. The winners, one row a host, are broadcast if counted to be at
-    most ``host_rows``, else joined by a shuffle that adaptive execution can split.
+    is a few rows. The winners, one row a host, are broadcast if they measure at
+    most ``broadcast_bytes``, else joined by a shuffle that adaptive execution can split.
     """
     winners = stored(vote(pages, url, html).select(F.col("host").alias("_host"), "winner"))
     out = pages.drop(name)
     kept = out.columns
-    joined = out.withColumn("_host", host_of(F.col(url))).join(sized_broadcast(winners, host_rows), "_host", "left").select(*kept, "winner")
+    joined = out.withColumn("_host", host_of(F.col(url))).join(sized_broadcast(winners, 32 + F.octet_length("_host") + F.octet_length("winner"), broadcast_bytes), "_host", "left").select(*kept, "winner")
 
     def run(batches):
         for batch in batches:

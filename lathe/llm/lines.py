@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_rows: int = 300_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
     Lines are what ``\\n`` separates. A line is normalised (A-Z lower-cased, digits
@@ -297,7 +297,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "line"])
 
     spots = stored(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("at")))
-    holders = source.join(sized_broadcast(spots, broadcast_rows), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
+    holders = source.join(sized_broadcast(spots, 32 + 16 * F.size("at"), broadcast_bytes), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
     split_lines = holders.select(F.explode("at").alias("at"), F.split("text", "\n", -1).alias("parts")).select("at.id", F.get("parts", F.col("at.line")).alias("text"), F.lit(0).alias("number"))
     texts = stored(split_lines.mapInArrow(fetch, "id long, line string").dropDuplicates(["id"]))
     checked = stored(verified(pairs, texts, similarity))
@@ -319,7 +319,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     marks = stored(grouped.select("key", "component").join(firsts, "component").select("key", "keep"))
     gone = lines.join(marks, "key").where("not (doc <=> keep.doc and hash = keep.hash and line = keep.line)")
     removed = stored(gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("gone")))
-    few = sized_broadcast(removed, broadcast_rows).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.sort_array("gone").alias("_gone"))
+    few = sized_broadcast(removed, 32 + 4 * F.size("gone"), broadcast_bytes).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.sort_array("gone").alias("_gone"))
     marked = clean.withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(F.col(text))}).join(few, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
     parts = F.split(F.col(text), "\n", -1)
     between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1)).alias("s"), F.concat(F.col("_gone"), F.array(F.size(parts))).alias("e"))

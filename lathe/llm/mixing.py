@@ -58,7 +58,7 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return sums.select(name, (F.col("p") / F.lit(sums.agg(F.sum("p")).first()[0] or 1.0)).alias("target"))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: str = "doc_id", fraction: float = 0.5, power: float = 0.7, cycles: int = 10, seed: int = 17, targets: dict[str, DataFrame] | None = None, cell_rows: int = 500_000) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: str = "doc_id", fraction: float = 0.5, power: float = 0.7, cycles: int = 10, seed: int = 17, targets: dict[str, DataFrame] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Adds ``n_tokens``, ``weight`` (fitted share over own share), ``probability`` and ``sampled`` to every row of ``docs``.
 
     dims: name -> column of each margin; targets: name -> ``(name, target)`` shares,
@@ -84,7 +84,8 @@ def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: st
         margins[key] = stored(given.select(F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("-")).alias(key), F.col("target").cast("double").alias("target"))) if given is not None else tempered(cells, key, power)
     total = float(cells.agg(F.sum("t")).first()[0] or 0)
     weights = stored(rake(cells, margins, cycles).select(*keys, (F.col("w") * F.lit(total) / F.col("t")).alias("weight")))
-    joined = out.join(sized_broadcast(weights, cell_rows), keys, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop(*keys)
+    size = reduce(lambda a, b: a + b, (F.octet_length(k) for k in keys), F.lit(32))
+    joined = out.join(sized_broadcast(weights, size, broadcast_bytes), keys, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop(*keys)
     return joined.withColumn("probability", F.least(F.lit(1.0), F.lit(fraction) * F.col("weight"))).withColumn("sampled", draw(F.col(doc_id), seed) < F.col("probability"))
 
 

@@ -114,8 +114,8 @@ def test_lines_equal_brute_force(spark):
         docs.append((i, "\n".join([*chosen, "short line", ""])))
     docs += [(200, None), (201, ""), (202, "\n\n"), (None, docs[0][1]), (5, docs[5][1]), (203, ("very long words here now " * 4000) + "\n" + base[0])]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'old' as n_removed")
-    for cut in (300_000, 0):  # removals broadcast, and joined by a shuffle
-        got = lines.dedup_lines(df, broadcast_rows=cut).collect()
+    for cut in (32 << 20, -1):  # removals broadcast, and joined by a shuffle
+        got = lines.dedup_lines(df, broadcast_bytes=cut).collect()
         assert len(got) == len(docs)
         gone = Counter()
         for spots in brute_lines(docs).values():

@@ -41,7 +41,7 @@ def test_hosts_agree_on_one_path(spark):
     winner = html.vote(df).collect()
     assert [(r.host, r.winner, r.votes) for r in winner] == [("a.io", "body>div.story#", 5)]
     assert {r.text for r in html.main_text(df).where("page_id = 9").collect()} == {"real"}
-    shuffled = html.main_text(df, host_rows=0).collect()
+    shuffled = html.main_text(df, broadcast_bytes=-1).collect()
     assert {r.page_id: r.text for r in shuffled} == {r.page_id: r.text for r in html.main_text(df).collect()}
 
 
