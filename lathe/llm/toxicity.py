@@ -73,26 +73,20 @@ class Model:
         return score
 
 
-def train(numbers: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray, bits: int, epochs: int = 150, rate: float = 0.15, l2: float = 2e-6, z_least: float = 4.0) -> Model:
+def telling(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int, z_least: float = 4.0) -> np.ndarray:
+    """Whether toxic documents hold a feature more often than clean ones, by ``z_least`` standard errors."""
+    n1, n0 = max(1, n_toxic), max(1, n_clean)
+    both = (in_toxic + in_clean) / (n1 + n0)
+    return in_toxic / n1 - in_clean / n0 > z_least * np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+
+
+def train(numbers: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, weights: np.ndarray, bits: int, epochs: int = 150, rate: float = 0.15, l2: float = 2e-6) -> Model:
     """Fit sentence weights by Adam on the document log-loss of ``1 - prod(1 - p_sentence)``.
 
     numbers, sentence: each feature and the sentence that holds it; doc: each
-    sentence's document. weights: how many documents each one stands for. Only
-    features that toxic documents hold more often than clean ones, by ``z_least``
-    standard errors, get a weight.
+    sentence's document. weights: how many documents each one stands for.
     """
     n_sentences, n_docs, y = len(doc), len(labels), labels.astype(float)
-    held = doc[sentence].astype(np.int64)
-    held <<= bits
-    held |= numbers
-    held = np.unique(held)
-    toxic = y[held >> bits] == 1
-    size, n1, n0 = 1 << bits, max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    in_toxic, in_clean = np.bincount(held[toxic] & (size - 1), minlength=size), np.bincount(held[~toxic] & (size - 1), minlength=size)
-    p1, p0, both = in_toxic / n1, in_clean / n0, (in_toxic + in_clean) / (n1 + n0)
-    telling = p1 - p0 > z_least * np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    kept = telling[numbers]
-    numbers, sentence = numbers[kept], sentence[kept]
     used, index = np.unique(numbers, return_inverse=True)
     share = weights / weights.sum()
     w, b = np.zeros(len(used)), -6.0
@@ -117,7 +111,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2000, max_chars: int = 16_000_000, bits: int = 18, epochs: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2000, max_chars: int = 12_000_000, bits: int = 18, epochs: int = 150) -> Model:
     """Train on a bounded sample: at most ``max_rows`` labelled documents of each class, by hashed id, and ``max_chars`` characters.
 
     Rows of the held-out fold are left out. A document labelled more than once
@@ -155,21 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.binary()), pa.array(ends, pa.binary())], names=["y", "f", "sizes"])
 
     numbers, sizes, counts, ys = [], [], [], []
+    seen = np.zeros((2, 1 << bits), np.int64)
     for r in sample.select("y", "text", "doc_id").orderBy("doc_id", "text").select("y", "text").mapInArrow(encode, "y int, f binary, sizes binary").toLocalIterator():
         if r.sizes:
             numbers.append(np.frombuffer(r.f, np.int32))
             sizes.append(np.frombuffer(r.sizes, np.int32))
             counts.append(len(sizes[-1]))
             ys.append(r.y)
+            seen[r.y, np.unique(numbers[-1])] += 1
     y = np.array(ys)
     if len(set(ys)) < 2:
         return Model(np.zeros(1 << bits, np.float32), -20.0, bits)
-    stand = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    lengths = np.concatenate(sizes)
-    sentence, doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), np.repeat(np.arange(len(ys), dtype=np.int32), counts)
-    flat = np.concatenate(numbers)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    keep = telling(seen[1], seen[0], n1, n0)
+    # only telling features go on, so the sample's bulk is let go document by document
+    flat, inside, at = [], [], 0
+    for f, size in zip(numbers, sizes, strict=True):
+        kept = keep[f]
+        flat.append(f[kept])
+        inside.append(np.repeat(np.arange(at, at + len(size), dtype=np.int32), size)[kept])
+        at += len(size)
+    doc = np.repeat(np.arange(len(ys), dtype=np.int32), counts)
+    stand = np.where(y == 1, totals[1] / n1, totals[0] / n0)
     del numbers, sizes
-    return train(flat, sentence, doc, y, stand, bits, epochs)
+    return train(np.concatenate(flat), np.concatenate(inside), doc, y, stand, bits, epochs)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", at_least: float = 0.3, name: str = "toxicity") -> DataFrame:
