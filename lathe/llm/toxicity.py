@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = stored(known.where("y = 1").orderBy(*order).limit(max_rows).unionByName(known.where("y = 0").orderBy(*order).limit(max_rows)))
     sample = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sample = stored(sample.join(F.broadcast(picked), "doc_id"))  # at most 2 * max_rows ids
+    sample = stored(sample.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))  # at most 2 * max_rows ids
     chars = sample.select(F.sum(F.length("text"))).first()[0] or 0
     if chars > max_chars:
         part = int(1e6 * max_chars / chars)
@@ -148,31 +148,40 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 ends.append(np.diff(at).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.binary()), pa.array(ends, pa.binary())], names=["y", "f", "sizes"])
 
-    numbers, sizes, counts, ys = [], [], [], []
-    seen = np.zeros((2, 1 << bits), np.int64)
-    for r in sample.select("y", "text", "doc_id").orderBy("doc_id", "text").select("y", "text").mapInArrow(encode, "y int, f binary, sizes binary").toLocalIterator():
-        if r.sizes:
-            numbers.append(np.frombuffer(r.f, np.int32))
-            sizes.append(np.frombuffer(r.sizes, np.int32))
-            counts.append(len(sizes[-1]))
-            ys.append(r.y)
-            seen[r.y, np.unique(numbers[-1])] += 1
-    y = np.array(ys)
-    if len(set(ys)) < 2:
+    def learn(batches):
+        numbers, sizes, counts, ys = [], [], [], []
+        seen = np.zeros((2, 1 << bits), np.int64)
+        for batch in batches:
+            for label, f, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if size:
+                    numbers.append(np.frombuffer(f, np.int32))
+                    sizes.append(np.frombuffer(size, np.int32))
+                    counts.append(len(sizes[-1]))
+                    ys.append(label)
+                    seen[label, np.unique(numbers[-1])] += 1
+        y = np.array(ys)
+        if len(set(ys)) < 2:
+            model = Model(np.zeros(1 << bits, np.float32), -20.0, bits)
+        else:
+            n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+            keep = telling(seen[1], seen[0], n1, n0)
+            # only telling features go on, so the sample's bulk is let go document by document
+            flat, inside, at = [], [], 0
+            for f, size in zip(numbers, sizes, strict=True):
+                kept = keep[f]
+                flat.append(f[kept])
+                inside.append(np.repeat(np.arange(at, at + len(size), dtype=np.int32), size)[kept])
+                at += len(size)
+            doc = np.repeat(np.arange(len(ys), dtype=np.int32), counts)
+            model = train(np.concatenate(flat), np.concatenate(inside), doc, y, np.where(y == 1, totals[1] / n1, totals[0] / n0), bits, epochs)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    # the bounded sample is learned from in one task, in the order of ids
+    coded = sample.select("doc_id", "y", "text").repartition(1).sortWithinPartitions("doc_id").select("y", "text").mapInArrow(encode, "y int, f binary, sizes binary")
+    learned = coded.mapInArrow(learn, "weights binary, bias double").first()
+    if learned is None:  # no labelled document is there
         return Model(np.zeros(1 << bits, np.float32), -20.0, bits)
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    keep = telling(seen[1], seen[0], n1, n0)
-    # only telling features go on, so the sample's bulk is let go document by document
-    flat, inside, at = [], [], 0
-    for f, size in zip(numbers, sizes, strict=True):
-        kept = keep[f]
-        flat.append(f[kept])
-        inside.append(np.repeat(np.arange(at, at + len(size), dtype=np.int32), size)[kept])
-        at += len(size)
-    doc = np.repeat(np.arange(len(ys), dtype=np.int32), counts)
-    stand = np.where(y == 1, totals[1] / n1, totals[0] / n0)
-    del numbers, sizes
-    return train(np.concatenate(flat), np.concatenate(inside), doc, y, stand, bits, epochs)
+    return Model(np.frombuffer(learned.weights, np.float32), learned.bias, bits)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", at_least: float = 0.3, name: str = "toxicity") -> DataFrame:
