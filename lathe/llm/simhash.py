@@ -209,13 +209,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "group_rows")
 
 
-def keep_one(docs: DataFrame, broadcast_bytes: int = 32 << 20, **options) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_bytes: int = 32 << 20, groups=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component: one document of each near-duplicate group.
 
+    groups: what finds the groups, by default the links of op10.
     Rows that repeat a doc_id are one document and collapse to one row. Rows with
     a null doc_id can't be told apart and stay.
     """
-    found = stored(near_duplicates(docs, **options).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
+    found = stored(groups(docs, **options).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
     size = F.lit(16) + F.octet_length(F.col("doc_id").cast("string"))
     left = docs.join(sized_broadcast(found, size, broadcast_bytes), "doc_id", "left_anti")
     twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
