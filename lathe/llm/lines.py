@@ -51,8 +51,25 @@ def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.concatenate(([0], np.flatnonzero(text[ends] == 10) + 1)))
 
 
-def simhashes(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines are words joined by single spaces."""
+BANDS, ROWS = 16, 3
+_rng = np.random.default_rng(5)
+MULTIPLY, ADD = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
+
+
+def minhash_bands(pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each line: hashes of ``ROWS`` minima each over the line's pairs of neighbours."""
+    high, out = (pairs >> np.uint64(32)).astype(np.uint32), np.zeros((len(starts), BANDS), np.uint64)
+    for i, (m, a) in enumerate(zip(MULTIPLY, ADD, strict=True)):
+        least = np.minimum.reduceat(high * m + a, starts).astype(np.uint64)
+        out[:, i // ROWS] = (out[:, i // ROWS] * np.uint64(BASE) ^ least) * np.uint64(0xD6E8FEB86659FD93)
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def simhashes(lines: list[bytes], bands: np.ndarray | None = None) -> np.ndarray:
+    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines are words joined by single spaces.
+
+    bands: filled with the lines' MinHash bands, if given.
+    """
     out = np.zeros(len(lines), np.uint64)
     at = 0
     while at < len(lines):  # about half a megabyte at a time, so memory stays bounded
@@ -68,6 +85,8 @@ def simhashes(lines: list[bytes]) -> np.ndarray:
         after[stops - 1] = 0
         pairs = (values * np.uint64(BASE) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
         pairs ^= pairs >> np.uint64(32)
+        if bands is not None:
+            bands[at:end] = minhash_bands(pairs, starts)
         lanes = LANES[values.view(np.uint8)] + LANES[pairs.view(np.uint8)]
         spans = -(-sizes // SPAN)
         first = np.cumsum(spans) - spans
@@ -166,14 +185,21 @@ def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 def candidate_pairs(points: DataFrame, n_lines: int, radius: int, labelled: bool = False) -> DataFrame:
     """Pairs ``(a, b)`` of ids whose prints lie within ``radius``, from buckets of equal blocks.
 
-    points: ``id, sim`` (``label``). Without labels a bucket gives the spanning
+    points: ``id, sim`` (``label``) (``bands``: MinHash bands, whose buckets then take
+    the place of the blocks'). Without labels a bucket gives the spanning
     forest of its near pairs, at most one pair for each point. A bucket's points
     are read in order from a sorted partition.
     """
-    tables = block_tables(n_lines, radius)
+    tables, banded = block_tables(n_lines, radius), "bands" in points.columns
 
     def explode(batches):
         for batch in batches:
+            if banded:
+                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS).astype(np.int64)
+                rest = batch.columns[:-1]
+                for number in range(BANDS):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, number] << 5 | number), *rest], names=["block", *batch.schema.names[:-1]])
+                continue
             sims = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for mask, number in tables:
                 key = (sims & mask) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number * 0x632BE59BD9B4E019 & (1 << 64) - 1)
@@ -216,7 +242,7 @@ def candidate_pairs(points: DataFrame, n_lines: int, radius: int, labelled: bool
         if held:
             yield group(np.concatenate(held, axis=1))
 
-    columns = ["id", "sim", *(["label"] if labelled else [])]
+    columns = ["id", "sim", *(["label"] if labelled else []), *(["bands"] if banded else [])]
     exploded = points.select(*columns).mapInArrow(explode, "block long, id long, sim long" + ", label long" * labelled)
     return exploded.repartition("block").sortWithinPartitions("block").mapInArrow(pair, "a long, b long")
 
@@ -233,7 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, banded: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
     Lines are what ``\\n`` separates. A line is normalised (A-Z lower-cased, digits
@@ -245,6 +271,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     document. A null text stays null with no line; an empty one has no line.
     Other columns stay; an ``n_lines`` or ``n_removed`` is replaced.
 
+    banded: candidates are lines that share one of 16 MinHash bands of 3 over pairs of
+    neighbouring words, instead of all within ``radius`` bits; ``radius`` then only
+    thins them out and is to be wide.
+
     Equal lines collapse to one before any are compared, and buckets give a
     spanning forest rather than their pairs; where a link of the forest fails the
     edit check, the pairs across the parts that it left apart are checked too, so
@@ -255,15 +285,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     clean = docs.select(*kept)
     source = clean.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
 
+    more = ["bands"] if banded else []
+
     def cut(batches):
         def packed(batch, rows, numbers, norms):
             keys = [xxhash.xxh3_128_digest(x) for x in norms]
             first: dict[bytes, int] = {}
             for n, key in enumerate(keys):
                 first.setdefault(key, n)
-            sims = dict(zip(first, simhashes([norms[n] for n in first.values()]).view(np.int64).tolist(), strict=True))
+            bands = np.zeros((len(first), BANDS), np.uint32) if banded else None
+            sims = dict(zip(first, simhashes([norms[n] for n in first.values()], bands).view(np.int64).tolist(), strict=True))
             at = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())], names=["doc", "hash", "line", "key", "sim"])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())]
+            if banded:
+                made = dict(zip(first, (x.tobytes() for x in bands), strict=True))
+                columns.append(pa.array([made[k] for k in keys], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", *more])
 
         for batch in batches:
             rows, numbers, norms, n = [], [], [], 0
@@ -280,10 +317,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                     rows, numbers, norms, n = [], [], [], 0
             yield packed(batch, rows, numbers, norms)
 
-    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType())]
+    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType()), *((x, T.BinaryType()) for x in more)]
     lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])))
     place = F.struct("doc", "hash", "line")
-    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *more)), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n_lines = distinct.count()
     pairs = stored(candidate_pairs(distinct, n_lines, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "key", "first"), "id"))
@@ -310,7 +347,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         torn = stored(ends.where("x <> y").select(F.explode(F.array("x", "y")).alias("label")).distinct())
         members = groups.join(torn, groups["component"] == torn["label"]).select(F.col("node").alias("id"), "label")
         parts = stored(members.union(label.join(torn, "label", "left_semi").select("id", "label")).distinct())
-        again = candidate_pairs(parts.join(distinct.select("id", "sim"), "id").select("id", "sim", "label"), n_lines, radius, labelled=True)
+        again = candidate_pairs(parts.join(distinct.select("id", "sim", *more), "id").select("id", "sim", "label", *more), n_lines, radius, labelled=True)
         again = stored(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(bad, ["a", "b"], "left_anti"))
         if not again.isEmpty():
             groups = connected_components(good.union(verified(again, texts, similarity).where("good").select("a", "b")))
@@ -329,6 +366,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     return marked.select(*(cut_text if c == text else F.col(c) for c in kept), n.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
 
 
+def dedup_all_lines(docs: DataFrame) -> DataFrame:
+    """``dedup_lines`` as op8 and the pipeline take it: candidates from MinHash bands, thinned out only beyond 22 bits."""
+    return dedup_lines(docs, radius=22, banded=True)
+
+
 def line_report(docs: DataFrame) -> DataFrame:
     """The rows of ``op8``: one for every document row."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_all_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
