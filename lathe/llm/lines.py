@@ -51,6 +51,14 @@ def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, np.diff(np.concatenate(([0], np.flatnonzero(text[ends] == 10) + 1)))
 
 
+def hashed_form(words: list[bytes], min_words: int, min_chars: int = 20) -> bytes | None:
+    """What a line is fingerprinted by: its words, or its characters where it has few words but many characters; None if it has few of both."""
+    if len(words) >= min_words:
+        return b" ".join(words)
+    chars = b"".join(words).decode("utf-8", "surrogatepass")
+    return " ".join(chars).encode("utf-8", "surrogatepass") if len(chars) >= min_chars else None
+
+
 BANDS, ROWS = 16, 3
 _rng = np.random.default_rng(5)
 MULTIPLY, ADD = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
@@ -259,7 +267,7 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, banded: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, banded: bool = False, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
     Lines are what ``\\n`` separates. A line is normalised (A-Z lower-cased, digits
@@ -275,6 +283,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     neighbouring words, instead of all within ``radius`` bits; ``radius`` then only
     thins them out and is to be wide.
 
+    short: lines of fewer than ``min_words`` words take part too. Of 20 characters or
+    more (scripts without spaces) they are fingerprinted by characters in place of
+    words; shorter ones are linked only if equal when normalised.
+
     Equal lines collapse to one before any are compared, and buckets give a
     spanning forest rather than their pairs; where a link of the forest fails the
     edit check, the pairs across the parts that it left apart are checked too, so
@@ -293,13 +305,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             first: dict[bytes, int] = {}
             for n, key in enumerate(keys):
                 first.setdefault(key, n)
-            bands = np.zeros((len(first), BANDS), np.uint32) if banded else None
-            sims = dict(zip(first, simhashes([norms[n] for n in first.values()], bands).view(np.int64).tolist(), strict=True))
+            forms = {k: form for k, n in first.items() if (form := hashed_form(norms[n].split(b" "), min_words))}
+            bands = np.zeros((len(forms), BANDS), np.uint32) if banded else None
+            sims = dict(zip(forms, simhashes(list(forms.values()), bands).view(np.int64).tolist(), strict=True))
             at = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims[k] for k in keys], pa.int64())]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims.get(k) for k in keys], pa.int64())]
             if banded:
-                made = dict(zip(first, (x.tobytes() for x in bands), strict=True))
-                columns.append(pa.array([made[k] for k in keys], pa.binary()))
+                made = dict(zip(forms, (x.tobytes() for x in bands), strict=True))
+                columns.append(pa.array([made.get(k) for k in keys], pa.binary()))
             return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", *more])
 
         for batch in batches:
@@ -307,7 +320,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             for i, t in enumerate(batch.column(2).cast(pa.binary())):
                 for k, line in enumerate(t.as_py().split(b"\n")):
                     words = normal_words(line)
-                    if len(words) >= min_words:
+                    if len(words) >= (1 if short else min_words):
                         rows.append(i)
                         numbers.append(k)
                         norms.append(b" ".join(words))
@@ -322,7 +335,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     place = F.struct("doc", "hash", "line")
     distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *more)), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     n_lines = distinct.count()
-    pairs = stored(candidate_pairs(distinct, n_lines, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = stored(candidate_pairs(distinct.where("sim is not null"), n_lines, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "key", "first"), "id"))
 
     def fetch(batches):
@@ -367,8 +380,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
 
 def dedup_all_lines(docs: DataFrame) -> DataFrame:
-    """``dedup_lines`` as op8 and the pipeline take it: candidates from MinHash bands, thinned out only beyond 22 bits."""
-    return dedup_lines(docs, radius=22, banded=True)
+    """``dedup_lines`` as op8 and the pipeline take it: candidates from MinHash bands, thinned out only beyond 22 bits, and short lines too."""
+    return dedup_lines(docs, radius=22, banded=True, short=True)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

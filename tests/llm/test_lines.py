@@ -43,3 +43,17 @@ def test_lines_with_words_changed_go(spark):
     removed = lambda found: sum(r.n_removed for r in found.select("n_removed").collect())
     assert removed(lines.line_report(df)) == want > 100
     assert removed(lines.dedup_lines(df)) < 0.7 * want  # 3 bits
+
+
+def test_short_lines_and_lines_without_spaces_go(spark):
+    rng = random.Random(8)
+    chinese = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(k)) for k in (3, 8, 30, 45, 60)]
+    near = [x[:12] + "一" + x[13:] for x in chinese[2:]]
+    docs = [(i, "\n".join(["Home", "Log in!", "", "--", f"Page {i}", *rng.sample(chinese, 3), "Homf" if i else "home"])) for i in range(6)]
+    docs += [(6, "\n".join([*chinese, *near])), (7, "Log in\n\nlog out")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedup_all_lines(df).collect()}
+    want = brute_removed(docs, lambda x: len(x.split()) >= 5 or len(x.replace(" ", "")) >= 20)
+    assert sum(r.n_removed for r in got.values()) == want
+    assert got[7].text == "\nlog out"  # an equal line goes, a blank one and a similar short one stay
+    assert not any(x in r.text.split("\n") for r in got.values() for x in near)
