@@ -99,12 +99,12 @@ def search_block(queries, found, parts, k: int) -> None:
                 better = scores >= heap[0][0]
                 at, scores = at[better], scores[better]
             ids = b.ids[at]
+            others = ids != qid
+            ids, scores = ids[others], scores[others]
             if len(ids) > k:
-                first = np.lexsort((ids, -scores))[: k + 1]
+                first = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[first], scores[first]
             for s, v in zip(scores.tolist(), ids.tolist(), strict=True):
-                if v == qid:
-                    continue
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -v))
                 elif (s, -v) > heap[0]:
