@@ -58,21 +58,25 @@ def tempered(cells: DataFrame, name: str, power: float) -> DataFrame:
     return sums.select(name, (F.col("p") / F.lit(sums.agg(F.sum("p")).first()[0] or 1.0)).alias("target"))
 
 
-def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: str = "doc_id", fraction: float = 0.5, power: float = 0.7, cycles: int = 10, seed: int = 17, targets: dict[str, DataFrame] | None = None, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: str = "doc_id", fraction: float = 0.5, power: float = 0.7, cycles: int = 10, seed: int = 17, targets: dict[str, DataFrame] | None = None, broadcast_bytes: int = 32 << 20, repeat: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``weight`` (fitted share over own share), ``probability`` and ``sampled`` to every row of ``docs``.
 
     dims: name -> column of each margin; targets: name -> ``(name, target)`` shares,
     by default the margin's own shares raised to ``power``. Weights are raked over
     the cells that occur, for ``cycles`` passes, to sum to 1. A document is kept
     with probability ``min(1, fraction * weight)``, so about ``fraction`` of the tokens
-    stay, spread as fitted; a cell that would need more than it has is kept whole.
+    stay; a cell that would need more than it has is kept whole, and falls short.
+
+    repeat: nothing is capped. ``probability`` is the expected number of copies,
+    ``fraction * weight``, and ``copies`` is added: its whole part, and one more by
+    the draw for the rest. Tokens times copies follow the fitted shares.
 
     A null dimension is a value of its own. Null and empty texts have no tokens: a
     cell without tokens has weight 1. Rows that share a doc_id share their draw;
     null ids draw as one. An empty table gives none. Columns named like the new
     ones are replaced; a margin that isn't a column of ``docs`` becomes one.
     """
-    base = docs.drop("n_tokens", "weight", "probability", "sampled")
+    base = docs.drop("n_tokens", "weight", "probability", "sampled", *(["copies"] if repeat else []))
     made = {name: c for name, c in dims.items() if name not in base.columns}
     base = base.withColumns({**made, "n_tokens": word_count(F.col(text))})
     keys = [f"_d{i}" for i in range(len(dims))]
@@ -86,6 +90,11 @@ def mix(docs: DataFrame, dims: dict[str, Column], text: str = "text", doc_id: st
     weights = stored(rake(cells, margins, cycles).select(*keys, (F.col("w") * F.lit(total) / F.col("t")).alias("weight")))
     size = reduce(lambda a, b: a + b, (F.octet_length(k) for k in keys), F.lit(32))
     joined = out.join(sized_broadcast(weights, size, broadcast_bytes), keys, "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))).drop(*keys)
+    if repeat:
+        expected = joined.withColumn("probability", F.lit(fraction) * F.col("weight"))
+        whole = F.floor("probability")
+        copies = (whole + (draw(F.col(doc_id), seed) < F.col("probability") - whole).cast("int")).cast("int")
+        return expected.withColumn("copies", copies).withColumn("sampled", F.col("copies") > 0)
     return joined.withColumn("probability", F.least(F.lit(1.0), F.lit(fraction) * F.col("weight"))).withColumn("sampled", draw(F.col(doc_id), seed) < F.col("probability"))
 
 
