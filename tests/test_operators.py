@@ -1,5 +1,6 @@
 """Operators against hand-computed values, numpy and round trips."""
 
+import json
 import random
 
 import numpy as np
@@ -41,13 +42,35 @@ def test_answer_forms(spark):
     assert score("\\boxed{7}", "7") == 1.0 and score("\\boxed{7} \\boxed{7}", "7") == 0.0 and score("7", "7") == 0.0 and score("\\fbox{7}", "7") == 1.0
     assert one(spark, answers.dapo_score(F.col("t"), F.col("g"), True)["score"], t="so \\boxed{4}", g="4") == 1.0
     sim = lambda a, b: one(spark, answers.multiset_similarity(F.col("a"), F.col("b")), a=a, b=b)
-    assert sim(["x", "x", "y"], ["x", "z"]) == pytest.approx(tools.similarity(["x", "x", "y"], ["x", "z"])) == 0.25
-    assert tools.call_score([{"name": "f", "parameters": {"a": 1}}], [{"name": "f", "parameters": {"a": 1}}]) == 3.0
-    assert tools.parse_calls("__import__('os')") is None
+    assert sim(["x", "x", "y"], ["x", "z"]) == 0.25 and sim(["x"], ["x"]) == 1.0
     with pytest.raises(Exception, match="no scorer"):
         one(spark, answers.score(F.lit("nowhere"), F.lit("a"), F.lit("a")))
 
 
+def test_tool_call_scores_by_hand(spark):
+    f = lambda *calls: json.dumps([{"name": n, "parameters": p} for n, p in calls])
+    cases = [
+        (f(("f", {"a": 1})), f(("f", {"a": 1})), 3.0),
+        (f(("f", {"a": 1})), f(("f", {"a": -1})), 6 * 2 / 3 - 3),  # name and key agree, the value doesn't
+        (f(("f", {"a": 1}), ("f", {"a": 2})), f(("f", {"a": 2}), ("f", {"a": 1})), 3.0),  # the best call that is left, whatever its place
+        (f(("f", {"a": 1, "b": "x"})), f(("f", {"a": 1}), ("g", {})), 6 * (1 / 2 + 1 / 2 + 1) / 4 - 3),
+        (f(("f", {"a": 1})), f(("f", {"a": "1"})), 6 * 2 / 3 - 3),  # a number isn't its text
+        (f(("f", {"o": {"x": 1, "y": [1, 2]}})), f(("f", {"o": {"y": [1, 2], "x": 1.0}})), 3.0),
+        (f(("f", {"a": 1}), ("f", {"a": 1})), f(("f", {"a": 1})), 6 * (1 / 2 + 2) / 5 - 3),  # a call is taken once
+        (f(("f", None)), '[{"name": "f"}]', 3.0),
+        (f(("f", {"b": 2})), f(("f", {"c": 2}), ("f", {"b": 3})), 6 * (1 / 2 + 1) / 3 - 3),  # the second agrees in its key
+        ("[]", f(("f", {})), -3.0),
+        ("[]", "[]", 3.0),
+        (f(("f", {})), "__import__('os')", -3.0),
+        (f(("f", {})), '{"name": "f"}', -3.0),
+        (f(("f", {})), '[{"parameters": {}}]', -3.0),
+        (f(("f", {})), None, -3.0),
+    ]
+    df = spark.createDataFrame([(i, e, p) for i, (e, p, _) in enumerate(cases)], "i int, e string, p string")
+    got = {r.i: r.s for r in df.select("i", tools.tool_score(F.col("e"), F.col("p")).alias("s")).collect()}
+    assert [got[i] for i in range(len(cases))] == [pytest.approx(w) for *_, w in cases]
+
+
 def test_masked_recurrences_against_numpy(spark):
     rng = np.random.default_rng(0)
     r, v, m = rng.normal(size=11), rng.normal(size=11), np.array([0, 0, 1, 1, 1, 0, 0, 1, 1, 0, 0])
