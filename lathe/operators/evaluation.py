@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,17 +13,33 @@ from lathe.functions.masked import longest_run
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, order: str, k: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Per key: mean and std of best and worst of ``k`` draws with replacement, over seeded rounds; one prompt's samples fit a task."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{x} {kinds[x]}" for x in keys) + ", best_mean double, best_std double, worst_mean double, worst_std double"
+    """Per key: mean and std of best and worst of ``k`` draws with replacement, over seeded rounds; one prompt's samples are one row.
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows.sort_values(order)[value].to_numpy(float)
-        draws = v[np.random.RandomState(seed).choice(len(v), size=(rounds, k), replace=True)]
-        best, worst = draws.max(axis=1), draws.min(axis=1)
-        return pd.DataFrame([[*key, best.mean(), best.std(), worst.mean(), worst.std()]], columns=[*keys, "best_mean", "best_std", "worst_mean", "worst_std"])
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    The draws of a round depend on the number of samples alone, so prompts of one
+    size share them and are evaluated together.
+    """
+    per = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("_v"))
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+
+    def run(batches):
+        draws: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values = batch.column("_v")
+            sizes = np.asarray(values.value_lengths())
+            flat, starts = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+            out = np.zeros((4, batch.num_rows))
+            for n in np.unique(sizes).tolist():
+                if n not in draws:
+                    draws[n] = np.random.RandomState(seed).choice(n, size=(rounds, k), replace=True)
+                at = np.flatnonzero(sizes == n)
+                for i in range(0, len(at), 512):
+                    some = at[i : i + 512]
+                    v = flat[starts[some][:, None] + np.arange(n)][:, draws[n]]
+                    best, worst = v.max(axis=2), v.min(axis=2)
+                    out[:, some] = best.mean(axis=1), best.std(axis=1), worst.mean(axis=1), worst.std(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), *(pa.array(x) for x in out)], names=[*keys, *names])
+
+    return per.mapInArrow(run, T.StructType([*(per.schema[x] for x in keys), *(T.StructField(x, T.DoubleType()) for x in names)]))
 
 
 def leader_classes(df: DataFrame, uid: str, order: str, pred: str, correct: str, same=None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,6 +107,89 @@ def validation_metrics(df: DataFrame) -> DataFrame:
     return per.join(vote, keys).groupBy("data_source", "n").agg(F.avg("mean").alias("mean_at_n"), F.avg("std").alias("std_at_n"), F.avg("maj").alias("maj_at_n"), F.count(F.lit(1)).alias("prompts"))
 
 
+def sizes_up_to(n: Column) -> Column:
+    """2, 4, 8, ... below ``n``, then ``n``; of one sample none."""
+    powers = F.filter(F.array(*(F.lit(1 << i) for i in range(1, 31))), lambda k: k < n)
+    return F.when(n > 1, F.array_append(powers, n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def best_and_worst_at_k(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+    """``keys, variable, n, k`` and mean and std of the best and the worst of ``k`` draws with replacement from a prompt's ``n`` samples.
+
+    These are the moments that resampling estimates, in closed form: the ``i``-th
+    smallest of ``n`` is the best of ``k`` with probability ``(i/n)^k - ((i-1)/n)^k``.
+    Null values of a variable don't count as samples.
+    """
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables))).alias("x")
+    per = df.select(*keys, long).select(*keys, "x.*").where("value is not null").groupBy(*keys, "variable").agg(F.sort_array(F.collect_list("value")).alias("v"))
+    per = per.withColumn("n", F.size("v")).withColumn("k", F.explode(sizes_up_to(F.col("n"))))
+
+    def moment(power, best):
+        share = lambda i: F.pow(i / F.col("n"), F.col("k"))
+        weight = (lambda i: share(i + 1) - share(i)) if best else (lambda i: share(F.col("n") - i) - share(F.col("n") - i - 1))
+        return F.aggregate(F.transform("v", lambda x, i: F.pow(x, F.lit(power)) * weight(i)), F.lit(0.0), lambda a, x: a + x)
+
+    std = lambda best: F.sqrt(F.greatest(moment(2, best) - F.pow(moment(1, best), F.lit(2)), F.lit(0.0)))
+    return per.select(*keys, "variable", "n", "k", moment(1, True).alias("best_mean"), std(True).alias("best_std"), moment(1, False).alias("worst_mean"), std(False).alias("worst_std"))
+
+
+def win_chances(counts: tuple[int, ...], k: int) -> dict[int, float]:
+    """Of ``k`` draws with replacement among answers that ``counts`` samples gave: the chance that one answer of a given count is the majority.
+
+    Equally frequent answers are equally likely to be seen first. Generating
+    functions of the other answers, whose exponents count draws and ties.
+    """
+    n, out = sum(counts), {}
+    for c in set(counts):
+        others = list(counts)
+        others.remove(c)
+        total = 0.0
+        for t in range(1, k + 1):
+            ways = {(0, 0): 1.0}  # (draws, ties) -> weight
+            for o in others:
+                grown: dict = {}
+                for (d, e), w in ways.items():
+                    for s in range(min(t, k - t - d) + 1):
+                        at = d + s, e + (s == t)
+                        grown[at] = grown.get(at, 0.0) + w * (o / n) ** s / math.factorial(s)
+                ways = grown
+            mine = (c / n) ** t / math.factorial(t)
+            total += sum(mine * w / (e + 1) for (d, e), w in ways.items() if d == k - t)
+        out[c] = total * math.factorial(k)
+    return out
+
+
+def majority_at_k(df: DataFrame, keys: list[str], vote: str, value: str) -> DataFrame:
+    """``keys, n, k, maj_mean, maj_std`` of the value that the majority of ``k`` draws with replacement has, in closed form.
+
+    The value is that of the majority's first draw. The chances depend on how often
+    answers occur, not on which; they are worked out once for each such profile.
+    """
+    classes = df.groupBy(*keys, vote).agg(F.count(F.lit(1)).alias("c"), F.avg(value).alias("m1"), F.avg(F.col(value) * F.col(value)).alias("m2"))
+    per = classes.groupBy(*keys).agg(F.sort_array(F.collect_list("c")).alias("profile"), F.collect_list(F.struct("c", "m1", "m2")).alias("classes"), F.sum("c").alias("n")).withColumn("k", F.explode(sizes_up_to(F.col("n"))))
+
+    def chances(batches):
+        for batch in batches:
+            rows = [(p, k, c, w) for p, k in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True) for c, w in win_chances(tuple(p), k).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.float64()))], names=["profile", "k", "c", "chance"])
+
+    table = per.select("profile", "k").distinct().mapInArrow(chances, "profile array<bigint>, k int, c long, chance double")
+    each = per.select(*keys, "n", "k", "profile", F.explode("classes").alias("x")).select(*keys, "n", "k", "profile", "x.*").join(table, ["profile", "k", "c"])
+    moments = each.groupBy(*keys, "n", "k").agg(F.sum(F.col("chance") * F.col("m1")).alias("maj_mean"), F.sum(F.col("chance") * F.col("m2")).alias("sq"))
+    return moments.withColumn("maj_std", F.sqrt(F.greatest(F.col("sq") - F.col("maj_mean") ** 2, F.lit(0.0)))).drop("sq")
+
+
+def metric_names(df: DataFrame, core: str) -> DataFrame:
+    """``data_source, variable, metric, n`` (metric like ``best@4/mean``, n its size) with ``name``.
+
+    A name starts with ``val-core`` where the variable is ``core`` and the metric is a
+    mean, majority or best at the source's greatest n, else with ``val-aux``.
+    """
+    most = df.groupBy("data_source", "variable").agg(F.max("n").alias("_most"))
+    main = (F.col("variable") == core) & F.col("metric").rlike("^(mean|maj|best)") & (F.col("n") == F.col("_most"))
+    return df.join(most, ["data_source", "variable"]).withColumn("name", F.concat_ws("/", F.when(main, "val-core").otherwise("val-aux"), "data_source", "variable", "metric")).drop("_most")
+
+
 def mean_of_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
     """Mean within each inner key, then over them per outer key."""
     return df.groupBy(outer, inner).agg(F.avg(value).alias("m")).groupBy(outer).agg(F.avg("m").alias("score"), F.count(F.lit(1)).alias("rows"))
@@ -153,11 +240,24 @@ def slowest(df: DataFrame, by: str, fields: list[str]) -> DataFrame:
 T95 = [12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281]
 
 
+def t95(degrees: Column) -> Column:
+    """Two-sided 95% quantile of Student's t: the table up to its end, then the expansion in powers of 1 / degrees, which is within 0.00001 there."""
+    z, v = 1.959963984540054, degrees.cast("double")
+    terms = [
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    ]
+    series = reduce(lambda acc, x: acc + F.lit(x[1]) / F.pow(v, F.lit(x[0])), enumerate(terms, 1), F.lit(z))
+    table = F.element_at(F.array(*map(F.lit, T95)), F.least(F.greatest(degrees, F.lit(1)), F.lit(len(T95))).cast("int"))
+    return F.when(degrees <= len(T95), table).otherwise(series)
+
+
 def mean_ci(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: n, mean and half width of the 95% interval; 0 with one value. Up to 11 values use t, more the normal 1.96."""
-    t = F.element_at(F.array(*map(F.lit, T95)), F.least(F.greatest(F.col("n") - 1, F.lit(1)), F.lit(len(T95))).cast("int"))
+    """Per key: n, mean and half width of the 95% interval by Student's t; 0 with one value."""
     g = df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"))
-    return g.select(key, "n", "mean", F.when(F.col("n") >= 2, F.when(F.col("n") <= 11, t).otherwise(1.96) * F.col("s") / F.sqrt("n")).otherwise(0.0).alias("ci"))
+    return g.select(key, "n", "mean", F.when(F.col("n") >= 2, t95(F.col("n") - 1) * F.col("s") / F.sqrt("n")).otherwise(0.0).alias("ci"))
 
 
 def elementwise_audit(df: DataFrame, a: str, b: str) -> DataFrame:

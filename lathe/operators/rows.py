@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,13 +12,24 @@ from lathe.functions.text import hash_rank
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder, so that every use sees the same partitions; a temporary folder where none is set (tests)."""
+    """``df`` checkpointed in the folder that all executors share, so that every use sees the same partitions. Only a local master may do without one; it gets a temporary folder."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-checkpoint-"))
+    shared_folder(spark)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lathe-checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def numbered(df: DataFrame, order: list, name: str = "_n") -> DataFrame:
     """Adds the position 0.. in the total order of the columns ``order``.
 
@@ -34,6 +45,23 @@ def numbered(df: DataFrame, order: list, name: str = "_n") -> DataFrame:
     return tagged.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
+def running_sum(df: DataFrame, order: list, value: Column, name: str = "sum", number: str | None = None) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to and with this one in the total order ``order``, and the position as ``number``.
+
+    As in ``numbered``, a partition sums its own rows and adds what the partitions before it hold.
+    """
+    spark = df.sparkSession
+    parts = df.withColumn("_v", value).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order)
+    tagged = settled(parts.withColumn("_p", F.spark_partition_id()))
+    sums = tagged.groupBy("_p").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_c"))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = sums.select("_p", *(F.coalesce(F.sum(x).over(ahead), F.lit(0)).alias(y) for x, y in (("_s", "_b"), ("_c", "_d"))))
+    own = Window.partitionBy("_p").orderBy(*order)
+    out = tagged.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.sum("_v").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out if number is None else out.withColumn(number, F.col("_d") + F.row_number().over(own) - 1)
+    return out.drop("_p", "_v", "_b", "_d")
+
+
 def take_slice(df: DataFrame, order: list, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
     """Rows start:stop:step of the order; bounds are not negative and step is positive."""
     n = F.col("_n")
@@ -139,15 +167,10 @@ def weighted_resample(df: DataFrame, key: str, weight: Column, draws: int, seed:
 
     Draws and rows meet by range: both sit on the same grid of cumulative weight, one cell a draw on average.
     """
-    n = numbered(df.withColumn("_w", weight), [key])
-    total = float(n.agg(F.sum("_w")).first()[0])
-    w = Window.partitionBy("_c").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = n.withColumn("_c", F.floor(F.col("_n") / 10_000))
-    sums = part.groupBy("_c").agg(F.sum("_w").alias("_s"))
-    before = sums.select("_c", F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_b"))  # one row for 10,000
-    cum = part.withColumn("_e", F.sum("_w").over(w)).join(before, "_c").withColumns({"_e": F.col("_e") + F.col("_b")}).withColumn("_a", F.col("_e") - F.col("_w"))
+    cum = running_sum(df.withColumn("_w", weight), [key], F.col("_w"), "_e").withColumn("_a", F.col("_e") - F.col("_w"))
+    total = float(cum.agg(F.max("_e")).first()[0] or 0.0)
     cell = total / draws
     spread = cum.withColumn("_k", F.explode(F.sequence(F.floor(F.col("_a") / cell), F.floor(F.col("_e") / cell))))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
     points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", u * total).withColumn("_k", F.floor(F.col("_u") / cell))
-    return spread.join(points, "_k").where("_u >= _a and _u < _e").drop("_w", "_n", "_c", "_e", "_b", "_a", "_k", "_u")
+    return spread.join(points, "_k").where("_u >= _a and _u < _e").drop("_w", "_e", "_a", "_k", "_u")

@@ -80,8 +80,7 @@ def chunk_quantiles(spark, sf_dir):
 
 @query("bootstrap_best_worst")
 def bootstrap_best_worst(spark, sf_dir):
-    s = samples(spark, sf_dir).where("uid < 400")
-    out = evaluation.bootstrap(s, ["uid"], "score", "sample_index", 2, rounds=200)
+    out = evaluation.bootstrap(samples(spark, sf_dir), ["uid"], "score", "sample_index", 2)
     return out.agg(F.round(F.avg("best_mean"), 6).alias("best"), F.round(F.avg("worst_mean"), 6).alias("worst"), F.count(F.lit(1)).alias("prompts"))
 
 
@@ -159,16 +158,12 @@ def distill_topk(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", losses.topk_kl(part(1), part(9)).alias("kl")), "kl")
 
 
-@query("kl_controller", "WITH RECURSIVE k AS (SELECT CAST(event_id AS INTEGER) AS i, value FROM events WHERE event_id < 50), c(i, beta) AS (SELECT -1, CAST(0.2 AS DOUBLE) UNION ALL SELECT k.i, beta * (1 + least(greatest(value / 40.0 - 1, -0.2), 0.2) * 64 / 10000.0) FROM c JOIN k ON k.i = c.i + 1) SELECT i AS step, round(beta, 9) AS beta FROM c WHERE i >= 0")
+@query("kl_controller", "SELECT event_id AS step, round(0.2 * exp(sum(ln(1 + least(greatest(value / 40.0 - 1, -0.2), 0.2) * 64 / 10000.0)) OVER (ORDER BY event_id)), 7) AS beta FROM events")
 def kl_controller(spark, sf_dir):
-    k = table(spark, sf_dir, "events").where("event_id < 50").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))  # 50 steps
-    start = F.struct(F.lit(0.2).alias("b"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        b = acc["b"] * (1 + masked.clamp(x["value"] / 40.0 - 1, -0.2, 0.2) * 64 / 10000.0)
-        return F.struct(b.alias("b"), F.array_append(acc["out"], b).alias("out"))
-
-    return k.select(F.posexplode(F.aggregate("x", start, step, lambda acc: acc["out"])).alias("step", "beta")).withColumn("beta", F.round("beta", 9))
+    # a step's factor doesn't depend on the coefficient so far, so the coefficient is a running product: a sum of logarithms
+    factor = F.ln(1 + masked.clamp(F.col("value") / 40.0 - 1, -0.2, 0.2) * 64 / 10000.0)
+    out = rows.running_sum(table(spark, sf_dir, "events").select("event_id", "value"), ["event_id"], factor)
+    return out.select(F.col("event_id").alias("step"), F.round(0.2 * F.exp("sum"), 7).alias("beta"))
 
 
 @query("run_log_metrics", "SELECT event_id // 10 AS step, 'm/' || event_type AS name, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -195,13 +190,8 @@ def padding(spark, sf_dir):
 
 @query("weighted_cut_points", "SELECT bucket, count(*) AS n FROM (SELECT CAST(floor((sum(p_size) OVER (ORDER BY p_partkey) - 1) / 1000) AS BIGINT) AS bucket FROM part) GROUP BY bucket")
 def weighted_cut_points(spark, sf_dir):
-    p = rows.settled(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
-    block = p.withColumn("b", F.floor(F.col("p_partkey") / 10_000))
-    from pyspark.sql.window import Window
-
-    before = block.groupBy("b").agg(F.sum("p_size").alias("s")).select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row for 10,000
-    run = F.sum("p_size").over(Window.partitionBy("b").orderBy("p_partkey").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return block.withColumn("r", run).join(before, "b").select(F.floor((F.col("base") + F.col("r") - 1) / 1000).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    p = rows.running_sum(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_partkey"], F.col("p_size"))
+    return p.select(F.floor((F.col("sum") - 1) / 1000).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stable_question_ids", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'sha256:' || sha256(text) END AS qid FROM documents")
@@ -210,11 +200,10 @@ def stable_question_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(uid, F.concat(F.lit("sha256:"), F.sha2("text", 256))).alias("qid"))
 
 
-@query("question_keys", r"SELECT p_partkey AS id, lower(p_name) || ' x^' || p_size AS key FROM part WHERE p_size < 10")
+@query("question_keys", r"SELECT p_partkey AS id, lower(p_name) || ' x^' || (p_size % 10) AS key FROM part")
 def question_keys(spark, sf_dir):
     q = F.concat(F.lit("  "), F.upper("p_name"), F.lit("  $x^{"), (F.col("p_size") % 10).cast("string"), F.lit("}$? "))
-    p = table(spark, sf_dir, "part").where("p_size < 10")
-    return p.select(F.col("p_partkey").alias("id"), T.question_key(q).alias("key"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.question_key(q).alias("key"))
 
 
 @query("tool_call_parse_xml", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'find' ELSE '' END AS names, CASE WHEN p_size % 2 = 0 THEN '{\"n\": ' || p_size || ', \"q\": \"' || p_name || '\", \"deep\": true, \"opt\": null}' END AS arguments FROM part")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from lathe.operators import rows
 from lathe.plans.adapters import table
 from lathe.plans.registry import query
 from lathe.streaming import queues
 
 
 def folder(spark) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{rows.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark, sf_dir):

@@ -65,9 +65,13 @@ def completion_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_completion(F.col("text")).alias("cleaned"), T.capitalised(F.col("text")).alias("capitalised"))
 
 
-@query("qa_normal_form", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'), ' ') AS normal FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+# A word's edge lies between a letter, digit or underscore of any script and something else; matches overlap by a space, so the articles are taken out twice.
+ARTICLES = r"'(^|[^\p{L}\p{N}_])(?:a|an|the)([^\p{L}\p{N}_]|$)', '\1 \2', 'g'"
+
+
+@query("qa_normal_form", rf"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{{-~]', '', 'g'), {ARTICLES}), {ARTICLES}), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') AS normal FROM conversations")
 def qa_normal_form(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("conv_id", "turn", T.qa_normal(F.col("text")).alias("normal"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.qa_normal(F.col("text")).alias("normal"))
 
 
 @query("final_number_scores", r"""WITH n AS (SELECT doc_id, source, regexp_extract_all(right(text, 300), '-?[0-9.,]+') AS f FROM documents),
@@ -86,11 +90,20 @@ def offline_eval(spark, sf_dir):
     return mean_of_means(scored, "role", "conv_id", "score").withColumn("score", F.round("score", 9))
 
 
-@query("dedup_questions_max_strength", """WITH q AS (SELECT doc_id, source, md5(regexp_replace(translate(left(text, 40), '.,;:!?''"`', ''), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS k FROM documents),
+def question_key_sql(column: str) -> str:
+    """The question key in DuckDB's regular expressions, whose white space lacks the vertical tab and whose groups are numbered by backslashes."""
+    out = f"trim(lower({column}), ' ')"
+    for pattern, to in T.QUESTION_STEPS:
+        pattern, to = pattern.replace(r"\s", r"[ \t\n\r\f\x0B]").replace("'", "''"), to.replace("$", "\\").replace("\\\\frac", "\\\\frac")
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"trim({out}, ' ')"
+
+
+@query("dedup_questions_max_strength", f"""WITH q AS (SELECT doc_id, source, md5({question_key_sql("text")}) AS k FROM documents),
 g AS (SELECT k FROM q GROUP BY k HAVING count(DISTINCT source) <= 1),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY q.k ORDER BY sha256('11:' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM q JOIN g ON q.k = g.k) SELECT doc_id, source FROM r WHERE n = 1""")
 def dedup_questions_max_strength(spark, sf_dir):
-    key = F.md5(F.regexp_replace(F.translate(F.substring("text", 1, 40), ".,;:!?'\"`", ""), r"[ \t\n\r\f\x0B]+", " ").cast("binary"))
+    key = F.md5(T.question_key(F.col("text")).cast("binary"))
     return rows.dedup_questions(table(spark, sf_dir, "documents"), key, F.col("source"), "doc_id", 11).select("doc_id", "source")
 
 

@@ -439,9 +439,37 @@ def slowest_sample(spark, sf_dir):
     return rounded(metrics.slowest(table(spark, sf_dir, "events"), "value", ["event_id"]), "mean")
 
 
-@query("mean_confidence_interval", "WITH g AS (SELECT c_nationkey, count(c_acctbal) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer WHERE c_custkey < 200 GROUP BY 1) SELECT c_nationkey, n, round(m, 4) AS mean, round(CASE WHEN n >= 2 THEN CASE WHEN n <= 11 THEN [12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281][n - 1] ELSE 1.96 END * s / sqrt(n) ELSE 0.0 END, 4) AS ci FROM g")
+T_SERIES = "1.959963984540054 + 2.372271230298562 / v + 2.8224986157396112 / v ** 2 + 2.555849679507722 / v ** 3 + 1.5895340533938225 / v ** 4"
+
+
+@query("mean_confidence_interval", f"WITH g AS (SELECT c_nationkey, count(c_acctbal) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s, count(c_acctbal) - 1.0 AS v FROM customer GROUP BY 1) SELECT c_nationkey, n, round(m, 4) AS mean, round(CASE WHEN n >= 2 THEN CASE WHEN n <= 11 THEN [12.7062, 4.3027, 3.1824, 2.7764, 2.5706, 2.4469, 2.3646, 2.3060, 2.2622, 2.2281][n - 1] ELSE {T_SERIES} END * s / sqrt(n) ELSE 0.0 END, 2) AS ci FROM g")
 def mean_confidence_interval(spark, sf_dir):
-    return rounded(metrics.mean_ci(table(spark, sf_dir, "customer").where("c_custkey < 200"), "c_nationkey", "c_acctbal"), "mean", "ci", digits=4)
+    return rounded(rounded(metrics.mean_ci(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal"), "mean", digits=4), "ci", digits=2)
+
+
+AT_K = "ks AS (SELECT unnest([2, 4, 8, 16, 32, 64]) AS k), long AS (SELECT data_source, uid, 'score' AS variable, score AS value FROM samples UNION ALL SELECT data_source, uid, 'format_score', format_score FROM samples), o AS (SELECT *, row_number() OVER (PARTITION BY data_source, uid, variable ORDER BY value) AS i, count(*) OVER (PARTITION BY data_source, uid, variable) AS n FROM long), g AS (SELECT o.*, ks.k FROM o JOIN ks ON ks.k < n UNION ALL SELECT o.*, n FROM o WHERE n > 1), p AS (SELECT *, power(i / n, k) - power((i - 1) / n, k) AS b, power((n - i + 1) / n, k) - power((n - i) / n, k) AS w FROM g), m AS (SELECT data_source, uid, variable, n, k, sum(value * b) AS b1, sum(value * value * b) AS b2, sum(value * w) AS w1, sum(value * value * w) AS w2 FROM p GROUP BY ALL)"
+
+
+@query("validation_best_worst_at_k", f"WITH {SAMPLES}, {AT_K} SELECT data_source, variable, n, CAST(k AS INTEGER) AS k, round(avg(b1), 6) + 0.0 AS best_mean, round(avg(sqrt(greatest(b2 - b1 * b1, 0))), 5) AS best_std, round(avg(w1), 6) + 0.0 AS worst_mean, round(avg(sqrt(greatest(w2 - w1 * w1, 0))), 5) AS worst_std, count(*) AS prompts FROM m GROUP BY ALL")
+def validation_at_k(spark, sf_dir):
+    per = metrics.best_and_worst_at_k(samples(spark, sf_dir), ["data_source", "uid"], ["score", "format_score"])
+    out = per.groupBy("data_source", "variable", "n", "k").agg(*(F.avg(c).alias(c) for c in ("best_mean", "best_std", "worst_mean", "worst_std")), F.count(F.lit(1)).alias("prompts"))
+    return rounded(rounded(out, "best_mean", "worst_mean"), "best_std", "worst_std", digits=5)
+
+
+@registry.query("validation_majority_at_k")  # brute force in the tests
+def validation_majority_at_k(spark, sf_dir):
+    per = metrics.majority_at_k(samples(spark, sf_dir), ["data_source", "uid"], "pred", "score")
+    out = per.groupBy("data_source", "n", "k").agg(F.avg("maj_mean").alias("maj_mean"), F.avg("maj_std").alias("maj_std"), F.count(F.lit(1)).alias("prompts"))
+    return rounded(out, "maj_mean", "maj_std")
+
+
+@query("validation_metric_names", f"WITH {SAMPLES}, per AS (SELECT data_source, uid, count(*) AS n, avg(score) AS s, avg(format_score) AS f FROM samples GROUP BY ALL), l AS (SELECT data_source, n, 'score' AS variable, avg(s) AS value FROM per GROUP BY ALL UNION ALL SELECT data_source, n, 'format_score', avg(f) FROM per GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY data_source, variable) AS most FROM l) SELECT CASE WHEN variable = 'score' AND n = most THEN 'val-core' ELSE 'val-aux' END || '/' || data_source || '/' || variable || '/mean@' || n AS name, round(value, 6) + 0.0 AS value FROM m")
+def validation_metric_names(spark, sf_dir):
+    per = samples(spark, sf_dir).groupBy("data_source", "uid").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("score"), F.avg("format_score").alias("format_score"))
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in ("score", "format_score")))).alias("x")
+    rows_ = per.select("data_source", "n", long).groupBy("data_source", "n", F.col("x.variable").alias("variable")).agg(F.avg("x.value").alias("value")).withColumn("metric", F.concat(F.lit("mean@"), F.col("n").cast("string")))
+    return rounded(metrics.metric_names(rows_, "score").select("name", "value"), "value")
 
 
 @query("logprob_difference", f"WITH {TOKENS}, t AS (SELECT exp(old_lp) AS a, exp(roll_lp) AS b FROM tok WHERE mask = 1) SELECT round(max(abs(a - b)), 6) AS diff_max, round(avg(abs(a - b)), 6) AS diff_mean, round(stddev_samp(abs(a - b)), 6) AS diff_std, round(corr(a, b), 6) + 0.0 AS pearson FROM t")
@@ -482,11 +510,11 @@ def variance_proxies(spark, sf_dir):
     return rounded(out, *out.columns)
 
 
-@query("seed_outer_join", "SELECT coalesce(a.step, b.step) AS step, a.v AS seed_a, b.v AS seed_b FROM (SELECT event_id // 50 AS step, round(max(value), 6) AS v FROM events WHERE event_type = 'view' AND event_id % 3 = 0 GROUP BY 1) a FULL JOIN (SELECT event_id // 50 AS step, round(max(value), 6) AS v FROM events WHERE event_type = 'click' AND event_id % 5 = 0 GROUP BY 1) b ON a.step = b.step")
+@query("seed_outer_join", "SELECT coalesce(a.step, b.step) AS step, a.v AS seed_a, b.v AS seed_b FROM (SELECT event_id // 50 AS step, round(max(value), 6) AS v FROM events WHERE event_type = 'view' GROUP BY 1) a FULL JOIN (SELECT event_id // 50 AS step, round(max(value), 6) AS v FROM events WHERE event_type = 'click' GROUP BY 1) b ON a.step = b.step")
 def seed_outer_join(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("step", F.floor(F.col("event_id") / 50))
-    a = e.where("event_type = 'view' and event_id % 3 = 0").groupBy("step").agg(F.round(F.max("value"), 6).alias("seed_a"))
-    b = e.where("event_type = 'click' and event_id % 5 = 0").groupBy("step").agg(F.round(F.max("value"), 6).alias("seed_b"))
+    a = e.where("event_type = 'view'").groupBy("step").agg(F.round(F.max("value"), 6).alias("seed_a"))
+    b = e.where("event_type = 'click'").groupBy("step").agg(F.round(F.max("value"), 6).alias("seed_b"))
     return a.join(b, "step", "full")
 
 

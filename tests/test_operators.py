@@ -1,13 +1,15 @@
 """Operators against hand-computed values, numpy and round trips."""
 
+import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from lathe.functions import answers, masked, tools
 from lathe.functions import text as T
-from lathe.operators import advantages, balance, contracts, correction, groups, losses, metrics, rows
+from lathe.operators import advantages, balance, contracts, correction, evaluation, groups, losses, metrics, rows
 from lathe.sources import datasets
 from lathe.streaming import queues
 from pyspark.sql import functions as F
@@ -216,3 +218,63 @@ def test_queue_budget_and_pause(spark):
     assert one(spark, queues.should_pause(F.lit(5), 5, F.lit(0), 9)) is True and one(spark, queues.should_pause(F.lit(4), 5, F.lit(8), 9)) is False
     df = spark.createDataFrame([(i,) for i in range(10)], "i int")
     assert queues.count_windows(df, ["i"], 4).count() == 8
+
+
+def test_majority_of_draws_equals_enumeration(spark):
+    groups_ = {1: [("a", 1.0), ("b", 2.0), ("a", 3.0)], 2: [("a", 1.0), ("b", 5.0), ("c", -1.0), ("b", 2.0), ("a", 0.5)], 3: [("x", 1.0)], 4: [("x", 1.0), ("x", 3.0)]}
+    df = spark.createDataFrame([(u, p, v) for u, xs in groups_.items() for p, v in xs], "uid int, pred string, score double")
+    got = {(r.uid, r.k): (r.n, r.maj_mean, r.maj_std) for r in metrics.majority_at_k(df, ["uid"], "pred", "score").collect()}
+    want = {}
+    for u, xs in groups_.items():
+        for k in ([2, len(xs)] if len(xs) < 4 else [2, 4, len(xs)]):
+            if len(xs) < 2:
+                continue
+            values = []
+            for draw in itertools.product(xs, repeat=k):
+                counts = Counter(p for p, _ in draw)  # first seen first
+                winner = max(counts, key=counts.__getitem__)
+                values.append(next(v for p, v in draw if p == winner))
+            want[(u, k)] = (len(xs), np.mean(values), np.std(values))
+    assert got.keys() == want.keys()
+    for key, w in want.items():
+        assert got[key] == pytest.approx(w)
+
+
+def test_best_and_worst_of_draws_equal_enumeration(spark):
+    v = [0.3, -1.0, 2.0, 2.0, 0.0]
+    df = spark.createDataFrame([(1, x, None if i else 1.0) for i, x in enumerate(v)], "uid int, a double, b double")
+    got = {r.k: r for r in metrics.best_and_worst_at_k(df, ["uid"], ["a", "b"]).collect()}
+    assert sorted(got) == [2, 4, 5] and {r.variable for r in got.values()} == {"a"}
+    for k, r in got.items():
+        best, worst = ([f(d) for d in itertools.product(v, repeat=k)] for f in (max, min))
+        assert (r.n, r.best_mean, r.best_std, r.worst_mean, r.worst_std) == pytest.approx((5, np.mean(best), np.std(best), np.mean(worst), np.std(worst)))
+
+
+def test_bootstrap_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = {u: rng.normal(size=rng.integers(1, 6)) for u in range(20)}
+    df = spark.createDataFrame([(u, i, float(x)) for u, xs in data.items() for i, x in enumerate(xs)], "uid int, i int, v double")
+    got = {r.uid: r for r in evaluation.bootstrap(df, ["uid"], "v", "i", 3, rounds=50, seed=7).collect()}
+    for u, xs in data.items():
+        np.random.seed(7)
+        draws = xs[np.random.choice(len(xs), size=(50, 3), replace=True)]
+        r = got[u]
+        assert (r.best_mean, r.best_std, r.worst_mean, r.worst_std) == pytest.approx((draws.max(1).mean(), draws.max(1).std(), draws.min(1).mean(), draws.min(1).std()))
+
+
+def test_quantiles_of_t_and_running_sums(spark):
+    # from printed tables
+    t = {1: 12.7062, 5: 2.5706, 10: 2.2281, 11: 2.2010, 15: 2.1314, 30: 2.0423, 120: 1.9799, 100_000: 1.9600}
+    got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in t], "n long").select("n", metrics.t95(F.col("n")).alias("t")).collect()}
+    assert all(abs(got[n] - x) < 1e-4 for n, x in t.items())
+    df = spark.range(1000).withColumn("k", (F.col("id") * 7919) % 1009)
+    out = rows.running_sum(df, ["k"], F.col("id") % 5, number="at").orderBy("k").collect()
+    total = 0
+    for i, r in enumerate(out):
+        total += r.id % 5
+        assert (r["sum"], r["at"]) == (total, i)
+
+
+def test_metric_names_of_the_greatest_size(spark):
+    df = spark.createDataFrame([("s", "acc", "best@2/mean", 2), ("s", "acc", "best@4/mean", 4), ("s", "acc", "worst@4/mean", 4), ("s", "len", "mean@4", 4)], "data_source string, variable string, metric string, n int")
+    assert {r.metric: r.name.split("/")[0] for r in metrics.metric_names(df, "acc").collect()} == {"best@2/mean": "val-aux", "best@4/mean": "val-core", "worst@4/mean": "val-aux", "mean@4": "val-aux"}
