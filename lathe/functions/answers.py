@@ -112,7 +112,97 @@ def multiset_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-SCORERS = {"openai/gsm8k": gsm8k_score, "math": math_score, "dapo": lambda t, g: dapo_score(t, g)["score"], "strict_box": strict_box_score, "searchqa": lambda t, g: qa_score(t, F.array(g))}
+NUMBER = r"[0-9]+(?:[.][0-9]*)?|[.][0-9]+"
+# Scale words and units of the value normaliser.
+SCALES = [("million", "*10^6"), ("billion", "*10^9"), ("trillion", "*10^12")]
+UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard", "liter"]
+
+
+def bare_value(answer: Column) -> Column:
+    """An answer without its unit, currency, percent sign and enclosing text or braces; scale words as powers of ten; lower case."""
+    s = F.regexp_replace(F.trim(answer), r"^\\text\{(.+?)\}$", "$1")
+    s = plain(s, [("\\%", ""), ("\\$", ""), ("$", ""), ("%", ""), (" or ", " , "), (" and ", " , "), *SCALES])
+    for unit in UNITS:
+        s = F.regexp_replace(s, unit + r"(es)?(s)? *(\^[0-9]+)?", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\^ *\\circ", ""), r",\\! *", "")
+    s = F.when(s.rlike(r"^\{.*\}$"), F.regexp_extract(s, r"^\{(.*)\}$", 1)).otherwise(s)
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(s, "- *", "-"), r"([0-9]),(?=[0-9]{3}(?:[^0-9]|$))", "$1")))
+
+
+def number_of(value: Column) -> Column:
+    """The value of a number, fraction, mixed number, root, multiple of pi or scaled number, as a double; null for anything else."""
+    s = F.regexp_replace(bare_value(value), r"\\[dt]frac", r"\\\\frac")
+    def parsed(t):
+        get = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit("")).try_cast("double")
+        sign = F.when(t.startswith("-"), -1.0).otherwise(1.0)
+        plain_ = rf"^-?({NUMBER})$"
+        scaled = rf"^-?({NUMBER})\s*\*\s*10\^\{{?([0-9]+)\}}?$"
+        ratio = rf"^-?(?:\\frac\{{(-?(?:{NUMBER}))\}}\{{({NUMBER})\}}|({NUMBER})\s*/\s*({NUMBER}))$"
+        mixed = rf"^-?([0-9]+)\s*(?:\\frac\{{({NUMBER})\}}\{{({NUMBER})\}}|\s([0-9]+)/([0-9]+))$"
+        root = rf"^-?({NUMBER})?\s*\\sqrt(?:\{{({NUMBER})\}}|([0-9]))$"
+        pi = rf"^-?({NUMBER})?\s*\\pi$"
+        over = lambda a, b: F.when(b != 0, a / b)
+        return (
+            F.when(t.rlike(plain_), sign * get(plain_, 1))
+            .when(t.rlike(scaled), sign * get(scaled, 1) * F.pow(F.lit(10.0), get(scaled, 2)))
+            .when(t.rlike(ratio), sign * over(F.coalesce(get(ratio, 1), get(ratio, 3)), F.coalesce(get(ratio, 2), get(ratio, 4))))
+            .when(t.rlike(mixed), sign * (get(mixed, 1) + over(F.coalesce(get(mixed, 2), get(mixed, 4)), F.coalesce(get(mixed, 3), get(mixed, 5)))))
+            .when(t.rlike(root), sign * F.coalesce(get(root, 1), F.lit(1.0)) * F.sqrt(F.coalesce(get(root, 2), get(root, 3))))
+            .when(t.rlike(pi), sign * F.coalesce(get(pi, 1), F.lit(1.0)) * F.lit(3.141592653589793))
+        )
+
+    return F.transform(F.array(s), parsed)[0]
+
+
+def close(a: Column, b: Column, relative: float = 1e-4) -> Column:
+    """Two numbers within the relative distance, also where one of them is a percentage of the other."""
+    near = lambda x, y: F.abs(x - y) <= relative * F.greatest(F.abs(x), F.abs(y))
+    return near(a, b) | near(a, b / 100) | near(a, b * 100)
+
+
+def same_value(prediction: Column, gold: Column) -> Column:
+    """Whether two answers are one value: equal normal forms, close numbers, or tuples and intervals whose brackets are alike and whose parts are.
+
+    The value subset of symbolic equality: expressions with variables are compared by
+    their normal form only.
+    """
+    shape = r"(?s)^\s*([(\[])(.*)([)\]])\s*$"
+    parts = lambda t: F.split(F.regexp_extract(t, shape, 2), r",(?![0-9]{3}(?:[^0-9]|$))", -1)
+    edges = lambda t: F.concat(F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 3))
+    one = lambda x, y: F.coalesce((math_form(F.trim(x)) == math_form(F.trim(y))) | (bare_value(x) == bare_value(y)), F.lit(False)) | F.coalesce(close(number_of(x), number_of(y)), F.lit(False))
+
+    def judged(p):
+        a, b = p["a"], p["b"]
+        pairs = F.zip_with(parts(a), parts(b), lambda x, y: one(x, y))
+        tuples = (edges(a) == edges(b)) & (F.size(parts(a)) == F.size(parts(b))) & F.forall(pairs, lambda x: x)
+        return F.when(a.isNull() | b.isNull(), F.lit(False)).when(a.rlike(shape) & b.rlike(shape), tuples).otherwise(one(a, b))
+
+    return F.transform(F.array(F.struct(prediction.alias("a"), gold.alias("b"))), judged)[0]
+
+
+def strict_value_score(text: Column, gold: Column) -> Column:
+    """1 if exactly one box is there and it is the gold's value."""
+    boxes = F.size(F.split(text, r"\\boxed\{|\\fbox\{", -1)) - 1
+    return F.when((boxes == 1) & same_value(T.boxed(F.replace(text, F.lit("\\fbox{"), F.lit("\\boxed{"))), gold), 1.0).otherwise(0.0)
+
+
+def marked_answer(text: Column) -> Column:
+    """What follows the last ``answer:``, ``answer is`` or ``answers are`` on its line, without a final point, or the box in it, if that holds a digit; else the last box; else null."""
+    found = F.regexp_extract(text, r"(?is)^.*(?:answer:|answer is|answers are)[ \t]*([^\n]*)", 1)
+    found = F.trim(F.regexp_replace(found, r"\.\s*$", ""))
+    found = F.coalesce(T.boxed(found), found)
+    return F.coalesce(F.when(found.rlike("[0-9]"), found), T.boxed(text))
+
+
+def case_score(passed: Column, continuous: bool = False, most: int = 10) -> Column:
+    """Score of a program by its cases' results: 1 if all hold; else 0, or the share that hold of the first ``most``. A null result doesn't hold."""
+    first = F.slice(passed, 1, most)
+    share = F.size(F.filter(first, lambda x: F.coalesce(x, F.lit(False)))) / F.greatest(F.size(first), F.lit(1))
+    whole = F.forall(passed, lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(whole, 1.0).otherwise(share if continuous else F.lit(0.0))
+
+
+SCORERS = {"openai/gsm8k": gsm8k_score, "strict_value": strict_value_score, "math": math_score, "dapo": lambda t, g: dapo_score(t, g)["score"], "strict_box": strict_box_score, "searchqa": lambda t, g: qa_score(t, F.array(g))}
 
 
 def register(name: str, scorer) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathe.functions.text import sampling_seed
+from lathe.operators.rows import numbered
 
 
 def trace_rules(max_prompt: int = 4096, max_response: int = 8192, width: int = 2, tolerance: float = 5e-4, mass: float = 2.5e-3) -> dict[str, Column]:
@@ -59,3 +60,42 @@ def differences(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def same_schema(df: DataFrame, expected) -> None:
     if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in expected]:
         raise ValueError(f"schema differs: {df.schema.simpleString()} is not {expected.simpleString()}")
+
+
+def gates(metrics: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
+    """``name, value, rule, limit, passed`` for every limit; limits: name -> ("<=" or ">=", limit). A metric that is missing or not a number fails."""
+    table = metrics.sparkSession.createDataFrame([(n, r, float(x)) for n, (r, x) in limits.items()], "name string, rule string, limit double")
+    met = F.when(F.col("rule") == "<=", F.col("value") <= F.col("limit")).otherwise(F.col("value") >= F.col("limit"))
+    return table.join(metrics.select("name", "value"), "name", "left").withColumn("passed", F.coalesce(met & ~F.isnan("value"), F.lit(False)))
+
+
+def overlay_report(source: DataFrame, overlay: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """``check, failures`` of an overlay of a source table: missing, extra and repeated keys, and rows whose ``same`` columns differ."""
+    theirs = overlay.select(key, *(F.col(c).alias(f"_{c}") for c in same), F.lit(True).alias("_there"))
+    both = source.select(key, *same, F.lit(True).alias("_here")).join(theirs, key, "full")
+    fail = {"missing": F.col("_there").isNull(), "extra": F.col("_here").isNull()}
+    fail |= {f"{c}_differs": F.col("_there") & F.col("_here") & ~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same}
+    counts = both.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).alias(n) for n, c in fail.items()))
+    twice = overlay.groupBy(key).count().where("count > 1").agg(F.count(F.lit(1)).alias("failures")).select(F.lit("repeated").alias("check"), "failures")
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("failures")) for n in fail))).alias("x")
+    return counts.select(listed).select("x.*").unionByName(twice)
+
+
+def index_mismatches(df: DataFrame, order: list, index: str) -> DataFrame:
+    """Rows whose ``index`` isn't their position in the order, with the position as ``expected``."""
+    return numbered(df, order, "expected").where(~F.col(index).eqNullSafe(F.col("expected")))
+
+
+def checked_config(config: dict, rules: dict[str, tuple]) -> dict:
+    """``config`` if every rule holds, else an error that names all that fail. rules: key -> (least, most) for numbers or a set of allowed values; keys without a rule raise."""
+    wrong = [f"unknown {k}" for k in config if k not in rules]
+    for key, rule in rules.items():
+        value = config.get(key)
+        if isinstance(rule, (set, frozenset)):
+            if value not in rule:
+                wrong.append(f"{key} is {value!r}, not one of {sorted(map(repr, rule))}")
+        elif not isinstance(value, (int, float)) or not rule[0] <= value <= rule[1]:
+            wrong.append(f"{key} is {value!r}, not within {rule}")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return config

@@ -174,3 +174,76 @@ def weighted_resample(df: DataFrame, key: str, weight: Column, draws: int, seed:
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
     points = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", u * total).withColumn("_k", F.floor(F.col("_u") / cell))
     return spread.join(points, "_k").where("_u >= _a and _u < _e").drop("_w", "_e", "_a", "_k", "_u")
+
+
+def select_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The named columns in their order; None keeps all, a missing one raises."""
+    return df if columns is None else df.select(*present(df, columns))
+
+
+def pop_columns(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the named columns, the rest); a missing one raises."""
+    return df.select(*present(df, columns)), df.drop(*columns)
+
+
+def rename_columns(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    if len(old) != len(new):
+        raise ValueError(f"{len(old)} names can't become {len(new)}")
+    present(df, old)
+    return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
+
+
+def column_or(df: DataFrame, name: str, default: Column) -> Column:
+    """The column with nulls filled, or the default where there is no such column."""
+    return F.coalesce(F.col(name), default) if name in df.columns else default
+
+
+def present(df: DataFrame, columns: list[str]) -> list[str]:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    return columns
+
+
+def take_rows(df: DataFrame, order: list, picks: DataFrame) -> DataFrame:
+    """Rows by position in the order: ``picks(at, out)`` says which row comes at which place; a row may come more than once."""
+    return numbered(df, order, "_n").join(picks.withColumnRenamed("at", "_n"), "_n").drop("_n")
+
+
+def inverse_permutation(permutation: DataFrame) -> DataFrame:
+    """``at, out`` turned round: what brings reordered rows back."""
+    return permutation.select(F.col("out").alias("at"), F.col("at").alias("out"))
+
+
+def head(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of the order."""
+    return df.orderBy(*order).limit(n)
+
+
+def concat(tables: list[DataFrame], order: list, name: str = "at") -> DataFrame:
+    """Tables one after the other, each in its order, with the position in the whole; columns missing in some are null."""
+    out = None
+    for i, t in enumerate(tables):
+        t = t.withColumn("_table", F.lit(i))
+        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
+    return numbered(out, ["_table", *order], name).drop("_table")
+
+
+def shuffled(df: DataFrame, key: Column, seed: int, name: str = "at") -> DataFrame:
+    """Adds the position in a seeded shuffle, which is the same on every run."""
+    return numbered(df.withColumn("_h", hash_rank(seed, key)), ["_h", key], name).drop("_h")
+
+
+def quantile_picks(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
+    """``k`` rows of each group at evenly spread positions of the order, truncated to whole ones; all rows of a group that has no more."""
+    w = Window.partitionBy(*by)
+    n, r = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order)) - 1
+    ranked = df.withColumns({"_n": n, "_r": r})
+    spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / max(k - 1, 1)).cast("int"))
+    return ranked.where((F.col("_n") <= k) | F.array_contains(spots, F.col("_r"))).drop("_n", "_r")
+
+
+def spread_positions(length: Column, k: int) -> Column:
+    """``k`` positions of 0 .. length - 1, evenly spread and truncated; empty for an empty response."""
+    spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (length - 1) / max(k - 1, 1)).cast("int"))
+    return F.when(length > 0, spots).otherwise(F.array().cast("array<int>"))

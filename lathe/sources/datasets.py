@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 READERS = {"parquet": "parquet", "json": "json", "jsonl": "json"}
 
@@ -111,3 +112,51 @@ def oversized_row_groups(path: str, columns: list[str], most_bytes: int) -> list
         if size > most_bytes:
             out.append((i, size))
     return out
+
+
+def read_exact(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A shard whose files hold exactly the columns and types of ``schema``; anything else raises before a row is read. Nullability is the contract rules' part."""
+    df = spark.read.parquet(path)
+    found, wanted = ([(f.name, f.dataType) for f in s.fields] for s in (df.schema, schema))
+    if found != wanted:
+        raise ValueError(f"schema differs: {df.schema.simpleString()} is not {schema.simpleString()}")
+    return df
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """A Parquet scan with ``file`` and ``row_index``, the place of each row."""
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+
+
+def selected_rows(df: DataFrame, selection: DataFrame, key: str) -> DataFrame:
+    """Rows of a Parquet scan by ``file`` (as a suffix of the path) and ``row_index``; one whose ``key`` isn't the selection's raises."""
+    chosen = selection.select(F.col("row_index"), F.col("file").alias("_file"), F.col(key).alias("_key"))
+    rows = with_position(df).join(chosen, "row_index").where(F.col("file").endswith(F.col("_file")))
+    held = F.when(F.col(key).eqNullSafe(F.col("_key")), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("another row at "), F.col("row_index").cast("string"))).cast(df.schema[key].dataType))
+    return rows.withColumn(key, held).drop("_file", "_key", "file")
+
+
+def flat_params(params, sep: str = "/") -> dict:
+    """Nested parameters as one level: keys joined by ``sep``; a list becomes its length (``list_len``) and its items by number."""
+
+    def walk(x, path):
+        if isinstance(x, (list, tuple)):
+            x = {"list_len": len(x), **{str(i): v for i, v in enumerate(x)}}
+        if isinstance(x, dict):
+            for k, v in x.items():
+                yield from walk(v, [*path, str(k)])
+        else:
+            yield sep.join(path), x
+
+    return dict(walk(params or {}, []))
+
+
+def path_key(path: Column) -> Column:
+    """Name of a remote path in a cache: the MD5 of its text."""
+    return F.md5(path.cast("binary"))
+
+
+def metric_history(df: DataFrame, step: str = "step", value: str = "value", by: list[str] | None = None) -> DataFrame:
+    """Steps above 0 that have a value, the first row of each step; rows come in the order of ``row``."""
+    w = Window.partitionBy(*(by or []), step).orderBy("row")
+    return df.where((F.col(step) > 0) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*(by or []), step, value)

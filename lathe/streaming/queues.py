@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def read_events(spark: SparkSession, folder: str, name: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
@@ -85,3 +86,42 @@ def count_windows(df: DataFrame, order: list, size: int) -> DataFrame:
 def for_each(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> None:
     """Assemble each micro-batch with ``handle`` over what is available now."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+
+
+def rate_limited(df: DataFrame, by: list[str], order: list, arrival: str, cost: Column, rate: float, capacity: float) -> DataFrame:
+    """Adds ``start``: when a token bucket lets each request of a key begin, in its order.
+
+    The bucket refills at ``rate`` a second up to ``capacity`` and a request takes
+    ``cost`` (at most ``capacity``). The time at which the bucket would be full again
+    grows by ``cost / rate`` from the later of itself and the arrival, so it is a running maximum
+    of arrivals less the work before them, plus the work so far: two windows, no loop.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    worked = df.withColumn("_c", cost / rate).withColumn("_s", F.sum("_c").over(w))
+    full = worked.withColumn("_full", F.col("_s") + F.max(F.col(arrival) - (F.col("_s") - F.col("_c"))).over(w))
+    return full.withColumn("start", F.greatest(F.col(arrival), F.col("_full") - F.lit(capacity / rate))).drop("_c", "_s", "_full")
+
+
+# States of a partial rollout, and what leads from one to the next.
+ROLLOUT = {
+    ("PENDING", "start"): "GENERATING",
+    ("GENERATING", "tool_call"): "PROCESSING_TOOLS",
+    ("GENERATING", "interaction"): "INTERACTING",
+    ("GENERATING", "stop"): "TERMINATED",
+    ("PROCESSING_TOOLS", "tool_result"): "GENERATING",
+    ("PROCESSING_TOOLS", "stop"): "TERMINATED",
+    ("INTERACTING", "reply"): "GENERATING",
+    ("INTERACTING", "stop"): "TERMINATED",
+}
+
+
+def states(events: Column, transitions: dict[tuple[str, str], str] = ROLLOUT, start: str = "PENDING") -> Column:
+    """The state after each event of an array; an event that leads nowhere from a state leaves it, so a paused rollout resumes where it was."""
+    table = F.create_map(*(F.lit(x) for (s, e), to in transitions.items() for x in (f"{s}/{e}", to)))
+    first = F.struct(F.lit(start).alias("state"), F.array().cast("array<string>").alias("out"))
+
+    def move(acc, e):
+        to = F.coalesce(F.try_element_at(table, F.concat(acc["state"], F.lit("/"), e)), acc["state"])
+        return F.struct(to.alias("state"), F.array_append(acc["out"], to).alias("out"))
+
+    return F.aggregate(events, first, move, lambda acc: acc["out"])
