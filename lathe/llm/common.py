@@ -1,19 +1,30 @@
-"""Helpers shared by the training-data operators: materialised tables, row keys, sized broadcasts."""
+"""Helpers shared by the training-data operators: materialised tables, free column names, sized broadcasts, hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do without; it gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lathe-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lathe-checkpoint-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -22,9 +33,47 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``stored`` writes inside; write the result elsewhere before that."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(token)
+        for p in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores added as it takes to clash with none of ``columns``, whose case doesn't count."""
+    taken = {c.lower() for c in columns}
+    return [next(x for i in count() if (x := n + "_" * i).lower() not in taken) for n in names]
+
+
+def with_counted(left: DataFrame, right: DataFrame, keys: list[str], n: str, parts: int = 1000, least: int = 1000) -> DataFrame:
+    """Inner join with ``right``, a stored table of one row a key that says in column ``n`` how many rows of ``left`` hold the key.
+
+    Keys that hold more than one ``parts``-th of all counted rows (and more than
+    ``least``) are fewer than ``parts``, by arithmetic, so they are broadcast and their rows stay where they
+    are; the rest are joined by a shuffle, in which no key is hot any more.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(total // parts, least)
+    if right.where(hot).isEmpty():
+        return left.join(right, keys)
+    heavy = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(heavy, keys).unionByName(rest)
+
+
 def sized_broadcast(df: DataFrame, size: Column, max_bytes: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its rows' bytes, by the column ``size``, sum to at most ``max_bytes``; else as it is, for a shuffled join.
 
