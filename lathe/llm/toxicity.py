@@ -29,6 +29,11 @@ def features(word: str, bits: int) -> list[int]:
     return out
 
 
+def folded(text: str) -> str:
+    """Lower case, of the same length: the one letter that becomes two is folded to its first before, so offsets hold for the text as it is."""
+    return text.replace("\u0130", "i").lower()
+
+
 def sentences(text: str):
     """(start, end) of every sentence that holds a word; whole text, offsets in code points."""
     return [m.span() for m in SENTENCE.finditer(text)]
@@ -56,9 +61,7 @@ class Model:
             return got
 
         def score(text):
-            found, log_clean, lowered = [], 0.0, text.lower()
-            if len(lowered) != len(text):  # a few letters change length; offsets then follow the text as it is
-                lowered = text
+            found, log_clean, lowered = [], 0.0, folded(text)
             for s, e in sentences(lowered):
                 words = WORD.findall(lowered, s, e)
                 if words:
@@ -114,7 +117,9 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 2000, max_chars: int = 12_000_000, bits: int = 18, epochs: int = 150) -> Model:
     """Train on a bounded sample: at most ``max_rows`` labelled documents of each class, by hashed id, and ``max_chars`` characters.
 
-    Rows of the held-out fold are left out. A document labelled more than once
+    Rows of the held-out fold are left out, and so are documents of more than a
+    hundredth of ``max_chars``; where the rest holds more than ``max_chars``
+    characters, a share by hashed id is taken. A document labelled more than once
     counts as toxic if any label says so; null ids, labels and texts train
     nothing. Where one class is missing the model gives its share of one class,
     and without any label 0.
@@ -126,19 +131,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model(np.zeros(1 << bits, np.float32), 20.0 if totals.get(1) else -20.0, bits)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = stored(known.where("y = 1").orderBy(*order).limit(max_rows).unionByName(known.where("y = 0").orderBy(*order).limit(max_rows)))
-    sample = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sample = docs.where(F.col(doc_id).isNotNull() & (F.length(text) <= max_chars // 100)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sample = stored(sample.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))  # at most 2 * max_rows ids
     chars = sample.select(F.sum(F.length("text"))).first()[0] or 0
     if chars > max_chars:
         part = int(1e6 * max_chars / chars)
-        sample = sample.where((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < part) & (F.length("text") <= max_chars // 100))
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < part)
 
     def encode(batches):
         for batch in batches:
             feats, ends = [], []
             for t in batch.column(1):
                 f, at = [], [0]
-                lowered = t.as_py().lower()
+                lowered = folded(t.as_py())
                 for s, e in sentences(lowered):
                     words = WORD.findall(lowered, s, e)
                     if words:
