@@ -147,7 +147,7 @@ y AS (SELECT *, s + length(w) AS e FROM x WHERE length(v) >= least),
 base AS (SELECT * FROM y WHERE kind <> 'opaque'),
 a AS (SELECT * FROM base UNION ALL SELECT * FROM y WHERE kind = 'opaque' AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = y.doc_id AND b.s < y.e AND y.s < b.e)),
-u AS (SELECT v, count(DISTINCT source) <= 1 AND count(DISTINCT source || '/' || lang) <= 1 AS live FROM a GROUP BY v),
+u AS (SELECT v, count(DISTINCT source) <= 1 AND count(DISTINCT source || '/' || lang) <= 3 AS live FROM a GROUP BY v),
 f AS (SELECT a.doc_id, s, o, live, CASE WHEN kind = 'opaque' THEN 'owned' ELSE kind END AS kk, CASE WHEN kind = 'opaque' THEN 'owned' ELSE kind END || ':' || s || ':' || e AS span FROM a JOIN u ON a.v = u.v WHERE live OR kind <> 'opaque')
 SELECT d.doc_id, count(*) FILTER (kk = 'assign') AS n_assign, count(*) FILTER (kk = 'access') AS n_access, count(*) FILTER (kk = 'hex') AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY s, o) FILTER (kk <> 'owned'), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, o), '') AS spans,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lathe.llm.common import stored
+from lathe.llm.common import let, spare, stored, with_counted
 
 # Fixed patterns: (kind, pattern, group that holds the value, least characters of that group).
 BASE = [
@@ -17,6 +17,27 @@ BASE = [
 OPAQUE = ("opaque", r"([A-Za-z0-9+/_-]{20,})", 1, 20)
 
 
+def sums_before(sizes: Column) -> Column:
+    """For each element of an array of numbers the sum of those before it, in two levels of about the root of the length.
+
+    A fold that appends copies what it has made so far, so one fold over everything
+    would take time by the square of the length.
+    """
+
+    def running(xs, first):
+        start = F.struct(first.cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")), lambda acc: acc["out"])
+
+    def two_levels(xs):
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        firsts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs), width)).otherwise(F.array().cast("array<int>"))
+        blocks = F.transform(firsts, lambda i: F.slice(xs, i, width))
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), running(totals, F.lit(0)).alias("s")), lambda z: running(z["b"], z["s"])))
+
+    return let(sizes, two_levels)
+
+
 def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """array<struct<s, kind, e, v>> of the pattern's leftmost non-overlapping matches, offsets in code points.
 
@@ -27,53 +48,53 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     value = whole if group == 1 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("p"), F.transform(whole, lambda m: F.length(m)).alias("m"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,kind:string,e:int,v:string>>").alias("out"))
 
-    def step(acc, r):
-        s, e = acc["at"] + r["p"], acc["at"] + r["p"] + r["m"]
-        one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("kind"), e.alias("e"), r["v"].alias("v")))
-        return F.struct(e.alias("at"), F.when(F.length(r["v"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(xs):
+        before = sums_before(F.transform(xs, lambda r: (r["p"] + r["m"]).cast("long")))
+        one = lambda r, b: F.struct((b + r["p"]).cast("int").alias("s"), F.lit(kind).alias("kind"), (b + r["p"] + r["m"]).cast("int").alias("e"), r["v"].alias("v"))
+        return F.filter(F.zip_with(xs, before, one), lambda x: F.length(x["v"]) >= least)
 
-    found = F.aggregate(rows, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<s:int,kind:string,e:int,v:string>>"))
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(F.array().cast("array<struct<s:int,kind:string,e:int,v:string>>"))
 
 
-def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``base`` and ``opaque`` span arrays for every row; opaque runs that a base span overlaps are left out."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = F.concat(*(spans_of(t, *b) for b in BASE))
-    out = docs.withColumns({"_base": base, "_opaque": spans_of(t, *OPAQUE)})
+def candidates(text: Column) -> Column:
+    """Spans of the base kinds and opaque runs of a text; opaque runs that a base span overlaps are left out."""
+    t = F.coalesce(text, F.lit(""))
     mixed = lambda v: v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9]")
-    clear = lambda x: ~F.exists(F.col("_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return out.withColumn("_opaque", F.filter("_opaque", lambda x: mixed(x["v"]) & clear(x)))
+    clear = lambda base: lambda x: mixed(x["v"]) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    return let(F.struct(F.concat(*(spans_of(t, *b) for b in BASE)).alias("base"), spans_of(t, *OPAQUE).alias("opaque")), lambda x: F.concat(x["base"], F.filter(x["opaque"], clear(x["base"]))))
 
 
-def scan(docs: DataFrame, text: str = "text", repository: str | Column = "source", owner: str | Column = "source", max_owners: int = 1, max_repositories: int = 1) -> DataFrame:
-    """Adds ``spans``: array of struct(start, kind, end, live, owners, repositories), by start, then kind in listed order.
+def scan(docs: DataFrame, text: str = "text", repository: str | Column = "source", owner: str | Column = "source", max_owners: int = 1, max_repositories: int = 3) -> DataFrame:
+    """The rows of ``docs`` without ``text``, and ``spans``: array of struct(start, kind, end, live, owners, repositories), by start, then kind in listed order.
 
     Candidates are the base kinds and opaque runs. A candidate's value counts, over
     the whole corpus, the distinct repositories and owners that hold it: one with at
     most ``max_owners`` and ``max_repositories`` is owner-specific and live-looking,
-    one beyond is a widely copied example. Base spans stay either way; an opaque run
+    one beyond is a widely copied example: several owners share it, or one owner has
+    copied it through many repositories. Base spans stay either way; an opaque run
     becomes a span (kind ``owned``) only if it is owner-specific.
 
     A null text is empty; null repositories and owners count as one of their own.
     Repeated rows stay and, being of one owner, don't make a value common. Values are
     compared by SHA-256. Counting first takes distinct (value, owner, repository), so
-    a value that a third of all rows hold is a few rows before it is shuffled.
+    a value that a third of all rows hold is a few rows before it is shuffled; when
+    the counts go back to the rows, such a value is broadcast.
     """
-    kept = [c for c in docs.columns if c != "spans"]
-    marked = docs.select(*kept, F.coalesce((F.col(repository) if isinstance(repository, str) else repository).cast("string"), F.lit("\x00")).alias("_repository"), F.coalesce((F.col(owner) if isinstance(owner, str) else owner).cast("string"), F.lit("\x00")).alias("_owner"))
-    found = candidates(marked, text).select(*[c for c in kept if c != text], "_repository", "_owner", F.transform(F.concat("_base", "_opaque"), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), F.sha2(x["v"].cast("binary"), 256).alias("h"))).alias("_c"))
-    found = stored(found.withColumn("_row", F.monotonically_increasing_id()))
-    each = found.select("_row", "_repository", "_owner", F.explode("_c").alias("x")).select("_row", "_repository", "_owner", "x.*")
-    use = stored(each.select("h", "_owner", "_repository").distinct().groupBy("h").agg(F.countDistinct("_owner").alias("owners"), F.countDistinct("_repository").alias("repositories")))
-    judged = each.select("_row", "s", "kind", "e", "h").join(use, "h").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).where("live or kind <> 'opaque'")
+    kept = [c for c in docs.columns if c not in ("spans", text)]
+    number, place, holder, held = spare([*kept, "spans"], "_row", "_repository", "_owner", "_found")
+    as_column = lambda x: F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit("\x00"))
+    named = F.transform(candidates(F.col(text)), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), F.sha2(x["v"].cast("binary"), 256).alias("h")))
+    found = stored(docs.select(*kept, as_column(repository).alias(place), as_column(owner).alias(holder), named.alias(held)).withColumn(number, F.monotonically_increasing_id()))
+    each = found.select(F.col(number).alias("row"), F.col(place).alias("repository"), F.col(holder).alias("owner"), F.explode(held).alias("x")).select("row", "repository", "owner", "x.*")
+    one = each.groupBy("h", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    use = stored(one.groupBy("h").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repository").alias("repositories"), F.sum("n").alias("n")))
+    judged = with_counted(each.select("row", "s", "kind", "e", "h"), use, ["h"], "n").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).where("live or kind <> 'opaque'")
     order = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
-    one = F.struct(F.col("s").alias("start"), order.alias("order"), F.when(F.col("kind") == "opaque", "owned").otherwise(F.col("kind")).alias("kind"), F.col("e").alias("end"), "live", "owners", "repositories")
-    rows = judged.groupBy("_row").agg(F.sort_array(F.collect_list(one)).alias("spans"))
+    span = F.struct(F.col("s").alias("start"), order.alias("order"), F.when(F.col("kind") == "opaque", "owned").otherwise(F.col("kind")).alias("kind"), F.col("e").alias("end"), "live", "owners", "repositories")
+    rows = judged.groupBy(F.col("row").alias(number)).agg(F.sort_array(F.collect_list(span)).alias("spans"))
     empty = F.array().cast(rows.schema["spans"].dataType)
-    return found.join(rows, "_row", "left").select(*[c for c in kept if c != text], F.coalesce("spans", empty).alias("spans"))
+    return found.join(rows, number, "left").select(*kept, F.coalesce("spans", empty).alias("spans"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
