@@ -170,10 +170,13 @@ def _op7_sql() -> str:
         for x in ("source", "lang", "topic"):
             parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, t, w * target / sum(w) OVER (PARTITION BY c.{x}) AS w FROM c{n} c JOIN m_{x} m ON c.{x} IS NOT DISTINCT FROM m.{x})")
             n += 1
-    parts.append(f"f AS (SELECT source, lang, topic, w * (SELECT sum(t) FROM c0) / t AS weight FROM c{n})")
-    parts.append("j AS (SELECT d.*, coalesce(weight, 1.0) AS weight, least(1.0, 0.5 * coalesce(weight, 1.0)) AS p FROM d LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic)")
+    parts.append(f"f AS MATERIALIZED (SELECT source, lang, topic, w * (SELECT sum(t) FROM c0) / t AS weight FROM c{n})")
+    off = " UNION ALL ".join(f"SELECT max(abs(s / target - 1)) AS off FROM (SELECT {x}, sum(w) AS s FROM c{n} GROUP BY {x}) c JOIN m_{x} m ON c.{x} IS NOT DISTINCT FROM m.{x}" for x in ("source", "lang", "topic"))
+    parts.append(f"r AS (SELECT max(off) AS residual FROM ({off}))")
+    parts.append("j AS (SELECT d.*, coalesce(weight, 1.0) AS weight, 0.5 * coalesce(weight, 1.0) AS p, CASE WHEN weight IS NOT NULL THEN residual END AS residual FROM d LEFT JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic CROSS JOIN r)")
     draw = "CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
-    return f"WITH {', '.join(parts)} SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS probability, {draw} < p AS sampled FROM j"
+    return f"""WITH {', '.join(parts)}, k AS (SELECT *, CAST(floor(p) AS INTEGER) + CASE WHEN {draw} < p - floor(p) THEN 1 ELSE 0 END AS copies FROM j)
+SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, round(p, 6) AS expected, copies, copies > 0 AS sampled, round(residual, 6) AS residual FROM k"""
 
 
 def oracle_sql():

@@ -56,7 +56,7 @@ def test_raked_weights_meet_their_margins(spark):
     assert mixed.count() == len(docs)
     share = {r.source: r.s for r in mixed.groupBy("source").agg((F.sum(F.col("n_tokens") * F.col("weight")) / F.lit(mixed.agg(F.sum(F.col("n_tokens") * F.col("weight"))).first()[0])).alias("s")).collect()}
     assert all(math.isclose(share[k], v, abs_tol=1e-3) for k, v in {"a": 0.2, "b": 0.3, "c": 0.5}.items())
-    tokens = mixed.agg(F.sum("n_tokens"), F.sum(F.when(F.col("sampled"), F.col("n_tokens"))), F.sum(F.col("n_tokens") * F.col("probability"))).first()
+    tokens = mixed.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies")), F.sum(F.col("n_tokens") * F.col("expected"))).first()
     assert abs(tokens[1] - tokens[2]) < 0.1 * tokens[0]
     drawn = {r.sampled for r in mixed.where("doc_id = 0").collect()}
     assert len(drawn) == 1
