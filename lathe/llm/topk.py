@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lathe.llm.common import stored
+
 OUT = "query_id long, vec_id long, score long"
 LONG = np.iinfo(np.int64)
 
 
-def usable(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, v): the scaled components as whole doubles, for rows with an id and finite, non-null components only."""
+def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(vec_id, x) of rows with an id and finite, non-null components only."""
     x = F.col(embedding)
     fine = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
-    return df.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: floor_double(c.cast("double") * scale)).alias("v"))
+    return df.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x"))
+
+
+def scaled(x, scale: int):
+    """The components as whole doubles."""
+    return F.transform(x, lambda c: floor_double(c.cast("double") * scale))
 
 
 def floor_double(c):
@@ -82,22 +89,21 @@ def products(query: np.ndarray, rows: np.ndarray) -> list[int] | np.ndarray:
 
 
 def search_block(queries, found, parts, k: int) -> None:
-    """Improve each query's heap in ``found`` over the buckets, longest first."""
-    for i, (qid, q, length) in enumerate(queries):
+    """Improve each query's heap in ``found`` over the buckets, longest first. A query is (id, vector, length, seed), see ``seeded``."""
+    for i, (qid, q, length, seed) in enumerate(queries):
         heap = found[i]
         for b in parts:
             if len(q) != b.vectors.shape[1]:
                 break
-            least = heap[0][0] if len(heap) == k else -np.inf
-            at = b.candidates(q, length, float(least) * (1 - 1e-12) - 1e-6 if len(heap) == k and least > 0 else least)
+            least = max(seed, heap[0][0]) if len(heap) == k else seed
+            at = b.candidates(q, length, float(least) * (1 - 1e-12) - 1e-6 if least > 0 else least)
             if at is None:
                 break  # the buckets that follow are shorter still
             if not len(at):
                 continue
             scores = products(q, b.vectors[at])
-            if len(heap) == k:
-                better = scores >= heap[0][0]
-                at, scores = at[better], scores[better]
+            better = scores >= least
+            at, scores = at[better], scores[better]
             ids = b.ids[at]
             others = ids != qid
             ids, scores = ids[others], scores[others]
@@ -111,32 +117,67 @@ def search_block(queries, found, parts, k: int) -> None:
                     heapq.heapreplace(heap, (s, -v))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, query_block: int = 4096, chunk: int = 16384, bucket: int = 512) -> DataFrame:
+def seeded(asked: DataFrame, longest: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """``asked`` with ``seed``: a score that the query's k-th best reaches for sure, as k of the corpus' longest vectors do; null without k of them."""
+    shared = asked.sparkSession.sparkContext.broadcast(longest)
+
+    def run(batches):
+        groups: dict[int, list] = {}
+        for i, x in shared.value:
+            groups.setdefault(len(x), []).append((i, x))
+        known = {d: (np.array([i for i, _ in xs]), np.stack([x for _, x in xs])) for d, xs in groups.items()}
+        for batch in batches:
+            seeds = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                q, best = np.array(x.as_py(), np.float64), None
+                if len(q) in known:
+                    ids, vectors = known[len(q)]
+                    scores = products(q, vectors[ids != i])
+                    best = int(np.sort(scores)[-k]) if len(scores) >= k else None
+                seeds.append(best)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seeds, pa.int64())], names=[*batch.schema.names, "seed"])
+
+    return asked.mapInArrow(run, "vec_id long, v array<double>, seed long")
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024, query_block: int = 16384, chunk: int = 16384, bucket: int = 512, seeds: int = 2048, block_bytes: int = 32 << 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` highest integer inner products, ties to the smaller vec_id.
 
     A row of the query's own vec_id is no candidate for it. Rows that are null or
     hold a null or non-finite component, or have no id, take no part; a query and a
-    vector of different dimensions have no product. Repeated rows each count.
-    Fewer than ``k`` candidates give as many rows; empty tables give none. Scores
+    vector of different dimensions have no product. Repeated rows each count as
+    candidates; of query rows that share an id the least vector asks. Fewer than
+    ``k`` candidates give as many rows; empty tables give none. Scores
     outside a long are held at its ends.
 
-    Queries are a stated set: they are sent to all rows in blocks of ``query_block``.
-    Each task reads its vectors in chunks, groups a chunk by length and keeps ``k``
-    for each query, so what is shuffled is bounded by tasks x queries x k, and the
-    window's group limit cuts it before the shuffle.
+    The table is ordered by length over the whole corpus and stored, once, rows of one
+    length dealt by hash; so a bucket of neighbours is a narrow range of lengths
+    wherever it is read. The longest ``seeds`` vectors give each query a first
+    threshold, from which all tasks start. Queries are a stated set: blocks of at most
+    ``query_block`` queries and about ``block_bytes`` are sent to all rows, one block
+    and one scan after the other; beyond one block each is stored before the next. A task keeps ``k`` for each query, so what
+    is shuffled is bounded by tasks x queries x k, and the window's group limit cuts
+    it before the shuffle.
     """
     spark = rows.sparkSession
-    data, asked = usable(rows, vec_id, embedding, scale), usable(queries, vec_id, embedding, scale)
-    n = asked.count()
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    n_blocks = max(1, -(-n // query_block))
+    norm = F.sqrt(F.aggregate(scaled(F.col("x"), scale), F.lit(0.0), lambda s, c: s + c * c))
+    measured = usable(rows, vec_id, embedding).withColumns({"norm": norm, "at": F.xxhash64(F.monotonically_increasing_id())})
+    data = stored(measured.repartitionByRange(F.desc("norm"), "at").sortWithinPartitions(F.desc("norm"), "at").drop("at"))
+    asked = usable(queries, vec_id, embedding).groupBy("vec_id").agg(F.min(scaled(F.col("x"), scale)).alias("v"))
+    width = data.agg(F.max(F.size("x"))).first()[0] or 1
+    first = data.orderBy(F.desc("norm"), "vec_id").limit(max(k + 1, min(seeds, block_bytes // (32 * width)))).select("vec_id", scaled(F.col("x"), scale).alias("v"))
+    asked = stored(seeded(asked, [(r.vec_id, np.array(r.v, np.float64)) for r in first.collect()], k))
+    n_blocks = max(1, -(-asked.count() // max(1, min(query_block, block_bytes // (8 * width)))))
+    vectors = data.select("vec_id", scaled(F.col("x"), scale).alias("v"))
+    out = spark.createDataFrame([], OUT)
     for b in range(n_blocks):
         part = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
         block = []
         for r in part.toLocalIterator():
             q = np.array(r.v, np.float64)
-            block.append((r.vec_id, q, float(np.sqrt(q @ q))))
-        block = list({x[0]: x for x in reversed(block)}.values())[::-1]
+            block.append((r.vec_id, q, float(np.sqrt(q @ q)), -np.inf if r.seed is None else r.seed))
+        if not block:
+            continue
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -163,7 +204,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
             out = [(queries[i][0], -v, s) for i, heap in enumerate(found) for s, v in heap]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-        if block:
-            out = out.unionByName(data.mapInArrow(run, OUT))
+        best = vectors.mapInArrow(run, OUT)
+        if n_blocks > 1:
+            best = stored(best)
+            shared.destroy()
+        out = out.unionByName(best)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
