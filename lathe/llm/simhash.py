@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.llm.common import sized_broadcast, stored
+from lathe.llm.common import sized_broadcast, spare, stored, with_counted
 from lathe.llm.components import connected_components
 
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -149,35 +149,111 @@ def near_groups(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
             todo += [at[d <= cut[1]], at[d > cut[1] - radius]]
             continue
         for i in range(0, len(at), 256):
-            near = np.bitwise_count(own[i : i + 256, None] ^ own[None, i:]) <= radius
             if len(at) > leaf:  # dense: each point joins the first one it is near to, other links follow
                 label = np.fromiter((groups.root(int(x)) for x in at[i:]), np.int64, len(at) - i)
-            for x, row in enumerate(near):
-                hits = np.flatnonzero(row)
-                hits = hits[hits > x]
-                if len(hits) > 32 and len(at) > leaf:
-                    hits = hits[np.unique(label[hits], return_index=True)[1]]
-                for y in hits.tolist():
-                    groups.join(int(at[i + x]), int(at[i + y]))
+            for j in range(i, len(at), 1 << 14):
+                near = np.bitwise_count(own[i : i + 256, None] ^ own[None, j : j + (1 << 14)]) <= radius
+                for x, row in enumerate(near):
+                    hits = j - i + np.flatnonzero(row)
+                    hits = hits[hits > x]
+                    if len(hits) > 32 and len(at) > leaf:
+                        hits = hits[np.unique(label[hits], return_index=True)[1]]
+                    for y in hits.tolist():
+                        groups.join(int(at[i + x]), int(at[i + y]))
     return np.fromiter((groups.root(x) for x in range(len(points))), np.int64, len(points))
 
 
-def near_edges(prints: DataFrame, radius: int = 2, target: int = 1024, sample_rows: int = 32768) -> DataFrame:
-    """Star edges ``(a, b)`` whose components are those of all pairs of distinct ``fingerprint`` values within ``radius``.
+def flat_tree(tree) -> bytes:
+    """A planned tree as triples of longs, outer nodes first: (1, vantage, mu), or (0, shard's number, 0)."""
+    out: list[int] = []
+
+    def write(node):
+        if isinstance(node, tuple):
+            out.extend((1, int(node[0].view(np.int64)), node[1]))
+            write(node[2])
+            write(node[3])
+        else:
+            out.extend((0, node, 0))
+
+    write(tree)
+    return np.array(out, np.int64).tobytes()
+
+
+def grown_tree(data: bytes):
+    triples = iter(np.frombuffer(data, np.int64).reshape(-1, 3))
+
+    def read():
+        kind, value, mu = next(triples)
+        return (value.view(np.uint64), int(mu), read(), read()) if kind else int(value)
+
+    return read()
 
-    prints: a stored table of distinct fingerprints. The tree is planned on at
-    most ``sample_rows`` of them (by hashed order); every fingerprint is placed
-    by it. A shard emits one edge a point at most, not its pairs.
+
+def shards(prints: DataFrame, radius: int, target: int, sample_rows: int, tree_bytes: int) -> DataFrame:
+    """``shard, fingerprint``: every fingerprint in the shard that it lives in and in those that it visits.
+
+    In rounds: of every shard of more than four times ``target`` points a sample of
+    about ``sample_rows`` by hash plans a vantage-point tree, and the tree deals out all of the shard's
+    points. A shard that no boundary divides stays as it is. Trees go to the
+    executors in batches of about ``tree_bytes``. Shards that share a number by
+    accident are one shard, which costs comparisons and loses nothing.
     """
-    n = prints.count()
-    sample = [r[0] for r in prints.orderBy(F.xxhash64("fingerprint"), "fingerprint").select("fingerprint").limit(sample_rows).collect()] if n > 1 else []
-    tree = plan(np.array(sample, np.int64).view(np.uint64), len(sample) / max(n, 1), target, radius)
+    sc, kind = prints.sparkSession.sparkContext, "shard long, fingerprint long, final boolean"
+    points, done = stored(prints.select(F.lit(0).cast("long").alias("shard"), "fingerprint")), []
+    while True:
+        big = stored(points.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * target))
+        if big.isEmpty():
+            break
+        known = sized_broadcast(big, F.lit(32))
+        done.append(points.join(known, "shard", "left_anti"))
+        points = points.join(known, "shard")
+        sample = points.where(F.pmod(F.xxhash64("fingerprint", "shard"), F.col("n")) < sample_rows)
+
+        def planned(table: pa.Table) -> pa.Table:
+            values = np.sort(table.column("fingerprint").to_numpy()).view(np.uint64)
+            tree = plan(values, len(values) / table.column("n")[0].as_py(), target, radius)
+            return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([flat_tree(tree)] if isinstance(tree, tuple) else [None], pa.binary())})
+
+        trees = stored(sample.groupBy("shard").applyInArrow(planned, "shard long, tree binary").where("tree is not null"))
+        batches = max(1, -(-(trees.agg(F.sum(F.octet_length("tree"))).first()[0] or 0) // tree_bytes))
+        parts = []
+        for b in range(batches):
+            mine = F.pmod(F.xxhash64("shard"), F.lit(batches)) == b
+            shared = sc.broadcast({r.shard: r.tree for r in trees.where(mine).toLocalIterator()})
+
+            def place(batches, shared=shared):
+                grown: dict = {}
+                for batch in batches:
+                    own, values = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+                    for shard in np.unique(own).tolist():
+                        mine = values[own == shard]
+                        if shard not in shared.value:
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), shard)), pa.array(mine), pa.array(np.ones(len(mine), bool))], names=["shard", "fingerprint", "final"])
+                            continue
+                        if shard not in grown:
+                            grown[shard] = grown_tree(shared.value[shard])
+                        number, index = shards_of(grown[shard], mine.view(np.uint64), radius)
+                        names = np.array([xxhash.xxh64_intdigest(b"%d:%d" % (shard, x)) for x in range(int(number.max(initial=-1)) + 1)], np.uint64).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[number]), pa.array(mine[index]), pa.array(np.zeros(len(index), bool))], names=["shard", "fingerprint", "final"])
+
+            parts.append(stored(points.where(mine).select("shard", "fingerprint").mapInArrow(place, kind)))
+            shared.destroy()
+        placed = parts[0]
+        for p in parts[1:]:
+            placed = placed.unionByName(p)
+        done.append(placed.where("final").drop("final"))
+        points = placed.where("not final").drop("final")
+    for p in done:
+        points = points.unionByName(p)
+    return points
+
+
+def near_edges(prints: DataFrame, radius: int = 2, target: int = 1024, sample_rows: int = 32768, tree_bytes: int = 32 << 20) -> DataFrame:
+    """Star edges ``(a, b)`` whose components are those of all pairs of distinct ``fingerprint`` values within ``radius``.
 
-    def place(batches):
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            shard, index = shards_of(tree, values.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(values[index], pa.int64())], names=["shard", "fingerprint"])
+    prints: a stored table of distinct fingerprints. Every pair within ``radius``
+    meets in some shard of the tree. A shard emits one edge a point at most, not its pairs.
+    """
 
     def link(table: pa.Table) -> pa.Table:
         values = np.unique(table.column("fingerprint").to_numpy())
@@ -185,7 +261,7 @@ def near_edges(prints: DataFrame, radius: int = 2, target: int = 1024, sample_ro
         linked = root != np.arange(len(values))
         return pa.table({"a": pa.array(values[linked], pa.int64()), "b": pa.array(values[root[linked]], pa.int64())})
 
-    return prints.select("fingerprint").mapInArrow(place, "shard int, fingerprint long").groupBy("shard").applyInArrow(link, "a long, b long")
+    return shards(prints, radius, target, sample_rows, tree_bytes).groupBy("shard").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, size: int = 3) -> DataFrame:
@@ -205,22 +281,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     comps = connected_components(near_edges(prints, radius))
     named = stored(prints.join(comps.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", "n", F.coalesce("component", "fingerprint").alias("rep")))
     ids = stored(named.groupBy("rep").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_rows")))
-    labels = stored(named.select("fingerprint", "rep").join(ids, "rep").select("fingerprint", "component_id", "group_rows"))
-    return rows.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "group_rows")
+    labels = stored(named.select("fingerprint", "rep", "n").join(ids, "rep").select("fingerprint", "component_id", "group_rows", "n"))
+    return with_counted(rows, labels, ["fingerprint"], "n").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "group_rows")
+
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = 32 << 20, groups=near_duplicates, **options) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with its own columns: that of the smallest doc_id, nulls last.
 
-def keep_one(docs: DataFrame, broadcast_bytes: int = 32 << 20, groups=near_duplicates, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each near-duplicate group.
+    groups: what finds the groups, by default the links of op10. Grouping is by
+    text: a doc_id that comes with several texts is as many documents, each of which
+    stays or goes with the group of its own text; where the smallest doc_id comes
+    with several texts of one group, the one of least MD5 stays. Of rows that repeat
+    both id and text any one stays. Null and empty texts count as one text. An empty
+    table gives none.
 
-    groups: what finds the groups, by default the links of op10.
-    Rows that repeat a doc_id are one document and collapse to one row. Rows with
-    a null doc_id can't be told apart and stay.
+    Copies collapse to one row before any are compared. What goes and what is shared
+    is found again by keys of 16 bytes, which are broadcast if they measure at most
+    ``broadcast_bytes``, so texts aren't shuffled then; beyond, by shuffles that adaptive execution can split.
     """
-    found = stored(groups(docs, **options).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct())
-    size = F.lit(16) + F.octet_length(F.col("doc_id").cast("string"))
-    left = docs.join(sized_broadcast(found, size, broadcast_bytes), "doc_id", "left_anti")
-    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return left
-    again = left.join(sized_broadcast(twice, size, broadcast_bytes), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(sized_broadcast(twice, size, broadcast_bytes), "doc_id", "left_anti").unionByName(again)
+    key, bare, at, n, group = spare([*docs.columns, "doc_id", "text"], "_key", "_bare", "_at", "_n", "_group")
+    keyed = docs.withColumns({key: F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))), bare: F.col(doc_id).isNull()})
+    texts = stored(keyed.groupBy(key).agg(F.min(F.struct(F.col(bare).alias("bare"), F.col(doc_id).alias("id"))).alias(at), F.min(text).alias("text"), F.count(F.lit(1)).alias(n)).withColumn("doc_id", F.monotonically_increasing_id()))
+    found = groups(texts.select("doc_id", "text"), **options).select("doc_id", F.col("component_id").alias(group))
+    best = F.min(F.struct(at, key, n)).alias("best")
+    chosen = stored(found.join(texts.select("doc_id", key, at, n), "doc_id").groupBy(group).agg(best).select("best.*"))
+    gone = stored(texts.select(key).join(chosen.select(key), key, "left_anti"))
+    shared = stored(chosen.where(F.col(n) > 1))
+    size = F.lit(64) + F.coalesce(F.octet_length(F.col(f"{at}.id").cast("string")), F.lit(0))
+    left = keyed.join(sized_broadcast(gone, F.lit(32), broadcast_bytes), key, "left_anti")
+    once = left.join(sized_broadcast(shared.select(key), F.lit(32), broadcast_bytes), key, "left_anti")
+    often = left.join(sized_broadcast(shared, size, broadcast_bytes), key).where((F.col(bare) == F.col(f"{at}.bare")) & F.col(doc_id).eqNullSafe(F.col(f"{at}.id")))
+    return once.select(*docs.columns).unionByName(often.dropDuplicates([key]).select(*docs.columns))
