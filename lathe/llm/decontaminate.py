@@ -96,7 +96,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """Adds ``n_words``, ``hit_spans`` (flat word offsets) and ``items`` (sorted strings) to every row of ``docs``.
 
     Null and empty texts have no words; a null item text or one without words has
-    no window; repeated items and rows each count for themselves; an empty
+    no window; rows that repeat each count for themselves; items that share an id
+    are one item with the windows of all; an empty
     benchmark hits nothing. Items with a null id are searched for as ``null``.
     Columns of ``docs`` stay, and a column with one of the new names is replaced.
 
