@@ -1,9 +1,7 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group."""
+"""Fuzzy line dedup: SimHash of normalised lines, blocks that similar lines share, edit similarity, one occurrence a group."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.llm.common import let, sized_broadcast, stored
+from lathe.llm.buckets import members_of, settled, stars
+from lathe.llm.common import let, sized_broadcast, spare, stored, with_counted
 from lathe.llm.components import connected_components
 
 #: A-Z is lower-cased, digits become 0, other ASCII becomes a space; beyond ASCII bytes stay.
@@ -24,42 +23,44 @@ def normal_words(line: str | bytes) -> list[bytes]:
 
 # The eight bits of a byte, each in an 8-bit lane of its own.
 LANES = np.array([sum((d >> b & 1) << 8 * b for b in range(8)) for d in range(256)], np.uint64)
-BASE, BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-SPAN = 120  # words summed in one lane: two features each stay below 256
+BASE = 0x9E3779B97F4A7C15
+SPAN = 240  # words summed in one lane stay below 256
 
 
-def powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    """base**0 ... base**(n - 1) modulo 2**64; a worker keeps the longest that it made."""
-    if len(kept.get(base, ())) < n:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        kept[base] = np.cumprod(out)
-    return kept[base][:n]
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the bytes of a little-endian word the first k
 
 
 def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and how many words end with each line; words end with a space, lines with a newline."""
-    n = len(text)
+    """Hash of each word, and how many words end with each line; words end with a space, lines with a newline. Eight bytes of all words are mixed in at a time."""
     ends = np.flatnonzero(text <= 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(BACK, n))))
-    h = (sums[ends] - sums[starts]) * powers(BASE, n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    for shift in (32, 29):
-        h ^= h >> np.uint64(shift)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+    sizes = ends - starts
+    eight = np.lib.stride_tricks.as_strided(np.concatenate((text, np.zeros(8, np.uint8))).view(np.uint8), (len(text) + 1, 8), (1, 1))
+
+    def mixed(h, at, left):
+        h = (h ^ (eight[at].view("<u8").ravel() & FIRST[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(32)
+
+    h, done = mixed((sizes + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), starts, sizes), 8
+    while len(longer := np.flatnonzero(sizes > done)):
+        h[longer] = mixed(h[longer], starts[longer] + done, sizes[longer] - done)
+        done += 8
+    h *= np.uint64(BASE)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     return h, np.diff(np.concatenate(([0], np.flatnonzero(text[ends] == 10) + 1)))
 
 
-def hashed_form(words: list[bytes], min_words: int, min_chars: int = 20) -> bytes | None:
-    """What a line is fingerprinted by: its words, or its characters where it has few words but many characters; None if it has few of both."""
-    if len(words) >= min_words:
-        return b" ".join(words)
-    chars = b"".join(words).decode("utf-8", "surrogatepass")
+def hashed_form(line: bytes, min_words: int, min_chars: int = 20) -> bytes | None:
+    """What a normalised line is fingerprinted by: its words, or its characters where it has few words but many characters; None if it has few of both."""
+    if line.count(b" ") + 1 >= min_words:
+        return line
+    chars = line.replace(b" ", b"").decode("utf-8", "surrogatepass")
     return " ".join(chars).encode("utf-8", "surrogatepass") if len(chars) >= min_chars else None
 
 
-BANDS, ROWS = 16, 3
+BANDS, ROWS = 8, 3
 _rng = np.random.default_rng(5)
 MULTIPLY, ADD = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
@@ -74,9 +75,9 @@ def minhash_bands(pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def simhashes(lines: list[bytes], bands: np.ndarray | None = None) -> np.ndarray:
-    """64-bit SimHash of each line's words and pairs of neighbours, the last word paired with the end; lines are words joined by single spaces.
+    """64-bit SimHash of each line's words, repeats included; lines are words joined by single spaces.
 
-    bands: filled with the lines' MinHash bands, if given.
+    bands: filled with the MinHash bands of the lines' pairs of neighbours, the last word paired with the end, if given.
     """
     out = np.zeros(len(lines), np.uint64)
     at = 0
@@ -88,20 +89,19 @@ def simhashes(lines: list[bytes], bands: np.ndarray | None = None) -> np.ndarray
         values, sizes = word_hashes(np.frombuffer(b"\n".join(lines[at:end]) + b"\n", np.uint8))
         stops = np.cumsum(sizes)
         starts = stops - sizes
-        after = np.empty_like(values)
-        after[:-1] = values[1:]
-        after[stops - 1] = 0
-        pairs = (values * np.uint64(BASE) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
-        pairs ^= pairs >> np.uint64(32)
         if bands is not None:
-            bands[at:end] = minhash_bands(pairs, starts)
-        lanes = LANES[values.view(np.uint8)] + LANES[pairs.view(np.uint8)]
+            after = np.empty_like(values)
+            after[:-1] = values[1:]
+            after[stops - 1] = 0
+            pairs = (values * np.uint64(BASE) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
+            bands[at:end] = minhash_bands(pairs ^ pairs >> np.uint64(32), starts)
+        lanes = LANES[values.view(np.uint8)]
         spans = -(-sizes // SPAN)
         first = np.cumsum(spans) - spans
         cuts = np.repeat(starts, spans) + SPAN * (np.arange(spans.sum()) - np.repeat(first, spans))
         parts = np.add.reduceat(lanes.reshape(-1, 8), cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
         counts = np.add.reduceat(parts.astype(np.int64), first, axis=0)
-        out[at:end] = np.packbits(counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        out[at:end] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
         at = end
     return out
 
@@ -137,122 +137,122 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - score / longer
 
 
-def block_tables(n_lines: int, radius: int) -> list[tuple[np.uint64, int]]:
-    """(mask, number) of pigeonhole tables: pairs within ``radius`` bits agree on some mask whole.
-
-    With ``radius + c`` blocks, some ``c`` of them hold no difference. More lines take
-    larger ``c``, hence longer keys and smaller buckets; every choice is exact.
+def alignment_cost(a: list[str], b: list[str], most: float) -> float:
+    """An upper bound of the edit distance of two lines, from aligning their words with up to three words' look-ahead; stops beyond ``most``."""
+    i = j = cost = 0
+    n, m = len(a), len(b)
+    span = lambda xs: sum(map(len, xs)) + len(xs)
+    while i < n and j < m and cost <= most:
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        for k in (1, 2, 3):
+            if i + k < n and j + k < m and a[i + k] == b[j + k]:
+                cost += max(span(a[i : i + k]), span(b[j : j + k]))
+                i, j = i + k, j + k
+                break
+            if j + k < m and a[i] == b[j + k]:
+                cost += span(b[j : j + k])
+                j += k
+                break
+            if i + k < n and a[i + k] == b[j]:
+                cost += span(a[i : i + k])
+                i += k
+                break
+        else:
+            break
+    return cost + max(span(a[i:]), span(b[j:])) if cost <= most else cost
+
+
+def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
+    """Edit distances in code points, or some number above ``most`` where they are above it.
+
+    Myers' bit vectors, in words of 64, for all pairs side by side; the first texts
+    take the same number of words. Only words within ``most`` of the diagonal are
+    worked on: beyond it cells are taken for larger than they can be, which changes no distance up to ``most``.
     """
-    chosen = next((c for c in (1, 2, 3) if 64 * c // (radius + c) >= np.log2(max(2, n_lines)) - 8), 3)
-    edges = [64 * i // (radius + chosen) for i in range(radius + chosen + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [(np.uint64(sum(x)), i) for i, x in enumerate(combinations(blocks, chosen))]
-
-
-def near_pairs(prints: np.ndarray, radius: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``radius``; with ``label``, the pairs of different labels that lie within it."""
-    n, out = len(prints), []
-    if label is not None:
-        for i in range(n - 1):
-            hits = np.flatnonzero((np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= radius) & (label[i + 1 :] != label[i]))
-            out += [(i, i + 1 + int(j)) for j in hits]
-        return out
-    left = np.arange(n)  # not reached yet; each is compared with every reached one until it is
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            x, front = int(front[0]), front[1:]
-            near = np.bitwise_count(prints[left] ^ prints[x]) <= radius
-            if near.any():
-                out += [(x, int(y)) for y in left[near]]
-                front, left = np.concatenate((front, left[near])), left[~near]
+    codes, at = np.unique(np.frombuffer("".join(x for p in pairs for x in p).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    sizes = np.array([len(x) for p in pairs for x in p], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    m, n = sizes[::2], sizes[1::2]
+    order = np.argsort(-n, kind="stable")  # those whose second text goes on come first
+    m, n, first, second = m[order], n[order], starts[::2][order], starts[1::2][order]
+    words, count, alphabet = int(-(-max(int(m.max(initial=0)), 1) // 64)), len(pairs), len(codes)
+    owner = np.repeat(np.arange(count), m)
+    place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    masks = np.zeros((words, count * alphabet), np.uint64)
+    np.bitwise_or.at(masks, (place >> 6, owner * alphabet + at[np.repeat(first, m) + place]), np.uint64(1) << (place & 63).astype(np.uint64))
+    up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
+    one, top, rows = np.uint64(1), np.uint64(63), np.arange(count)
+    final = (np.maximum(m - 1, 0) & 63).astype(np.uint64)  # the last row's bit in the last word
+    low, high = 0, min(words, most // 64 + 1)  # the words at work
+    score = np.minimum(m, 64 * high) if high < words else m.copy()  # of the lowest row at work
+    live = count
+    for j in range(int(n.max(initial=0))):
+        while live and n[live - 1] <= j:
+            live -= 1
+        if high < words and (j + most) // 64 >= high:
+            high += 1
+            score[:live] += (m[:live] if high == words else 64 * high) - 64 * (high - 1)
+        low = max(low, min((j - most) // 64, high - 1))
+        column = rows[:live] * alphabet + at[second[:live] + j]
+        carry = np.zeros(live, np.uint64)
+        add, cut = np.ones(live, np.uint64), np.zeros(live, np.uint64)
+        for w in range(low, high):
+            eq, u, d = masks[w, column], up[w, :live], down[w, :live]
+            xv, both = eq | d, eq & u
+            total = both + u
+            over = total < u
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            xh = (total ^ u) | eq
+            ph, mh = d | ~(xh | u), u & xh
+            if w == high - 1:
+                b = final[:live] if high == words else top
+                score[:live] += (ph >> b & one).astype(np.int64) - (mh >> b & one).astype(np.int64)
+            carried, lost = ph >> top, mh >> top
+            ph, mh = ph << one | add, mh << one | cut
+            add, cut = carried, lost
+            up[w, :live], down[w, :live] = mh | ~(xv | ph), ph & xv
+    out = np.empty(count, np.int64)
+    out[order] = np.where(m == 0, n, score) if high == words else np.maximum(score, most + 1)
     return out
 
 
-SMALL = 64
-
-
-def forest(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Of pairs (bucket, a, b): those that join two parts of their bucket."""
-    up: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def root(x):
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = x = up.setdefault(y, y)
-        return x
-
-    out = []
-    for bucket, a, b in pairs:
-        x, y = root((bucket, a)), root((bucket, b))
-        if x != y:
-            up[x] = y
-            out.append((a, b))
+def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
+    """Whether the edit similarity is ``at_least`` or more, where lengths or an alignment of words can tell."""
+    longer = max(len(a), len(b))
+    if min(len(a), len(b)) < at_least * longer:
+        return False
+    most = (1 - at_least) * longer
+    return True if alignment_cost(a.split(" "), b.split(" "), most) <= most else None
+
+
+def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 128) -> list[bool]:
+    """The same for many pairs, by edit distance: those of one size side by side, where they are ``least`` or more; else one by one."""
+    out = [False] * len(pairs)
+    by_size: dict[int, list[int]] = {}
+    for i, p in enumerate(pairs):
+        by_size.setdefault((len(p[0]) - 1) // 64, []).append(i)
+    for size, some in by_size.items():
+        if len(some) < least:
+            for i in some:
+                out[i] = edit_similarity(*pairs[i]) >= at_least
+            continue
+        wide = len(set().union(*(set(pairs[i][0]) | set(pairs[i][1]) for i in some)))
+        room = max(1, (32 << 20) // (8 * wide * (2 + size)))  # bounded tables
+        for g in range(0, len(some), room):
+            part = some[g : g + room]
+            longer = [max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in part]
+            found = edit_distances([pairs[i] for i in part], int((1 - at_least) * max(longer)) + 1)
+            for i, d, n in zip(part, found.tolist(), longer, strict=True):
+                out[i] = 1 - d / n >= at_least
     return out
 
 
-def candidate_pairs(points: DataFrame, n_lines: int, radius: int, labelled: bool = False) -> DataFrame:
-    """Pairs ``(a, b)`` of ids whose prints lie within ``radius``, from buckets of equal blocks.
-
-    points: ``id, sim`` (``label``) (``bands``: MinHash bands, whose buckets then take
-    the place of the blocks'). Without labels a bucket gives the spanning
-    forest of its near pairs, at most one pair for each point. A bucket's points
-    are read in order from a sorted partition.
-    """
-    tables, banded = block_tables(n_lines, radius), "bands" in points.columns
-
-    def explode(batches):
-        for batch in batches:
-            if banded:
-                keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS).astype(np.int64)
-                rest = batch.columns[:-1]
-                for number in range(BANDS):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, number] << 5 | number), *rest], names=["block", *batch.schema.names[:-1]])
-                continue
-            sims = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for mask, number in tables:
-                key = (sims & mask) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["block", *batch.schema.names])
-
-    def pair(batches):
-        held: list[np.ndarray] = []
-
-        def group(block):
-            cuts = np.flatnonzero(np.diff(block[0])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [block.shape[1]]))
-            sims, found = block[2].view(np.uint64), []
-            small = block[:, np.repeat((ends - starts > 1) & (ends - starts <= SMALL), ends - starts)]
-            for lag in range(1, min(SMALL, small.shape[1])):  # all small buckets at once, by distance in the bucket
-                same = small[0, lag:] == small[0, :-lag]
-                if not same.any():
-                    break
-                hits = np.flatnonzero(same & (np.bitwise_count(small[2, lag:].view(np.uint64) ^ small[2, :-lag].view(np.uint64)) <= radius))
-                if labelled:
-                    hits = hits[small[3, hits] != small[3, hits + lag]]
-                found += [(small[0, i], small[1, i], small[1, i + lag]) for i in hits.tolist()]
-            pairs = [(a, b) for _, a, b in found] if labelled else forest(found)
-            for s, e in zip(starts[ends - starts > SMALL].tolist(), ends[ends - starts > SMALL].tolist(), strict=True):
-                pairs += [(block[1, s + i], block[1, s + j]) for i, j in near_pairs(sims[s:e], radius, block[3, s:e] if labelled else None)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if not now.shape[1]:
-                continue
-            cut = int(np.searchsorted(now[0], now[0, -1], "left"))  # the last bucket may go on in the next batch
-            if cut:
-                yield group(np.concatenate([*held, now[:, :cut]], axis=1))
-                held = [now[:, cut:]]
-            else:
-                if held and held[-1][0, -1] != now[0, 0]:
-                    yield group(np.concatenate(held, axis=1))
-                    held = []
-                held.append(now)
-        if held:
-            yield group(np.concatenate(held, axis=1))
-
-    columns = ["id", "sim", *(["label"] if labelled else []), *(["bands"] if banded else [])]
-    exploded = points.select(*columns).mapInArrow(explode, "block long, id long, sim long" + ", label long" * labelled)
-    return exploded.repartition("block").sortWithinPartitions("block").mapInArrow(pair, "a long, b long")
+def nearby(radius: int):
+    """For sketches of one 64-bit print: which lie within ``radius`` bits of the first."""
+    return lambda one, many: np.bitwise_count(one ^ many).sum(axis=1) <= radius
 
 
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
@@ -260,67 +260,64 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
 
     def judge(batches):
         for batch in batches:
-            good = [edit_similarity(x.as_py(), y.as_py()) >= at_least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            good = [quickly_similar(x, y, at_least) for x, y in texts]
+            open_ = [i for i, g in enumerate(good) if g is None]
+            for i, g in zip(open_, exactly_similar([texts[i] for i in open_], at_least), strict=True):
+                good[i] = g
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "good"])
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 3, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, banded: bool = False, short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 14, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, crowd: int = 4096) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
     Lines are what ``\\n`` separates. A line is normalised (A-Z lower-cased, digits
-    to 0, other ASCII to single spaces); one of fewer than ``min_words`` words is
-    left alone. Lines are linked if equal when normalised, or if their SimHashes
-    differ in at most ``radius`` bits and their edit similarity is ``similarity``
-    or more. Of each connected group the first occurrence stays, by doc_id (nulls
+    to 0, other ASCII to single spaces); one without any word left is left alone.
+    Lines are linked if equal when normalised, or if they share a block, their
+    SimHashes differ in at most ``radius`` bits and their edit similarity is
+    ``similarity`` or more. Of each connected group the first occurrence stays, by doc_id (nulls
     first), text hash and line number; rows that repeat both id and text are one
     document. A null text stays null with no line; an empty one has no line.
     Other columns stay; an ``n_lines`` or ``n_removed`` is replaced.
 
-    banded: candidates are lines that share one of 16 MinHash bands of 3 over pairs of
-    neighbouring words, instead of all within ``radius`` bits; ``radius`` then only
-    thins them out and is to be wide.
+    A line's blocks are 8 MinHash bands of 3 over its pairs of neighbouring words.
+    A line of fewer than ``min_words`` words but 20 characters or more (scripts
+    without spaces) is fingerprinted by characters in place of words; a shorter one
+    is linked only if equal when normalised.
 
-    short: lines of fewer than ``min_words`` words take part too. Of 20 characters or
-    more (scripts without spaces) they are fingerprinted by characters in place of
-    words; shorter ones are linked only if equal when normalised.
-
-    Equal lines collapse to one before any are compared, and buckets give a
-    spanning forest rather than their pairs; where a link of the forest fails the
-    edit check, the pairs across the parts that it left apart are checked too, so
-    that no link is lost. Texts of documents are shuffled only if the list of
-    removals is too long to broadcast.
+    Equal lines collapse to one before any are compared. A block's lines are linked
+    to one of them; blocks whose lines are then still apart are settled pair by pair
+    within a task, as ``buckets.settled`` says. Texts of documents are shuffled only
+    if the list of removals is too long to broadcast.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     clean = docs.select(*kept)
     source = clean.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
 
-    more = ["bands"] if banded else []
-
     def cut(batches):
         def packed(batch, rows, numbers, norms):
             keys = [xxhash.xxh3_128_digest(x) for x in norms]
             first: dict[bytes, int] = {}
             for n, key in enumerate(keys):
                 first.setdefault(key, n)
-            forms = {k: form for k, n in first.items() if (form := hashed_form(norms[n].split(b" "), min_words))}
-            bands = np.zeros((len(forms), BANDS), np.uint32) if banded else None
-            sims = dict(zip(forms, simhashes(list(forms.values()), bands).view(np.int64).tolist(), strict=True))
-            at = pa.array(rows, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), pa.array([sims.get(k) for k in keys], pa.int64())]
-            if banded:
-                made = dict(zip(forms, (x.tobytes() for x in bands), strict=True))
-                columns.append(pa.array([made.get(k) for k in keys], pa.binary()))
-            return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", *more])
+            forms = {k: form for k, n in first.items() if (form := hashed_form(norms[n], min_words))}
+            bands = np.zeros((len(forms), BANDS), np.uint32)
+            sims = pa.array(simhashes(list(forms.values()), bands).view(np.int64))
+            number = {k: i for i, k in enumerate(forms)}
+            at, which = pa.array(rows, pa.int64()), pa.array([number.get(k) for k in keys], pa.int64())
+            listed = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int32).ravel()), BANDS).cast(pa.list_(pa.int32()))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), sims.take(which), listed.take(which), pa.array([len(x.decode("utf-8", "surrogatepass")) for x in norms], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", "bands", "size"])
 
         for batch in batches:
             rows, numbers, norms, n = [], [], [], 0
             for i, t in enumerate(batch.column(2).cast(pa.binary())):
                 for k, line in enumerate(t.as_py().split(b"\n")):
                     words = normal_words(line)
-                    if len(words) >= (1 if short else min_words):
+                    if words:
                         rows.append(i)
                         numbers.append(k)
                         norms.append(b" ".join(words))
@@ -330,60 +327,56 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                     rows, numbers, norms, n = [], [], [], 0
             yield packed(batch, rows, numbers, norms)
 
-    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType()), *((x, T.BinaryType()) for x in more)]
+    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType()), ("bands", T.ArrayType(T.IntegerType())), ("size", T.LongType())]
     lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])))
     place = F.struct("doc", "hash", "line")
-    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *more)), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    n_lines = distinct.count()
-    pairs = stored(candidate_pairs(distinct.where("sim is not null"), n_lines, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(distinct.select("id", "key", "first"), "id"))
+    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", "bands", "size")), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+
+    formed = distinct.where("sim is not null")
+    block = lambda key, number: F.shiftleft(key.cast("long"), 5).bitwiseOR(number.cast("long"))
+    keys = formed.select("id", "sim", F.posexplode("bands").alias("number", "key")).select(block(F.col("key"), F.col("number")).alias("block"), "id", "sim")
+    members = members_of(keys, radius)
+
+    def texts_of(ids):
+        """``id, payload``: the normalised line of each id, read from the document that holds it first."""
+        wanted = ids.join(distinct.select("id", "first"), "id")
+        spots = stored(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("at")))
+        holders = source.join(sized_broadcast(spots, 32 + 16 * F.size("at"), broadcast_bytes), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
+        return stored(holders.select("at", "text").mapInArrow(fetch, "id long, payload string").dropDuplicates(["id"]))
 
     def fetch(batches):
         for batch in batches:
             ids, texts = [], []
-            for i, t, number in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                ids.append(i.as_py())
-                texts.append(b" ".join(normal_words(t.as_py().split("\n")[number.as_py()])).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "line"])
-
-    spots = stored(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("at")))
-    holders = source.join(sized_broadcast(spots, 32 + 16 * F.size("at"), broadcast_bytes), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
-    split_lines = holders.select(F.explode("at").alias("at"), F.split("text", "\n", -1).alias("parts")).select("at.id", F.get("parts", F.col("at.line")).alias("text"), F.lit(0).alias("number"))
-    texts = stored(split_lines.mapInArrow(fetch, "id long, line string").dropDuplicates(["id"]))
-    checked = stored(verified(pairs, texts, similarity))
-    good, bad = checked.where("good").select("a", "b"), checked.where("not good").select("a", "b")
-    groups = connected_components(good)
-    if not bad.isEmpty():
-        # parts that failed links join: only they can still be linked
-        label = stored(bad.select(F.col("a").alias("id")).union(bad.select("b")).distinct().join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("label")))
-        ends = bad.join(label.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
-        torn = stored(ends.where("x <> y").select(F.explode(F.array("x", "y")).alias("label")).distinct())
-        members = groups.join(torn, groups["component"] == torn["label"]).select(F.col("node").alias("id"), "label")
-        parts = stored(members.union(label.join(torn, "label", "left_semi").select("id", "label")).distinct())
-        again = candidate_pairs(parts.join(distinct.select("id", "sim", *more), "id").select("id", "sim", "label", *more), n_lines, radius, labelled=True)
-        again = stored(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(bad, ["a", "b"], "left_anti"))
-        if not again.isEmpty():
-            groups = connected_components(good.union(verified(again, texts, similarity).where("good").select("a", "b")))
-    grouped = stored(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null").select("key", "first", F.coalesce("component", "id").alias("component")))
+            for at, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts = t.as_py().split("\n")
+                ids += [x["id"] for x in at]
+                texts += [b" ".join(normal_words(parts[x["line"]])).decode("utf-8", "surrogatepass") for x in at]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "payload"])
+
+    pairs = stars(members)
+    ends = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    good = stored(verified(pairs, texts_of(ends).withColumnRenamed("payload", "line"), similarity).where("good").select("a", "b"))
+    groups = connected_components(good, small=1 << 18)
+    points = formed.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
+    more = settled(members, groups, points, texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd)
+    if more is not None:
+        groups = connected_components(good.union(more), small=1 << 18)
+    grouped = stored(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))
     firsts = stored(grouped.groupBy("component").agg(F.min("first").alias("keep")))
-    marks = stored(grouped.select("key", "component").join(firsts, "component").select("key", "keep"))
-    gone = lines.join(marks, "key").where("not (doc <=> keep.doc and hash = keep.hash and line = keep.line)")
+    marks = stored(grouped.select("key", "n", "component").join(firsts, "component").select("key", "n", "keep"))
+    gone = with_counted(lines.select("doc", "hash", "line", "key"), marks, ["key"], "n").where("not (doc <=> keep.doc and hash = keep.hash and line = keep.line)")
     removed = stored(gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("gone")))
-    few = sized_broadcast(removed, 32 + 4 * F.size("gone"), broadcast_bytes).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"), F.sort_array("gone").alias("_gone"))
-    marked = clean.withColumns({"_id": F.col(doc_id), "_text": F.xxhash64(F.col(text))}).join(few, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")), "left")
+    their_doc, their_hash, out = spare([*kept, "doc", "hash", "gone"], "_doc", "_hash", "_gone")
+    few = sized_broadcast(removed, 32 + 4 * F.size("gone"), broadcast_bytes).select(F.col("doc").alias(their_doc), F.col("hash").alias(their_hash), F.sort_array("gone").alias(out))
+    marked = clean.join(few, F.col(doc_id).eqNullSafe(F.col(their_doc)) & (F.xxhash64(F.col(text)) == F.col(their_hash)), "left")
     parts = F.split(F.col(text), "\n", -1)
-    between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1)).alias("s"), F.concat(F.col("_gone"), F.array(F.size(parts))).alias("e"))
+    between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(out, lambda x: x + 1)).alias("s"), F.concat(F.col(out), F.array(F.size(parts))).alias("e"))
     rest = let(parts, lambda p: F.array_join(F.flatten(F.transform(between, lambda x: F.slice(p, x["s"] + 1, x["e"] - x["s"]))), "\n"))
     n = F.when(F.octet_length(text) > 0, F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(0).cast("long")
-    cut_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text)
-    return marked.select(*(cut_text if c == text else F.col(c) for c in kept), n.alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
-
-
-def dedup_all_lines(docs: DataFrame) -> DataFrame:
-    """``dedup_lines`` as op8 and the pipeline take it: candidates from MinHash bands, thinned out only beyond 22 bits, and short lines too."""
-    return dedup_lines(docs, radius=22, banded=True, short=True)
+    cut_text = F.when(F.col(out).isNull(), F.col(text)).otherwise(rest).alias(text)
+    return marked.select(*(cut_text if c == text else F.col(c) for c in kept), n.alias("n_lines"), F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).cast("long").alias("n_removed"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """The rows of ``op8``: one for every document row."""
-    return dedup_all_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

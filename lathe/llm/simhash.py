@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = stored(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size=size).select("doc_id", "fingerprint"))
     prints = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
-    comps = connected_components(near_edges(prints, radius))
+    comps = connected_components(near_edges(prints, radius), small=1 << 18)
     named = stored(prints.join(comps.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "low", "n", F.coalesce("component", "fingerprint").alias("rep")))
     ids = stored(named.groupBy("rep").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_rows")))
     labels = stored(named.select("fingerprint", "rep", "n").join(ids, "rep").select("fingerprint", "component_id", "group_rows", "n"))

@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from lathe.llm import lines, substrings
+from lathe.llm import buckets, lines, substrings
 
 
 def brute_cut(docs, length):
@@ -70,16 +70,27 @@ def test_substrings_at_their_own_length(spark):
     assert got == brute_cut(docs, 400)
 
 
-def brute_lines(docs, min_words=5, radius=3, similarity=0.8):
-    spots, norms = [], {}
-    for d, t in docs:
-        for k, line in enumerate(t.split("\n") if t else []):
-            w = lines.normal_words(line)
-            if len(w) >= min_words:
-                spots.append(((d is not None, d or 0), t, k, b" ".join(w)))
-                norms[b" ".join(w)] = None
-    keys = list(norms)
-    sims = lines.simhashes(keys)
+def plain_form(line):
+    """The normal form, spelled out: A-Z lower-cased, digits 0, other ASCII a space, single spaces."""
+    kept = (c.lower() if "A" <= c <= "Z" else "0" if c in "0123456789" else c if "a" <= c <= "z" or ord(c) > 127 else " " for c in line)
+    return " ".join(x for x in "".join(kept).split(" ") if x)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def brute_kept(docs):
+    """What stays of each (id, text): lines in order, the first occurrence of every group linked by edit similarity 0.8; no fingerprint in between."""
+    spots = []
+    for d, t in dict.fromkeys(docs):
+        spots += [((d is not None, d or 0), t, k, plain_form(x)) for k, x in enumerate(t.split("\n") if t else [])]
+    keys = sorted({s[3] for s in spots if s[3]})
     up = {k: k for k in keys}
 
     def root(x):
@@ -87,21 +98,56 @@ def brute_lines(docs, min_words=5, radius=3, similarity=0.8):
             x = up[x]
         return x
 
-    for i, a in enumerate(keys):
-        for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= radius):
-            b = keys[i + 1 + int(j)]
-            if lines.edit_similarity(a.decode(), b.decode()) >= similarity:
+    long = [k for k in keys if len(k.split()) >= 5 or len(k.replace(" ", "")) >= 20]
+    for i, a in enumerate(long):
+        for b in long[:i]:
+            if root(a) != root(b) and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and lines.edit_similarity(a, b) >= 0.8:
                 up[root(a)] = root(b)
-    members = {}
-    for s in spots:
-        members.setdefault(root(s[3]), set()).add(s[:3])
-    return members
+    first = {}
+    for s in sorted((s for s in spots if s[3]), key=lambda s: (s[0], s[2])):
+        first.setdefault(root(s[3]), s[:3])
+    return {(d, t): None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not plain_form(x) or first[root(plain_form(x))] == ((d is not None, d or 0), t, k)) for d, t in docs}
+
+
+def test_edit_similarity_equals_a_plain_distance():
+    rng = random.Random(12)
+    for _ in range(400):
+        a = " ".join(rng.choices(["ab", "abc", "b", "é", "cab"], k=rng.randint(0, 12)))
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choices("abcé ", k=rng.randint(0, 3))
+        b = "".join(b)
+        n, d = max(len(a), len(b)), plain_distance(a, b)
+        assert lines.edit_similarity(a, b) == (1 - d / n if n else 1.0)
+        assert lines.quickly_similar(a, b, 0.8) in (None, lines.edit_similarity(a, b) >= 0.8)
+        assert lines.alignment_cost(a.split(" "), b.split(" "), 1e9) >= d
+
+
+def test_distances_side_by_side_equal_a_plain_distance():
+    rng = random.Random(13)
+    make = lambda k: "".join(rng.choices("abcdé 漢字\U0001f600", k=k))
+    pairs = [(make(rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])), make(rng.choice([0, 1, 5, 63, 64, 65, 128, 190]))) for _ in range(120)]
+    for a, _ in pairs[:60]:
+        b = list(a)
+        for _ in range(rng.randint(0, 20)):
+            k = rng.randint(0, len(b))
+            b[k : k + rng.randint(0, 2)] = rng.choices("abc ", k=rng.randint(0, 2))
+        pairs.append((a, "".join(b)))
+    want = [plain_distance(a, b) for a, b in pairs]
+    for words in range(4):
+        some = [i for i, (a, _) in enumerate(pairs) if (len(a) - 1) // 64 == words]
+        for most in (0, 10, 30, 70, 500):
+            got = lines.edit_distances([pairs[i] for i in some], most).tolist()
+            assert [d if d <= most else None for d in got] == [want[i] if want[i] <= most else None for i in some]
+    assert lines.exactly_similar(pairs, 0.8) == lines.exactly_similar(pairs, 0.8, least=2) == [1 - d / max(len(a), len(b), 1) >= 0.8 for (a, b), d in zip(pairs, want, strict=True)]
+    assert lines.exactly_similar([], 0.8) == []
 
 
 def test_lines_equal_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
-    base = [" ".join(rng.choices(vocabulary, k=rng.randint(5, 60))) for _ in range(50)]
+    base = [" ".join(rng.choices(vocabulary, k=rng.randint(30, 60))) for _ in range(50)]
     docs = []
     for i in range(120):
         chosen = []
@@ -112,19 +158,17 @@ def test_lines_equal_brute_force(spark):
                 w[k] = w[k] + rng.choice("xyz")
             chosen.append(" ".join(w).title() + rng.choice(["", ".", " 1", " 2", "!"]))
         docs.append((i, "\n".join([*chosen, "short line", ""])))
-    docs += [(200, None), (201, ""), (202, "\n\n"), (None, docs[0][1]), (5, docs[5][1]), (203, ("very long words here now " * 4000) + "\n" + base[0])]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'old' as n_removed")
-    for cut in (32 << 20, -1):  # removals broadcast, and joined by a shuffle
-        got = lines.dedup_lines(df, broadcast_bytes=cut).collect()
+    docs += [(200, None), (201, ""), (202, "\n\n"), (None, docs[0][1]), (5, docs[5][1]), (203, ("very long words here now " * 400) + "\n" + base[0])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'old' as n_removed", "'keep' as _id", "'keep' as _doc", "'keep' as hash", "'keep' as _gone")
+    want = brute_kept(docs)
+    for options in ({}, {"broadcast_bytes": -1, "crowd": 3}):  # removals broadcast, and joined by a shuffle; blocks in many parts
+        got = lines.dedup_lines(df, **options).collect()
         assert len(got) == len(docs)
-        gone = Counter()
-        for spots in brute_lines(docs).values():
-            for d, t, k in spots:
-                gone[(d[1] if d[0] else None, t)] += 1
-        # one occurrence of every group stays
-        kept = sum(1 for spots in brute_lines(docs).values())
-        unique = {(r.doc_id, r.n_lines, r.text, r.n_removed) for r in got}
-        assert sum(r[3] for r in unique) == sum(gone.values()) - kept
+        assert {(r._id, r._doc, r.hash, r._gone) for r in got} == {("keep",) * 4}
+        texts = {}
+        for d, t in docs:
+            texts.setdefault(d, t)
+        assert {r.doc_id: r.text for r in got} == {d: want[(d, t)] for d, t in texts.items()}
         by_id = {r.doc_id: r for r in got}
         assert by_id[200].text is None and by_id[200].n_lines == 0
         assert by_id[201].text == "" and by_id[202].text == "\n\n"
@@ -139,21 +183,32 @@ def test_line_hashes_equal_a_plain_count():
         h, _ = lines.word_hashes(np.frombuffer(line + b"\n", np.uint8))
         h = h.tolist()
         assert len(h) == len(line.split()) and len(set(h)) == len(set(line.split()))
-        full, features = (1 << 64) - 1, list(h)
-        for x, y in zip(h, [*h[1:], 0], strict=True):
-            v = ((x * lines.BASE & full) ^ (y << 31 & full | y >> 33)) * 0xD6E8FEB86659FD93 & full
-            features.append(v ^ v >> 32)
-        assert int(got) == sum((2 * sum(f >> b & 1 for f in features) > len(features)) << b for b in range(64))
-
-
-def test_links_whose_forest_fails_the_edit_check_are_found(spark):
-    a = "one two three four five six seven eight nine ten"
-    texts = spark.createDataFrame([(0, a), (1, "x" * 40), (2, a + " x")], "id long, line string")
-    points = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 3, 2)], "id long, sim long, label long")
-    forest = {tuple(sorted(r)) for r in lines.candidate_pairs(points, 3, 3).collect()}
-    assert len(forest) == 2
-    pairs = {tuple(sorted(r)) for r in lines.candidate_pairs(points, 3, 3, labelled=True).collect()}
-    assert pairs == {(0, 1), (0, 2), (1, 2)}
-    checked = lines.verified(spark.createDataFrame(sorted(pairs), "a long, b long"), texts, 0.8).where("good").collect()
-    assert [(r.a, r.b) for r in checked] == [(0, 2)]
-    assert [len(lines.block_tables(n, 3)) for n in (10, 1 << 30, 1 << 40)] == [4, 10, 20]
+        assert int(got) == sum((2 * sum(f >> b & 1 for f in h) > len(h)) << b for b in range(64))
+
+
+def test_links_that_a_star_leaves_out_are_found(spark):
+    # the first of the block is near neither of the others, which are near each other; in two blocks the pair is looked at once
+    points = [(0, 40, 1, [7, 8]), (1, 40, 0, [7, 8]), (2, 40, 3, [7, 8]), (3, 40, (1 << 40) - 1, [7, 9]), (4, 20, 3, [7, 10]), (5, 40, 3, [11, 12])]
+    df = spark.createDataFrame([(i, n, (s).to_bytes(8, "little"), b) for i, n, s, b in points], "id long, size long, sketch binary, blocks array<long>")
+    rows = spark.createDataFrame([(b, i, s) for i, _, s, bs in points for b in bs], "block long, id long, sim long")
+    members = buckets.members_of(rows, 2)
+    assert sorted(tuple(r) for r in members.collect()) == [(7, 0, 0, False), (7, 1, 0, True), (7, 2, 0, True), (7, 3, 0, False), (7, 4, 0, True), (8, 0, 0, False), (8, 1, 0, True), (8, 2, 0, True)]
+    assert sorted(tuple(r) for r in buckets.stars(members).collect()) == [(0, 1), (0, 2), (0, 4)]
+    texts = {0: "a", 1: "b", 2: "b", 3: "b", 4: "b", 5: "b"}
+    payload = lambda ids: ids.join(spark.createDataFrame(list(texts.items()), "id long, payload string"), "id")
+    groups = spark.createDataFrame([], "node long, component long")
+    for crowd, quick, exact in ((4096, lambda x, y: x == y, None), (1, lambda x, y: None, lambda pairs: [x == y for x, y in pairs])):
+        more = buckets.settled(members, groups, df, payload, lines.nearby(2), quick, exact or list, 0.8, crowd)
+        assert [tuple(sorted(r)) for r in more.collect()] == [(1, 2)]
+    linked = spark.createDataFrame([(k, 0) for k in range(5)], "node long, component long")
+    assert buckets.settled(members, linked, df, payload, lines.nearby(2), quick, exact, 0.8) is None
+
+
+def test_rows_of_a_bucket_over_many_batches():
+    import pyarrow as pa
+
+    rows = [(b, b % 2, i) for b, n in enumerate([1, 5, 1, 9, 2, 1]) for i in range(n)]
+    for size in (1, 2, 3, 7, 50):
+        parts = [pa.RecordBatch.from_pylist([dict(zip("abc", r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = [t.num_rows for t in buckets.groups_of(parts, 2)]
+        assert got == [1, 5, 1, 9, 2, 1]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from lathe.llm import lines
 
 WORDS = [f"{a}{b}{c}{d}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "rt", "st") for d in ("", "ing", "ed", "ous")]
@@ -41,8 +42,7 @@ def test_lines_with_words_changed_go(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_removed(docs, lambda x: True)
     removed = lambda found: sum(r.n_removed for r in found.select("n_removed").collect())
-    assert removed(lines.line_report(df)) == want > 100
-    assert removed(lines.dedup_lines(df)) < 0.7 * want  # 3 bits
+    assert 0.97 * want <= removed(lines.line_report(df)) <= want and want > 100
 
 
 def test_short_lines_and_lines_without_spaces_go(spark):
@@ -52,8 +52,27 @@ def test_short_lines_and_lines_without_spaces_go(spark):
     docs = [(i, "\n".join(["Home", "Log in!", "", "--", f"Page {i}", *rng.sample(chinese, 3), "Homf" if i else "home"])) for i in range(6)]
     docs += [(6, "\n".join([*chinese, *near])), (7, "Log in\n\nlog out")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r for r in lines.dedup_all_lines(df).collect()}
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
     want = brute_removed(docs, lambda x: len(x.split()) >= 5 or len(x.replace(" ", "")) >= 20)
     assert sum(r.n_removed for r in got.values()) == want
     assert got[7].text == "\nlog out"  # an equal line goes, a blank one and a similar short one stay
     assert not any(x in r.text.split("\n") for r in got.values() for x in near)
+
+
+def test_recall_of_pairs_against_all_pairs(spark):
+    # every pair of similarity 0.8 or more, changed by one word up to a sixth of the words: 9 in 10 or more share a block and lie within the radius
+    rng = random.Random(5)
+    found = total = 0
+    for _ in range(300):
+        a = rng.choices(WORDS, k=rng.randint(8, 80))
+        b = list(a)
+        for _ in range(rng.randint(1, max(1, len(a) // 6))):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], [rng.choice(WORDS)], [rng.choice(WORDS)], [b[k], rng.choice(WORDS)]])
+        pair = [" ".join(x).encode() for x in (a, b)]
+        if lines.edit_similarity(pair[0].decode(), pair[1].decode()) >= 0.8:
+            bands = np.zeros((2, lines.BANDS), np.uint32)
+            x, y = lines.simhashes(pair, bands).tolist()
+            total += 1
+            found += (x ^ y).bit_count() <= 14 and bool((bands[0] == bands[1]).any())
+    assert total > 150 and found >= 0.9 * total

@@ -111,8 +111,11 @@ def test_components_of_paths_stars_and_strings(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000), (None, 4), (7, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{k: 1000 for k in range(1000, 1200)}}
+    for small in (1 << 18, 250):  # at once, and after a round or two
+        assert {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()} == got
     got = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
     assert {(r.node, r.component) for r in got} == {("a", "a"), ("b", "a"), ("c", "a")}
+    assert {(r.node, r.component) for r in connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"), small=9).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
