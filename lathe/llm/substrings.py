@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lathe.llm.common import stored
+from lathe.llm.common import spare, stored, with_counted
 
 TRIGGER = 16  # bytes under the rolling hash
 BASE = 0x9E3779B97F4A7C15
@@ -274,15 +274,18 @@ def repeated_ranges(rows: DataFrame, length: int, reach: int, crowd: int) -> Dat
     2. A context met twice repeats with all its strings, copies collapse to a count.
     3. Contexts met once that share their bucket with others are compared as bytes,
        in order; one of the copies stands for a context met more often.
+
+    The phrases of a large group of copies are hot keys where counts meet places;
+    these are joined by a broadcast, which ``with_counted`` bounds.
     """
     buckets = stored(contexts_of(rows, length, reach).groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"))
     met = stored(contexts_of(rows, length, reach).join(buckets, "k"))
     one = F.struct("r1", "r2", "low", "size", "at")
     names = stored(met.groupBy("k", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("x")))
-    shared = stored(names.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"))
-    full = stored(names.where("n > 1").select("c1", "c2"))
-    whole = met.join(full, ["c1", "c2"], "left_semi").select("r1", "r2", F.col("low").alias("s"), (F.col("low") + F.col("size")).alias("e"))
-    spots = names.join(shared, "k").select("k", "n", "m", "x.*")
+    shared = stored(names.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("k", "m"))
+    full = stored(names.where("n > 1").select("c1", "c2", "n"))
+    whole = with_counted(met, full, ["c1", "c2"], "n").select("r1", "r2", F.col("low").alias("s"), (F.col("low") + F.col("size")).alias("e"))
+    spots = with_counted(names, shared, ["k"], "m").select("k", "n", "m", "x.*")
     by_text = stored(spots.groupBy("r1", "r2").agg(F.collect_list(F.struct("k", "n", "m", "low", "size", "at")).alias("spots")))
 
     def fetch(batches):
@@ -316,16 +319,17 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     ``reach`` bounds phrases; a bucket of more than ``crowd`` different contexts is settled by blocks, spread over all tasks.
     """
     kept = [c for c in docs.columns if c not in ("n_bytes", "removed", "kept")]
-    keyed = docs.select(*kept, F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias("_r1"), F.xxhash64(F.lit(2), F.col(text), F.col(doc_id)).alias("_r2"))
-    rows = keyed.where(F.octet_length(text) >= length).select(F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col(text).alias("text"))
+    one, two, found_runs = spare([*kept, "n_bytes", "removed", "kept"], "_r1", "_r2", "_runs")
+    keyed = docs.select(*kept, F.xxhash64(F.lit(1), F.col(doc_id), F.col(text)).alias(one), F.xxhash64(F.lit(2), F.col(text), F.col(doc_id)).alias(two))
+    rows = keyed.where(F.octet_length(text) >= length).select(F.col(one).alias("r1"), F.col(two).alias("r2"), F.col(text).alias("text"))
     found = repeated_ranges(rows, length, reach, crowd)
-    runs = stored(found.distinct().groupBy(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).agg(F.collect_list(F.struct("s", "e")).alias("_runs")))
-    joined = keyed.join(runs.hint("merge"), ["_r1", "_r2"], "left").select(*kept, "_runs")
+    runs = stored(found.distinct().groupBy(F.col("r1").alias(one), F.col("r2").alias(two)).agg(F.collect_list(F.struct("s", "e")).alias(found_runs)))
+    joined = keyed.join(runs.hint("merge"), [one, two], "left").select(*kept, found_runs)
 
     def run(batches):
         for batch in batches:
             sizes, removed, rest = [], [], []
-            for t, xs in zip(batch.column(text), batch.column("_runs"), strict=True):
+            for t, xs in zip(batch.column(text), batch.column(found_runs), strict=True):
                 data = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 flat: list[int] = []
                 for s, e in sorted((x["s"], x["e"]) for x in xs.as_py() or ()):
