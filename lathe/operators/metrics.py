@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lathe.operators.groups import majority
+from lathe.operators.rows import numbered
 
 # Metrics whose last value counts, and the ones with a rule of their own.
 LAST = [
@@ -195,9 +196,34 @@ def mean_of_means(df: DataFrame, outer: str, inner: str, value: str) -> DataFram
     return df.groupBy(outer, inner).agg(F.avg(value).alias("m")).groupBy(outer).agg(F.avg("m").alias("score"), F.count(F.lit(1)).alias("rows"))
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """``by, q``: linear-interpolated quantiles in the order of ``shares``; nulls don't count.
+
+    Rows are ranked, over the whole table by ranges and within groups by a window that
+    can spill, and only the two neighbours of each quantile go on; no task holds a
+    table of values.
+    """
+    by = by or []
+    known = df.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
+    if by:
+        w = Window.partitionBy(*by)
+        ranked = known.withColumns({"_i": F.row_number().over(w.orderBy("_x")) - 1, "_n": F.count(F.lit(1)).over(w)})
+    else:
+        ranked = numbered(known, ["_x"], "_i").withColumn("_n", F.lit(known.count()))
+    places = [F.lit(q) * (F.col("_n") - 1) for q in shares]
+    near = reduce(lambda a, b: a | b, [(F.col("_i") == F.floor(p)) | (F.col("_i") == F.ceil(p)) for p in places])
+    kept = ranked.where(near)
+
+    def value(p):
+        low, high = (F.max(F.when(F.col("_i") == f(p), F.col("_x"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(p - F.floor(p))
+
+    return kept.groupBy(*by).agg(F.array(*(value(p) for p in places)).alias("q"))
+
+
 def quantile_edges(df: DataFrame, column: str, parts: int) -> list[float]:
     """Linear-interpolated value edges of ``parts`` equal shares."""
-    return df.agg(F.percentile(column, [i / parts for i in range(parts + 1)]).alias("e")).first()["e"]
+    return quantiles(df, column, [i / parts for i in range(parts + 1)]).first()["q"]
 
 
 def quantile_buckets(df: DataFrame, column: str, parts: int, name: str = "bucket") -> DataFrame:
@@ -218,16 +244,17 @@ def histogram_quantile(hist: DataFrame, q: float, scale: float = 1.0) -> DataFra
 
 
 def quantile_summary(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    qs = [0.01, 0.05, 0.5, 0.95, 0.99]
-    g = df.groupBy(*by) if by else df.groupBy()
-    p = g.agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"), F.percentile(column, qs).alias("q"))
-    return p.select(*(by or []), "mean", "min", "max", *(F.col("q")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)))
+    qs, by = [0.01, 0.05, 0.5, 0.95, 0.99], by or []
+    plain = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    found = quantiles(df, column, qs, by)
+    both = plain.join(found, by) if by else plain.join(F.broadcast(found))  # one row each
+    return both.select(*by, "mean", "min", "max", *(F.col("q")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(qs)))
 
 
 def tail_ratio(df: DataFrame, column: str, percent: float) -> DataFrame:
     """Share of values above the (1 - percent/100) quantile, with min and max."""
-    cut = df.agg(F.percentile(column, 1 - percent / 100).alias("cut"))
-    return df.join(F.broadcast(cut)).agg(F.avg((F.col(column) > F.col("cut")).cast("double")).alias("tail_ratio"), F.min(column).alias("min"), F.max(column).alias("max"))
+    cut = quantiles(df, column, [1 - percent / 100]).first()
+    return df.agg(F.avg((F.col(column) > F.lit(cut["q"][0] if cut else None)).cast("double")).alias("tail_ratio"), F.min(column).alias("min"), F.max(column).alias("max"))
 
 
 def slowest(df: DataFrame, by: str, fields: list[str]) -> DataFrame:

@@ -278,3 +278,15 @@ def test_quantiles_of_t_and_running_sums(spark):
 def test_metric_names_of_the_greatest_size(spark):
     df = spark.createDataFrame([("s", "acc", "best@2/mean", 2), ("s", "acc", "best@4/mean", 4), ("s", "acc", "worst@4/mean", 4), ("s", "len", "mean@4", 4)], "data_source string, variable string, metric string, n int")
     assert {r.metric: r.name.split("/")[0] for r in metrics.metric_names(df, "acc").collect()} == {"best@2/mean": "val-aux", "best@4/mean": "val-core", "worst@4/mean": "val-aux", "mean@4": "val-aux"}
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(g), None if x > 2 else float(x)) for g, x in zip(rng.integers(0, 3, 500), rng.normal(size=500), strict=True)]
+    df = spark.createDataFrame(data, "g int, x double")
+    qs = [0.0, 0.01, 0.37, 0.5, 0.95, 1.0]
+    own = lambda g: np.array([x for h, x in data if x is not None and g in (None, h)])
+    assert metrics.quantiles(df, "x", qs).first()["q"] == pytest.approx(np.quantile(own(None), qs).tolist())
+    for r in metrics.quantiles(df, "x", qs, ["g"]).collect():
+        assert r["q"] == pytest.approx(np.quantile(own(r.g), qs).tolist())
+    assert metrics.tail_ratio(df.limit(0), "x", 5.0).first()["tail_ratio"] is None
