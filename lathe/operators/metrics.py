@@ -207,15 +207,15 @@ def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | N
     known = df.select(*by, F.col(column).cast("double").alias("_x")).where("_x is not null")
     if by:
         w = Window.partitionBy(*by)
-        ranked = known.withColumns({"_i": F.row_number().over(w.orderBy("_x")) - 1, "_n": F.count(F.lit(1)).over(w)})
+        ranked = known.withColumns({"_at": F.row_number().over(w.orderBy("_x")) - 1, "_n": F.count(F.lit(1)).over(w)})
     else:
-        ranked = numbered(known, ["_x"], "_i").withColumn("_n", F.lit(known.count()))
+        ranked = numbered(known, ["_x"], "_at").withColumn("_n", F.lit(known.count()))
     places = [F.lit(q) * (F.col("_n") - 1) for q in shares]
-    near = reduce(lambda a, b: a | b, [(F.col("_i") == F.floor(p)) | (F.col("_i") == F.ceil(p)) for p in places])
+    near = reduce(lambda a, b: a | b, [(F.col("_at") == F.floor(p)) | (F.col("_at") == F.ceil(p)) for p in places])
     kept = ranked.where(near)
 
     def value(p):
-        low, high = (F.max(F.when(F.col("_i") == f(p), F.col("_x"))) for f in (F.floor, F.ceil))
+        low, high = (F.max(F.when(F.col("_at") == f(p), F.col("_x"))) for f in (F.floor, F.ceil))
         return low + (high - low) * F.max(p - F.floor(p))
 
     return kept.groupBy(*by).agg(F.array(*(value(p) for p in places)).alias("q"))
