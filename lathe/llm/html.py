@@ -248,7 +248,8 @@ def survey(text: str) -> tuple[str | None, list[tuple[str, int]]]:
     A path is the chain of containers from the body, each as tag and classes with
     digits generalised. The best is where most unlinked text stands close to its own
     blocks, article and main elements first; ties go to the shorter path, then the
-    first on the page. Paths are numbered, so that depth costs nothing.
+    first on the page. Where text outside of all containers makes the page itself the
+    best, there is no path. Paths are numbered, so that depth costs nothing.
     """
     numbers: dict[tuple[int, str], int] = {}
     outer, name, depth, size, links = [-1], [""], [0], [0], [0]  # number 0 is the page
@@ -292,7 +293,7 @@ def survey(text: str) -> tuple[str | None, list[tuple[str, int]]]:
         size[outer[i]] += size[i]
         links[outer[i]] += links[i]
     best = None
-    for i in range(1, len(outer)):
+    for i in range(0 if own[0] else 1, len(outer)):
         if size[i] > links[i]:
             score = (size[i] - links[i]) * (0.5 + 0.5 * own[i] / size[i]) * (4 if name[i].split(".")[0] in ("article", "main") else 1)
             if best is None or (score, -depth[i]) > best[0]:
