@@ -151,7 +151,7 @@ def test_columns_rows_and_positions(spark, tmp_path):
 
 def test_parameters_and_configs():
     flat = datasets.flat_params({"a": {"b": [1, {"c": 2}]}, "d": None, "e": []})
-    # the reference layout by hand; a table tool's flattening agrees where there is no list
+    # by hand; a table tool flattens alike where there is no list
     assert flat == {"a/b/list_len": 2, "a/b/0": 1, "a/b/1/c": 2, "d": None, "e/list_len": 0}
     nested = {"x": {"y": 1, "z": {"w": "v"}}, "u": 2.5}
     assert datasets.flat_params(nested) == pd.json_normalize(nested, sep="/").iloc[0].to_dict()
