@@ -128,9 +128,10 @@ def spread_positions(spark, sf_dir):
 
 @query("rows_by_file_position", "SELECT d.doc_id, d.source FROM documents d JOIN labels l USING (doc_id)")
 def rows_by_position(spark, sf_dir):
-    # documents lie in the order of their ids, so a label's doc_id is a row's place in the file
-    chosen = table(spark, sf_dir, "labels").select(F.lit("documents.parquet").alias("file"), F.col("doc_id").alias("row_index"), "doc_id")
-    return datasets.selected_rows(documents(spark, sf_dir), chosen, "doc_id").select("doc_id", "source")
+    d = documents(spark, sf_dir)
+    places = datasets.with_position(d).select("doc_id", "file", "row_index")
+    chosen = places.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    return datasets.selected_rows(d, chosen, "doc_id").select("doc_id", "source")
 
 
 @query("exact_schema_scan", "SELECT doc_id, quality, toxic FROM labels")

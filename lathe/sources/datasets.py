@@ -129,11 +129,12 @@ def with_position(df: DataFrame) -> DataFrame:
 
 
 def selected_rows(df: DataFrame, selection: DataFrame, key: str) -> DataFrame:
-    """Rows of a Parquet scan by ``file`` (as a suffix of the path) and ``row_index``; one whose ``key`` isn't the selection's raises."""
-    chosen = selection.select(F.col("row_index"), F.col("file").alias("_file"), F.col(key).alias("_key"))
-    rows = with_position(df).join(chosen, "row_index").where(F.col("file").endswith(F.col("_file")))
+    """Rows of a Parquet scan by ``file`` (the path or its end, from the whole file name on) and ``row_index``; one whose ``key`` isn't the selection's raises."""
+    name = lambda path: F.substring_index(path, "/", -1).alias("_name")
+    chosen = selection.select(F.col("row_index"), F.col("file").alias("_file"), F.col(key).alias("_key"), name("file"))
+    rows = with_position(df).select("*", name("file")).join(chosen, ["row_index", "_name"]).where(F.col("file").endswith(F.col("_file")))
     held = F.when(F.col(key).eqNullSafe(F.col("_key")), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("another row at "), F.col("row_index").cast("string"))).cast(df.schema[key].dataType))
-    return rows.withColumn(key, held).drop("_file", "_key", "file")
+    return rows.withColumn(key, held).drop("_file", "_key", "_name", "file")
 
 
 def flat_params(params, sep: str = "/") -> dict:

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from lathe.functions import answers
 from lathe.operators import balance, contracts, rows
+from lathe.plans import QUERIES
 from lathe.sources import datasets
 from lathe.streaming import queues
 from pyspark.sql import functions as F
@@ -149,6 +150,16 @@ def test_columns_rows_and_positions(spark, tmp_path):
     assert rows.quantile_picks(df.withColumn("g", F.lit(1)), ["g"], ["id"], 1).count() == 1
 
 
+def test_rows_by_file_position_in_several_files_and_any_order(spark, tmp_path):
+    docs = [(i, f"s{i % 7}") for i in range(60)] + [(5, "again"), (None, "none")]
+    spark.createDataFrame(docs, "doc_id long, source string").orderBy(F.desc("source"), F.desc("doc_id")).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [*range(0, 60, 3), 6, 5, 1000, None]
+    spark.createDataFrame([(i,) for i in labels], "doc_id long").repartition(2).write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["rows_by_file_position"](spark, str(tmp_path)).collect()
+    want = sorted((i, s) for i, s in docs for j in labels if i is not None and i == j)
+    assert sorted((r.doc_id, r.source) for r in got) == want
+
+
 def test_parameters_and_configs():
     flat = datasets.flat_params({"a": {"b": [1, {"c": 2}]}, "d": None, "e": []})
     # by hand; a table tool flattens alike where there is no list
