@@ -167,8 +167,8 @@ def alignment_cost(a: list[str], b: list[str], most: float) -> float:
 def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
     """Edit distances in code points, or some number above ``most`` where they are above it.
 
-    Myers' bit vectors, in words of 64, for all pairs side by side; the first texts
-    take the same number of words. Only words within ``most`` of the diagonal are
+    Myers' bit vectors, in words of 64, for all pairs side by side, whatever their
+    sizes; pairs of like size waste least. Only words within ``most`` of the diagonal are
     worked on: beyond it cells are taken for larger than they can be, which changes no distance up to ``most``.
     """
     codes, at = np.unique(np.frombuffer("".join(x for p in pairs for x in p).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
@@ -183,23 +183,23 @@ def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
     masks = np.zeros((words, count * alphabet), np.uint64)
     np.bitwise_or.at(masks, (place >> 6, owner * alphabet + at[np.repeat(first, m) + place]), np.uint64(1) << (place & 63).astype(np.uint64))
     up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
-    one, top, rows = np.uint64(1), np.uint64(63), np.arange(count)
-    final = (np.maximum(m - 1, 0) & 63).astype(np.uint64)  # the last row's bit in the last word
+    one, top, rows = np.uint64(1), np.uint64(63), np.arange(count) * alphabet
+    last, final = np.maximum(m - 1, 0) >> 6, (np.maximum(m - 1, 0) & 63).astype(np.uint64)  # word and bit of each last row
     low, high = 0, min(words, most // 64 + 1)  # the words at work
-    score = np.minimum(m, 64 * high) if high < words else m.copy()  # of the lowest row at work
-    live = count
+    score = np.minimum(m, 64 * high)  # of the lowest row at work that a pair has
+    shortest, live = int(last.min(initial=0)), count
     for j in range(int(n.max(initial=0))):
         while live and n[live - 1] <= j:
             live -= 1
         if high < words and (j + most) // 64 >= high:
             high += 1
-            score[:live] += (m[:live] if high == words else 64 * high) - 64 * (high - 1)
+            score[:live] += np.minimum(m[:live], 64 * high) - np.minimum(m[:live], 64 * (high - 1))
         low = max(low, min((j - most) // 64, high - 1))
-        column = rows[:live] * alphabet + at[second[:live] + j]
+        column = rows[:live] + at[second[:live] + j]
         carry = np.zeros(live, np.uint64)
         add, cut = np.ones(live, np.uint64), np.zeros(live, np.uint64)
         for w in range(low, high):
-            eq, u, d = masks[w, column], up[w, :live], down[w, :live]
+            eq, u, d = masks[w].take(column), up[w, :live], down[w, :live]
             xv, both = eq | d, eq & u
             total = both + u
             over = total < u
@@ -207,15 +207,17 @@ def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
             carry = (over | (total < carry)).astype(np.uint64)
             xh = (total ^ u) | eq
             ph, mh = d | ~(xh | u), u & xh
-            if w == high - 1:
-                b = final[:live] if high == words else top
-                score[:live] += (ph >> b & one).astype(np.int64) - (mh >> b & one).astype(np.int64)
+            if w >= shortest or w == high - 1:
+                ends = last[:live] == w
+                b, here = (np.where(ends, final[:live], top), ends | (last[:live] > w)) if w == high - 1 else (final[:live], ends)
+                score[:live] += ((ph >> b & one).astype(np.int64) - (mh >> b & one).astype(np.int64)) * here
             carried, lost = ph >> top, mh >> top
             ph, mh = ph << one | add, mh << one | cut
             add, cut = carried, lost
             up[w, :live], down[w, :live] = mh | ~(xv | ph), ph & xv
     out = np.empty(count, np.int64)
-    out[order] = np.where(m == 0, n, score) if high == words else np.maximum(score, most + 1)
+    score = np.where(m == 0, n, score)
+    out[order] = np.where(np.abs(m - n) > most, np.maximum(score, most + 1), score)  # the words at work end above such a pair's last row
     return out
 
 
@@ -228,25 +230,27 @@ def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
     return True if alignment_cost(a.split(" "), b.split(" "), most) <= most else None
 
 
-def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 128) -> list[bool]:
-    """The same for many pairs, by edit distance: those of one size side by side, where they are ``least`` or more; else one by one."""
+def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 32, side: int = 1024) -> list[bool]:
+    """The same for many pairs, by edit distance: up to ``side`` of like size side by side; one by one where fewer than ``least`` are together."""
     out = [False] * len(pairs)
-    by_size: dict[int, list[int]] = {}
-    for i, p in enumerate(pairs):
-        by_size.setdefault((len(p[0]) - 1) // 64, []).append(i)
-    for size, some in by_size.items():
-        if len(some) < least:
-            for i in some:
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    at = 0
+    while at < len(order):
+        rows, wide, end = 1 + len(pairs[order[at]][0]) // 64, set(), at
+        while end < len(order) and end - at < side and (len(pairs[order[end]][0]) <= 128 * rows or end - at < least):  # up to about twice the size
+            letters = wide.union(*pairs[order[end]])
+            if end > at and 8 * len(letters) * (2 + len(pairs[order[end]][0]) // 64) * (end - at + 1) > 32 << 20:  # bounded tables
+                break
+            wide, end = letters, end + 1
+        part, at = order[at:end], end
+        if len(part) < least:
+            for i in part:
                 out[i] = edit_similarity(*pairs[i]) >= at_least
             continue
-        wide = len(set().union(*(set(pairs[i][0]) | set(pairs[i][1]) for i in some)))
-        room = max(1, (32 << 20) // (8 * wide * (2 + size)))  # bounded tables
-        for g in range(0, len(some), room):
-            part = some[g : g + room]
-            longer = [max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in part]
-            found = edit_distances([pairs[i] for i in part], int((1 - at_least) * max(longer)) + 1)
-            for i, d, n in zip(part, found.tolist(), longer, strict=True):
-                out[i] = 1 - d / n >= at_least
+        longer = [max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in part]
+        found = edit_distances([pairs[i] for i in part], int((1 - at_least) * max(longer)) + 1)
+        for i, d, n in zip(part, found.tolist(), longer, strict=True):
+            out[i] = 1 - d / n >= at_least
     return out
 
 

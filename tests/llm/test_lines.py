@@ -76,3 +76,21 @@ def test_recall_of_pairs_against_all_pairs(spark):
             total += 1
             found += (x ^ y).bit_count() <= 14 and bool((bands[0] == bands[1]).any())
     assert total > 150 and found >= 0.9 * total
+
+
+def test_lines_of_all_sizes_are_compared_side_by_side(monkeypatch):
+    rng = random.Random(6)
+    pairs = []
+    for n in range(40, 440, 2):
+        a = [rng.choice("abcde é") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, n // 3)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["x"], [b[k], "y"]])
+        pairs.append(("".join(a), "".join(b)))
+    want = [lines.edit_similarity(*p) >= 0.8 for p in pairs]
+    alone = []
+    plain = lines.edit_similarity
+    monkeypatch.setattr(lines, "edit_similarity", lambda a, b: alone.append(a) or plain(a, b))
+    assert lines.exactly_similar(pairs, 0.8) == want and 0 < sum(want) < len(want)
+    assert len(alone) < 32  # before, each size of 64 characters needed 128 pairs of its own
