@@ -1,4 +1,4 @@
-"""Near-duplicate documents by word shingles: MinHash bands propose pairs, the shingle sets decide them."""
+"""Near-duplicate documents by word shingles: SimHash in a vantage-point tree, then MinHash bands propose pairs, the shingle sets decide them."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lathe.llm.buckets import members_of, settled, stars
 from lathe.llm.common import stored, with_counted
 from lathe.llm.components import connected_components
-from lathe.llm.simhash import UPPER
+from lathe.llm.simhash import UPPER, majority, near_edges, set_bits
 
 BANDS, ROWS = 24, 4
 _rng = np.random.default_rng(23)
@@ -46,6 +46,11 @@ def minima(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_print(values: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set, as an unsigned integer."""
+    return majority(sum(set_bits(values[i : i + (1 << 16)]) for i in range(0, len(values), 1 << 16)), len(values))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted sets."""
     if min(len(a), len(b)) == 0:
@@ -60,22 +65,27 @@ def agreeing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return 2 * np.count_nonzero(many == one, axis=1) >= len(one)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, crowd: int = 4096) -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, crowd: int = 4096) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id`` and ``component_id``, the smallest doc_id of its group.
 
     Texts are linked whose sets of ``size``-word shingles (A-Z lower-cased) have a
-    Jaccard similarity of ``similarity`` or more. MinHash proposes the pairs, in 24
-    bands of 4, and misses a pair of similarity 0.8 once in 300,000; the sets
-    decide every pair. Null, empty and blank texts are one group. A bucket's texts are
-    linked to one of them; buckets whose texts are then still apart are settled pair by
-    pair within a task, as ``buckets.settled`` says.
+    Jaccard similarity of ``similarity`` or more; the sets decide every pair that is
+    proposed. Null, empty and blank texts are one group.
+
+    First op10's method proposes pairs: SimHashes of the sets within ``radius`` bits of
+    one another, found by the vantage-point tree and its shards. At similarity 0.8
+    SimHashes differ in about 10 bits, beyond what a tree over 64 can prune, so what is
+    then still apart is proposed by MinHash, in 24 bands of 4, which misses a pair of
+    similarity 0.8 once in 300,000. A bucket's texts are linked to one of them; buckets
+    whose texts are then still apart are settled pair by pair within a task, as
+    ``buckets.settled`` says.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = [("key", T.BinaryType()), ("size", T.LongType()), ("blocks", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+    fields = [("key", T.BinaryType()), ("size", T.LongType()), ("blocks", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()), ("fingerprint", T.LongType())]
 
     def sign(batches):
         for batch in batches:
-            keys, sizes, blocks, sketches = [], [], [], []
+            keys, sizes, blocks, sketches, prints = [], [], [], [], []
             for t in batch.column(1):
                 line = normal(t.as_py())
                 found = shingle_set(line, size)
@@ -84,12 +94,18 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
                 sizes.append(len(found))
                 blocks.append([xxhash.xxh64_intdigest(low[i : i + ROWS].tobytes(), i) - (1 << 63) for i in range(0, len(low), ROWS)] if line else [])
                 sketches.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", *(n for n, _ in fields)])
+                prints.append(set_print(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", *(n for n, _ in fields)])
 
     rows = stored(source.mapInArrow(sign, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(*f) for f in fields)])))
-    distinct = stored(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = stored(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch"), F.first("fingerprint").alias("fingerprint")).withColumn("id", F.monotonically_increasing_id()))
     members = members_of(distinct.select(F.explode("blocks").alias("block"), "id"))
     pairs = stars(members)
+    prints = stored(distinct.where(F.size("blocks") > 0).groupBy("fingerprint").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
+    shared = with_counted(distinct.where(F.size("blocks") > 0).select("fingerprint", "id"), prints.where("n > 1"), ["fingerprint"], "n").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    heads = lambda end: prints.select(F.col("fingerprint").alias(end), F.col("head").alias(f"{end}_id"))
+    near = near_edges(prints, radius).join(heads("a"), "a").join(heads("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    near = stored(shared.unionByName(near).distinct())
 
     def cut(batches):
         for batch in batches:
@@ -115,8 +131,14 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b")
         return stored(both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean"))
 
-    ends = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    good = verified(pairs, sets_of(ends).withColumnRenamed("payload", "found")).where("good").select("a", "b")
+    both = near.union(pairs)
+    ends = stored(both.select(F.col("a").alias("id")).union(both.select("b")).distinct())
+    sets = sets_of(ends).withColumnRenamed("payload", "found")
+    good = verified(near, sets).where("good").select("a", "b")
+    groups = connected_components(good, small=1 << 18)
+    label = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label"))
+    apart = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False))).select("a", "b")
+    good = good.union(verified(apart, sets).where("good").select("a", "b"))
     groups = connected_components(good, small=1 << 18)
     same = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity
     more = settled(members, groups, distinct.select("id", "size", "sketch", "blocks"), sets_of, agreeing, same, lambda pairs: [same(x, y) for x, y in pairs], similarity, crowd)

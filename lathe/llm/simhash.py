@@ -15,6 +15,16 @@ from lathe.llm.components import connected_components
 UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that are set in more than half of ``n`` hashes."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, size: int = 3) -> int:
     """64-bit SimHash over ``size``-word shingles, repeats included, as an unsigned integer; 0 where there is no word."""
     words = text.encode("utf-8", "surrogatepass").translate(UPPER).split() if text else []
@@ -30,10 +40,8 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     ends = ends[size - 1 :].tolist()
     n, counts = len(starts), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # a very long text stays within bounded memory
-        h = np.array([hashed(joined[s:e], 42) for s, e in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+        counts += set_bits(np.array([hashed(joined[s:e], 42) for s, e in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)], np.uint64))
+    return majority(counts, n)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", size: int = 3, name: str = "fingerprint") -> DataFrame:
@@ -125,20 +133,22 @@ class Groups:
             x = up[x]
         return x
 
-    def join(self, x: int, y: int) -> None:
+    def join(self, x: int, y: int) -> bool:
+        """Whether that made one group of two."""
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+        return x != y
 
 
-def near_groups(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
-    """For distinct points of one shard: the position of each one's group, groups linking every pair within ``radius``.
+def near_links(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
+    """For distinct points of one shard: pairs of positions, each within ``radius``, as few as link what all such pairs link.
 
     The shard's own vantage-point tree prunes as the planned one does; a part
     that no boundary divides is compared in blocks, so that memory stays
     bounded, and what is linked already isn't linked again.
     """
-    groups, rng = Groups(len(points)), np.random.default_rng(11)
+    groups, links, rng = Groups(len(points)), [], np.random.default_rng(11)
     todo = [np.arange(len(points))]
     while todo:
         at = todo.pop()
@@ -159,8 +169,10 @@ def near_groups(points: np.ndarray, radius: int, leaf: int = 256) -> np.ndarray:
                     if len(hits) > 32 and len(at) > leaf:
                         hits = hits[np.unique(label[hits], return_index=True)[1]]
                     for y in hits.tolist():
-                        groups.join(int(at[i + x]), int(at[i + y]))
-    return np.fromiter((groups.root(x) for x in range(len(points))), np.int64, len(points))
+                        ends = int(at[i + x]), int(at[i + y])
+                        if groups.join(*ends):
+                            links.append(ends)
+    return np.array(links, np.int64).reshape(-1, 2)
 
 
 def flat_tree(tree) -> bytes:
@@ -249,17 +261,16 @@ def shards(prints: DataFrame, radius: int, target: int, sample_rows: int, tree_b
 
 
 def near_edges(prints: DataFrame, radius: int = 2, target: int = 1024, sample_rows: int = 32768, tree_bytes: int = 32 << 20) -> DataFrame:
-    """Star edges ``(a, b)`` whose components are those of all pairs of distinct ``fingerprint`` values within ``radius``.
+    """Edges ``(a, b)`` within ``radius`` whose components are those of all pairs of distinct ``fingerprint`` values within it.
 
     prints: a stored table of distinct fingerprints. Every pair within ``radius``
-    meets in some shard of the tree. A shard emits one edge a point at most, not its pairs.
+    meets in some shard of the tree. A shard emits fewer edges than it has points, not its pairs.
     """
 
     def link(table: pa.Table) -> pa.Table:
         values = np.unique(table.column("fingerprint").to_numpy())
-        root = near_groups(values.view(np.uint64), radius)
-        linked = root != np.arange(len(values))
-        return pa.table({"a": pa.array(values[linked], pa.int64()), "b": pa.array(values[root[linked]], pa.int64())})
+        links = values[near_links(values.view(np.uint64), radius)]
+        return pa.table({"a": pa.array(links[:, 1], pa.int64()), "b": pa.array(links[:, 0], pa.int64())})
 
     return shards(prints, radius, target, sample_rows, tree_bytes).groupBy("shard").applyInArrow(link, "a long, b long")
 

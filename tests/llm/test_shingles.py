@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from lathe.llm import shingles, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +54,33 @@ def test_near_copies_of_similarity_80_to_95_go(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({root(i) for i in range(len(texts))})
     assert sum(r.doc_id is None for r in kept) == 0  # its text is that of id 0
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
+def test_the_tree_over_simhashes_proposes_pairs(spark, monkeypatch):
+    members_of = shingles.members_of
+    monkeypatch.setattr(shingles, "members_of", lambda rows: members_of(rows.limit(0)))  # what the tree finds alone
+    rng = random.Random(9)
+    texts = []
+    for k in (40, 400, 2500) * 4:
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(k))
+        texts += [base, base.upper(), *(words_changed(base, n, rng) for n in (1, 1, 3, k // 5))]
+    prints = [shingles.set_print(shingles.shingle_set(shingles.normal(t), 5)) for t in texts]
+    sets = [brute_set(t) for t in texts]
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if x == high else x for x in up]
+    got = {r.doc_id: r.component_id for r in shingles.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(up))
+    assert len(set(up)) < len(set(map(str.lower, texts)))  # more than equal texts
+
+
+def test_links_of_a_shard_lie_within_the_radius():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    points = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(30))]))
+    links = simhash.near_links(points, 2, leaf=64)
+    assert (np.bitwise_count(points[links[:, 0]] ^ points[links[:, 1]]) <= 2).all()
+    assert len(links) == len(points) - 40
