@@ -164,60 +164,101 @@ def alignment_cost(a: list[str], b: list[str], most: float) -> float:
     return cost + max(span(a[i:]), span(b[j:])) if cost <= most else cost
 
 
-def edit_distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
-    """Edit distances in code points, or some number above ``most`` where they are above it.
-
-    Myers' bit vectors, in words of 64, for all pairs side by side, whatever their
-    sizes; pairs of like size waste least. Only words within ``most`` of the diagonal are
-    worked on: beyond it cells are taken for larger than they can be, which changes no distance up to ``most``.
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Edit distance in code points, or some number above ``most`` where it is above it: Myers' bit vectors along the diagonals that ``most`` edits can reach."""
+    if len(a) < len(b):
+        a, b = b, a
+    n = len(b)
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : n - j]
+    score = len(a) - len(b)  # on the diagonal that ends in the last cell, where values never fall
+    if score > most or not b:
+        return score
+    above = (most - score) // 2
+    where: dict[str, int] = {}
+    for k, c in enumerate(a, above):
+        where[c] = where.get(c, 0) | 1 << k
+    full, end = (1 << most + 1) - 1, 1 << score + above
+    down = (1 << above) - 1
+    up = full ^ down
+    for j, c in enumerate(b):
+        x = (where.get(c, 0) >> j & full) | down
+        diagonal = ((((x & up) + up) ^ up) | x) & full
+        if not diagonal & end:
+            score += 1
+            if score > most:
+                return score
+        more = down | full ^ (diagonal | up)
+        less, diagonal = diagonal & up, diagonal >> 1
+        up, down = less | full ^ (diagonal | more), diagonal & more
+    return score
+
+
+def edit_distances(pairs: list[tuple[str, str]], most: int | np.ndarray) -> np.ndarray:
+    """``edit_distance`` of all pairs side by side, whatever their sizes; pairs of like size waste least. most: one for all or one for each pair.
+
+    Bit 0 of a pair's window is the highest diagonal that its edits can reach; a window is as many words of 64 bits as the largest ``most`` needs.
     """
-    codes, at = np.unique(np.frombuffer("".join(x for p in pairs for x in p).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in pairs]
+    codes = np.frombuffer("".join(x for p in pairs for x in p).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    used[codes] = True
+    at = (np.cumsum(used) - 1)[codes]
     sizes = np.array([len(x) for p in pairs for x in p], np.int64)
     starts = np.cumsum(sizes) - sizes
-    m, n = sizes[::2], sizes[1::2]
-    order = np.argsort(-n, kind="stable")  # those whose second text goes on come first
-    m, n, first, second = m[order], n[order], starts[::2][order], starts[1::2][order]
-    words, count, alphabet = int(-(-max(int(m.max(initial=0)), 1) // 64)), len(pairs), len(codes)
+    limit = np.broadcast_to(np.asarray(most, np.int64), len(pairs))
+    out = sizes[::2] - sizes[1::2]
+    order = np.flatnonzero((out <= limit) & (sizes[1::2] > 0))
+    if not len(order):
+        return out
+    order = order[np.argsort(-sizes[1::2][order], kind="stable")]  # those whose second text goes on come first
+    m, n, first, second, limit = sizes[::2][order], sizes[1::2][order], starts[::2][order], starts[1::2][order], limit[order]
+    score = m - n
+    above = (limit - score) // 2
+    words, count, alphabet = int(limit.max()) // 64 + 1, len(order), int(used.sum())
     owner = np.repeat(np.arange(count), m)
-    place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-    masks = np.zeros((words, count * alphabet), np.uint64)
-    np.bitwise_or.at(masks, (place >> 6, owner * alphabet + at[np.repeat(first, m) + place]), np.uint64(1) << (place & 63).astype(np.uint64))
-    up, down = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
-    one, top, rows = np.uint64(1), np.uint64(63), np.arange(count) * alphabet
-    last, final = np.maximum(m - 1, 0) >> 6, (np.maximum(m - 1, 0) & 63).astype(np.uint64)  # word and bit of each last row
-    low, high = 0, min(words, most // 64 + 1)  # the words at work
-    score = np.minimum(m, 64 * high)  # of the lowest row at work that a pair has
-    shortest, live = int(last.min(initial=0)), count
-    for j in range(int(n.max(initial=0))):
-        while live and n[live - 1] <= j:
-            live -= 1
-        if high < words and (j + most) // 64 >= high:
-            high += 1
-            score[:live] += np.minimum(m[:live], 64 * high) - np.minimum(m[:live], 64 * (high - 1))
-        low = max(low, min((j - most) // 64, high - 1))
-        column = rows[:live] + at[second[:live] + j]
-        carry = np.zeros(live, np.uint64)
-        add, cut = np.ones(live, np.uint64), np.zeros(live, np.uint64)
-        for w in range(low, high):
-            eq, u, d = masks[w].take(column), up[w, :live], down[w, :live]
-            xv, both = eq | d, eq & u
-            total = both + u
-            over = total < u
-            total += carry
-            carry = (over | (total < carry)).astype(np.uint64)
-            xh = (total ^ u) | eq
-            ph, mh = d | ~(xh | u), u & xh
-            if w >= shortest or w == high - 1:
-                ends = last[:live] == w
-                b, here = (np.where(ends, final[:live], top), ends | (last[:live] > w)) if w == high - 1 else (final[:live], ends)
-                score[:live] += ((ph >> b & one).astype(np.int64) - (mh >> b & one).astype(np.int64)) * here
-            carried, lost = ph >> top, mh >> top
-            ph, mh = ph << one | add, mh << one | cut
-            add, cut = carried, lost
-            up[w, :live], down[w, :live] = mh | ~(xv | ph), ph & xv
-    out = np.empty(count, np.int64)
-    score = np.where(m == 0, n, score)
-    out[order] = np.where(np.abs(m - n) > most, np.maximum(score, most + 1), score)  # the words at work end above such a pair's last row
+    letter = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+    place = letter + above[owner]
+    masks = np.zeros((int(max(place.max() >> 6, (n[0] - 1 >> 6) + words)) + 1, count * alphabet), np.uint64)
+    np.bitwise_or.at(masks.ravel(), (place >> 6) * (count * alphabet) + owner * alphabet + at[np.repeat(first, m) + letter], np.uint64(1) << (place & 63).astype(np.uint64))
+    one, last, rows, lanes = np.uint64(1), np.uint64(63), np.arange(count) * alphabet, np.arange(count)
+    bits = np.clip(above - 64 * np.arange(words)[:, None], 0, 64)
+    down = np.where(bits == 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
+    up = ~down
+    end, bit = score + above >> 6, (score + above & 63).astype(np.uint64)
+    live, shifts = count, np.arange(64, dtype=np.uint64)
+    for j in range(int(n[0])):
+        if n[live - 1] <= j:
+            live = int(np.searchsorted(-n, -j))
+            up, down = up[:, :live], down[:, :live]
+        if not j & 63 and (score[:live] > limit[:live]).all():
+            break
+        column, k, shift = rows[:live] + at.take(second[:live] + j), j >> 6, shifts[j & 63]
+        if words == 1:
+            low, high = masks[k].take(column), masks[k + 1].take(column)
+        else:
+            seen = masks[k : k + words + 1].take(column, axis=1)
+            low, high = seen[:-1], seen[1:]
+        x = low >> shift | high << one << last - shift | down
+        both = x & up
+        total = both + up
+        if words > 1:
+            over = total < both
+            for w in range(1, words):
+                total[w] += over[w - 1]
+                over[w] |= over[w - 1] & (total[w] == 0)
+        diagonal = (total ^ up) | x
+        more, less = down | ~(diagonal | up), diagonal & up
+        score[:live] += ((diagonal[0] if words == 1 else diagonal[end[:live], lanes[:live]]) >> bit[:live] & one) == 0
+        moved = diagonal >> one
+        moved[:-1] |= diagonal[1:] << last
+        up, down = less | ~(moved | more), moved & more
+    out[order] = score
     return out
 
 
@@ -230,27 +271,27 @@ def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
     return True if alignment_cost(a.split(" "), b.split(" "), most) <= most else None
 
 
-def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 32, side: int = 1024) -> list[bool]:
-    """The same for many pairs, by edit distance: up to ``side`` of like size side by side; one by one where fewer than ``least`` are together."""
+def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 40, side: int = 1024) -> list[bool]:
+    """The same for many pairs, by edit distance: up to ``side`` of like size side by side; one by one where too few, ``least`` or so, are together."""
+    longer = [max(len(a), len(b), 1) for a, b in pairs]
+    most = [int((1 - at_least) * n) + 1 for n in longer]
     out = [False] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    order = sorted(range(len(pairs)), key=longer.__getitem__)
     at = 0
     while at < len(order):
-        rows, wide, end = 1 + len(pairs[order[at]][0]) // 64, set(), at
-        while end < len(order) and end - at < side and (len(pairs[order[end]][0]) <= 128 * rows or end - at < least):  # up to about twice the size
-            letters = wide.union(*pairs[order[end]])
-            if end > at and 8 * len(letters) * (2 + len(pairs[order[end]][0]) // 64) * (end - at + 1) > 32 << 20:  # bounded tables
+        widest, letters, end = 2 * max(longer[order[at]], 32), set(), at
+        while end < len(order) and end - at < side and longer[order[end]] <= widest:  # up to about twice the size
+            wide = letters.union(*pairs[order[end]])
+            if end > at and 8 * len(wide) * (3 + longer[order[end]] * 3 // 128) * (end - at + 1) > 32 << 20:  # bounded tables
                 break
-            wide, end = letters, end + 1
+            letters, end = wide, end + 1
         part, at = order[at:end], end
-        if len(part) < least:
-            for i in part:
-                out[i] = edit_similarity(*pairs[i]) >= at_least
-            continue
-        longer = [max(len(pairs[i][0]), len(pairs[i][1]), 1) for i in part]
-        found = edit_distances([pairs[i] for i in part], int((1 - at_least) * max(longer)) + 1)
-        for i, d, n in zip(part, found.tolist(), longer, strict=True):
-            out[i] = 1 - d / n >= at_least
+        if 2 * len(part) < least * (3 + most[part[-1]] // 64):  # more where windows take more than one word
+            found = [edit_distance(*pairs[i], most[i]) for i in part]
+        else:
+            found = edit_distances([pairs[i] for i in part], np.array([most[i] for i in part])).tolist()
+        for i, d in zip(part, found, strict=True):
+            out[i] = 1 - d / longer[i] >= at_least
     return out
 
 
@@ -263,13 +304,25 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     """``pairs`` with ``good``: whether the two normalised lines are similar enough. texts: ``id, line``, a stored table."""
 
     def judge(batches):
+        def rows(ends, good):
+            return pa.RecordBatch.from_arrays([*(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+        held, texts, size = [], [], 0  # undecided pairs, of one batch or several
         for batch in batches:
-            texts = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-            good = [quickly_similar(x, y, at_least) for x, y in texts]
-            open_ = [i for i, g in enumerate(good) if g is None]
-            for i, g in zip(open_, exactly_similar([texts[i] for i in open_], at_least), strict=True):
-                good[i] = g
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "good"])
+            ends, good = [], []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g := quickly_similar(x, y, at_least)) is None:
+                    held.append((a, b))
+                    texts.append((x, y))
+                    size += len(x) + len(y)
+                else:
+                    ends.append((a, b))
+                    good.append(g)
+                if len(held) >= 8192 or size >= 8 << 20:
+                    yield rows(held, exactly_similar(texts, at_least))
+                    held, texts, size = [], [], 0
+            yield rows(ends, good)
+        yield rows(held, exactly_similar(texts, at_least))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")

@@ -94,3 +94,29 @@ def test_lines_of_all_sizes_are_compared_side_by_side(monkeypatch):
     monkeypatch.setattr(lines, "edit_similarity", lambda a, b: alone.append(a) or plain(a, b))
     assert lines.exactly_similar(pairs, 0.8) == want and 0 < sum(want) < len(want)
     assert len(alone) < 32  # before, each size of 64 characters needed 128 pairs of its own
+
+
+def test_long_lines_are_compared_along_their_diagonals(monkeypatch):
+    rng = random.Random(9)
+
+    def pair(n):
+        a = [rng.choice("abcde é漢") for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, n // 3)):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["x"], [b[k], "y"]])
+        return rng.sample(["".join(a), "".join(b)], 2)
+
+    together = []
+    plain = lines.edit_distances
+    monkeypatch.setattr(lines, "edit_distances", lambda pairs, most: together.append(len(pairs)) or plain(pairs, most))
+    for n, count, sides in ((1500, 40, []), (90, 200, [200])):  # before, 40 long pairs went side by side, which takes several times as long
+        pairs = [pair(n) for _ in range(count)]
+        want = [lines.edit_similarity(*p) for p in pairs]
+        assert lines.exactly_similar(pairs, 0.8) == [s >= 0.8 for s in want] and 0 < sum(s >= 0.8 for s in want) < count
+        assert together == sides
+        sizes = [max(map(len, p)) for p in pairs]
+        true = [round((1 - s) * k) for s, k in zip(want, sizes, strict=True)]
+        limits = [rng.choice([0, 5, 63, 64, d, max(d - 1, 0), k // 5]) for d, k in zip(true, sizes, strict=True)]
+        for found in (plain(pairs, np.array(limits)).tolist(), [lines.edit_distance(*p, most) for p, most in zip(pairs, limits, strict=True)]):
+            assert [d if d <= most else None for d, most in zip(found, limits, strict=True)] == [d if d <= most else None for d, most in zip(true, limits, strict=True)]
