@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from lathe.llm.common import sized_broadcast, stored, with_counted
 
 
-def groups_of(batches, keys: int) -> Iterator[pa.Table]:
-    """Runs of equal values in the first ``keys`` columns of sorted record batches."""
+def groups_of(batches, keys: int, least: int = 1) -> Iterator[pa.Table]:
+    """Runs of equal values in the first ``keys`` columns of sorted record batches; whole runs are put together until they hold ``least`` rows."""
     held: list[pa.RecordBatch] = []
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -28,12 +29,13 @@ def groups_of(batches, keys: int) -> Iterator[pa.Table]:
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
         change[0] = bool(held) and any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(columns))
-        edges = [0, *(x for x in np.flatnonzero(change).tolist() if x), batch.num_rows]
-        for s, e in zip(edges, edges[1:], strict=False):
-            if held and change[s]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(s, e - s))
+        at = 0
+        for s in np.flatnonzero(change).tolist():
+            if n + s - at >= least:
+                yield pa.Table.from_batches([*held, batch.slice(at, s - at)] if s > at else held)
+                held, n, at = [], 0, s
+        held.append(batch.slice(at))
+        n += batch.num_rows - at
     if held:
         yield pa.Table.from_batches(held)
 
@@ -86,7 +88,7 @@ def stars(members: DataFrame) -> DataFrame:
     return stored(members.where("near").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
 
-def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable, quick: Callable, exact: Callable, similarity: float, crowd: int = 4096) -> DataFrame | None:
+def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable, quick: Callable, exact: Callable, similarity: float, crowd: int = 4096, outline: Callable | None = None, allowed: Callable | None = None, few: int = 64) -> DataFrame | None:
     """Links ``a, b`` between rows of one bucket that ``groups`` leaves apart; None if there are none.
 
     groups: ``node, component`` so far. points: ``id, size, sketch, blocks``, the blocks
@@ -94,7 +96,9 @@ def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: C
     sizes allow the similarity, ``near(sketch, sketches)`` holds, and no earlier block
     holds both (there it was looked at already). ``quick(payload, payload)`` says
     whether the rows are linked, or None; ``exact(pairs of payloads)`` decides those, some thousands at a time.
-    Within a bucket, rows that became linked aren't compared any more.
+    ``allowed(outline, outlines)``, if given, rules pairs out before that by arrays that ``outline(payloads)`` makes,
+    a row for each payload. Rows that became linked aren't compared any more. Buckets of up to ``few`` rows are
+    looked through together, larger ones row by row.
 
     A bucket of more than ``crowd`` rows is cut into parts by hash, and every two
     parts meet in a group of their own, so its work is spread and no pair is lost.
@@ -116,65 +120,81 @@ def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: C
     def dealt(df):
         return df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
 
-    def arrays(t: pa.Table):
-        block, across = t["block"][0].as_py(), t["i"][0].as_py() != t["j"][0].as_py()
-        part, ids, label, size = (t[c].to_numpy() for c in ("part", "id", "label", "size"))
-        sketch = np.stack([np.frombuffer(x, np.uint8) for x in t["sketch"].to_pylist()])
-        blocks = np.stack(t["blocks"].to_numpy())
-        return block, across, part, ids, label.copy(), size, sketch, blocks
-
-    def open_pairs(x, block, across, part, label, size, sketch, blocks):
-        """Positions after ``x`` that are still to be compared with it."""
-        rest = slice(x + 1, None)
-        fits = (label[rest] != label[x]) & (np.minimum(size[rest], size[x]) >= similarity * np.maximum(size[rest], size[x]) - 1e-9)
-        if across:
-            fits &= part[rest] != part[x]
-        at = x + 1 + np.flatnonzero(fits)
-        if len(at):
-            same = blocks[at] == blocks[x]
-            at = at[near(sketch[x], sketch[at]) & (blocks[x, same.argmax(axis=1)] == block)]
-        return at
+    def candidates(t: pa.Table):
+        """The labels of a table of whole buckets, which the caller may change, and its pairs ``x, y`` by position that are to be compared by the labels of the time."""
+        keys = [t[c].to_numpy() for c in ("block", "i", "j")]
+        part, label, size = (t[c].to_numpy() for c in ("part", "label", "size"))
+        block, across, label = keys[0], keys[1] != keys[2], label.copy()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        blocks = t["blocks"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        edges = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0), [True])))
+        sizes = np.diff(edges)
+
+        def still(x, y):
+            """Which pairs are still to be compared; x: one position, or one for each of y."""
+            fits = (label[y] != label[x]) & (np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x]) - 1e-9)
+            fits &= ~across[x] | (part[y] != part[x])
+            at = np.flatnonzero(fits)
+            x, y = x if np.ndim(x) == 0 else x[at], y[at]
+            if len(at):
+                same = blocks[y] == blocks[x]
+                at = at[near(sketch[x], sketch[y]) & (blocks[x, same.argmax(axis=1)] == block[x])]
+            return at
+
+        def pairs():
+            small = sizes <= few
+            left = np.repeat(np.where(small, edges[1:], 0), sizes) - np.arange(t.num_rows) - 1  # rows of the same bucket that follow
+            for k in range(1, int(sizes[small].max(initial=1))):
+                x = np.flatnonzero(left >= k)
+                at = still(x, x + k)
+                if len(at):
+                    yield x[at], x[at] + k
+            for s, e in zip(edges[:-1][~small].tolist(), edges[1:][~small].tolist(), strict=True):
+                for x in range(s, e - 1):
+                    at = still(x, np.arange(x + 1, e))
+                    if len(at):
+                        yield x, x + 1 + at
+
+        return label, pairs()
 
     def involved(batches):
-        for t in groups_of(batches, 3):
-            if t.num_rows < 2:
-                continue
-            block, across, part, _, label, size, sketch, blocks = arrays(t)
+        for t in groups_of(batches, 3, 4096):
             hit = np.zeros(t.num_rows, bool)
-            for x in range(t.num_rows - 1):
-                at = open_pairs(x, block, across, part, label, size, sketch, blocks)
-                if len(at):
-                    hit[at] = hit[x] = True
+            for x, y in candidates(t)[1]:
+                hit[x] = hit[y] = True
             if hit.any():
                 yield from t.filter(pa.array(hit)).to_batches()
 
     def link(batches):
-        held: list[tuple] = []  # undecided pairs, of one bucket or several
+        held: list[tuple] = []  # undecided pairs, of one table or several
 
-        def joined(t, label, x, y):
+        def joined(ids, label, x, y):
             label[label == label[y]] = label[x]
-            return t["id"][x].as_py(), t["id"][y].as_py()
+            return ids[x], ids[y]
 
         def settle():
-            texts = [(t["payload"][x].as_py(), t["payload"][y].as_py()) for t, _, x, y in held]
-            links = [joined(*pair) for pair, good in zip(held, exact(texts), strict=True) if good and pair[1][pair[2]] != pair[1][pair[3]]]
+            links = [joined(ids, label, x, y) for (ids, label, x, y, _), good in zip(held, exact([h[4] for h in held]), strict=True) if good and label[x] != label[y]]
             held.clear()
             return packed(links)
 
         def packed(links):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        for t in groups_of(batches, 3):
-            block, across, part, _, label, size, sketch, blocks = arrays(t)
-            texts, links = t["payload"], []
-            for x in range(t.num_rows - 1):
-                for y in open_pairs(x, block, across, part, label, size, sketch, blocks).tolist():
-                    if label[x] != label[y]:
-                        good = quick(texts[x].as_py(), texts[y].as_py())
+        for t in groups_of(batches, 3, 4096):
+            label, pairs = candidates(t)
+            ids, texts, links = t["id"].to_pylist(), t["payload"].to_pylist(), []
+            shapes = outline(texts) if outline else None
+            for x, y in pairs:
+                if outline:
+                    may = allowed(shapes[x], shapes[y])
+                    x, y = x if np.ndim(x) == 0 else x[may], y[may]
+                for a, b in zip(np.broadcast_to(x, len(y)).tolist(), y.tolist(), strict=True):
+                    if label[a] != label[b]:
+                        good = quick(texts[a], texts[b])
                         if good:
-                            links.append(joined(t, label, x, y))
+                            links.append(joined(ids, label, a, b))
                         elif good is None:
-                            held.append((t, label, x, y))
+                            held.append((ids, label, a, b, (texts[a], texts[b])))
                 if len(held) >= 4096:
                     yield settle()
             yield packed(links)

@@ -218,6 +218,7 @@ def edit_distances(pairs: list[tuple[str, str]], most: int | np.ndarray) -> np.n
         return out
     order = order[np.argsort(-sizes[1::2][order], kind="stable")]  # those whose second text goes on come first
     m, n, first, second, limit = sizes[::2][order], sizes[1::2][order], starts[::2][order], starts[1::2][order], limit[order]
+    limits = limit
     score = m - n
     above = (limit - score) // 2
     words, count, alphabet = int(limit.max()) // 64 + 1, len(order), int(used.sum())
@@ -231,14 +232,21 @@ def edit_distances(pairs: list[tuple[str, str]], most: int | np.ndarray) -> np.n
     down = np.where(bits == 64, ~np.uint64(0), (one << np.minimum(bits, 63).astype(np.uint64)) - one)
     up = ~down
     end, bit = score + above >> 6, (score + above & 63).astype(np.uint64)
-    live, shifts = count, np.arange(64, dtype=np.uint64)
+    shifts, found, who = np.arange(64, dtype=np.uint64), score.copy(), lanes
     for j in range(int(n[0])):
-        if n[live - 1] <= j:
-            live = int(np.searchsorted(-n, -j))
-            up, down = up[:, :live], down[:, :live]
-        if not j & 63 and (score[:live] > limit[:live]).all():
-            break
-        column, k, shift = rows[:live] + at.take(second[:live] + j), j >> 6, shifts[j & 63]
+        if n[-1] <= j or not j & 31:  # pairs that ended or are beyond their limit go
+            found[who] = score
+            on = np.flatnonzero((n > j) & (score <= limit))
+            if not len(on):
+                break
+            if len(on) * int(n[0]) < 16 * (int(n[0]) - j):  # the last few take less one by one
+                for w in who[on].tolist():
+                    found[w] = edit_distance(*pairs[order[w]], int(limits[w]))
+                break
+            if n[on[-1]] > n[-1] or 8 * len(on) < 7 * len(who):
+                up, down, score, limit, n, second, rows, end, bit, who = up[:, on], down[:, on], *(v[on] for v in (score, limit, n, second, rows, end, bit, who))
+                lanes = np.arange(len(on))
+        column, k, shift = rows + at.take(second + j), j >> 6, shifts[j & 63]
         if words == 1:
             low, high = masks[k].take(column), masks[k + 1].take(column)
         else:
@@ -254,14 +262,42 @@ def edit_distances(pairs: list[tuple[str, str]], most: int | np.ndarray) -> np.n
                 over[w] |= over[w - 1] & (total[w] == 0)
         diagonal = (total ^ up) | x
         more, less = down | ~(diagonal | up), diagonal & up
-        score[:live] += ((diagonal[0] if words == 1 else diagonal[end[:live], lanes[:live]]) >> bit[:live] & one) == 0
+        score += ((diagonal[0] if words == 1 else diagonal[end, lanes]) >> bit & one) == 0
         moved = diagonal >> one
         moved[:-1] |= diagonal[1:] << last
         up, down = less | ~(moved | more), moved & more
-    out[order] = score
+    else:
+        found[who] = score
+    out[order] = found
+    return out
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each code point, by its last six bits, is in each text: a row of 64 counts for each."""
+    out, at = np.zeros((len(texts), 64), np.int32), 0
+    while at < len(texts):  # about a million letters at a time
+        end, n = at, 0
+        while end < len(texts) and (n < 1 << 20 or end == at):
+            n += len(texts[end])
+            end += 1
+        codes = np.frombuffer("".join(texts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(63)
+        owner = np.repeat(np.arange(end - at) * 64, [len(x) for x in texts[at:end]])
+        out[at:end] = np.bincount(owner + codes, minlength=64 * (end - at)).reshape(-1, 64)
+        at = end
     return out
 
 
+def letters_allow(at_least: float):
+    """For ``letter_counts`` of texts: which may have an edit similarity of ``at_least`` with the first, or each with its own. An edit takes one letter away at most, and adds one at most."""
+
+    def allow(one, many):
+        n, m = one.sum(axis=-1), many.sum(axis=1)
+        edits = (np.abs(many - one).sum(axis=1) + np.abs(m - n)) // 2
+        return 1 - edits / np.maximum(np.maximum(m, n), 1) >= at_least
+
+    return allow
+
+
 def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
     """Whether the edit similarity is ``at_least`` or more, where lengths or an alignment of words can tell."""
     longer = max(len(a), len(b))
@@ -303,6 +339,8 @@ def nearby(radius: int):
 def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     """``pairs`` with ``good``: whether the two normalised lines are similar enough. texts: ``id, line``, a stored table."""
 
+    allow = letters_allow(at_least)
+
     def judge(batches):
         def rows(ends, good):
             return pa.RecordBatch.from_arrays([*(pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)), pa.array(good, pa.bool_())], names=["a", "b", "good"])
@@ -310,8 +348,10 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
         held, texts, size = [], [], 0  # undecided pairs, of one batch or several
         for batch in batches:
             ends, good = [], []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g := quickly_similar(x, y, at_least)) is None:
+            columns = [c.to_pylist() for c in batch.columns]
+            allowed = allow(*map(letter_counts, columns[2:])).tolist()
+            for a, b, x, y, may in zip(*columns, allowed, strict=True):
+                if (g := may and quickly_similar(x, y, at_least)) is None:
                     held.append((a, b))
                     texts.append((x, y))
                     size += len(x) + len(y)
@@ -415,7 +455,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     good = stored(verified(pairs, texts_of(ends).withColumnRenamed("payload", "line"), similarity).where("good").select("a", "b"))
     groups = connected_components(good, small=1 << 18)
     points = formed.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
-    more = settled(members, groups, points, texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd)
+    more = settled(members, groups, points, texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_allow(similarity))
     if more is not None:
         groups = connected_components(good.union(more), small=1 << 18)
     grouped = stored(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))

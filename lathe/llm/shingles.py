@@ -61,8 +61,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def agreeing(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Which sketches agree with the first in half of their bytes or more; at similarity 0.8 one pair in ten billion doesn't."""
-    return 2 * np.count_nonzero(many == one, axis=1) >= len(one)
+    """Which sketches agree with the first, or each with its own, in half of their bytes or more; at similarity 0.8 one pair in ten billion doesn't."""
+    return 2 * np.count_nonzero(many == one, axis=1) >= many.shape[1]
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2, crowd: int = 4096) -> DataFrame:
