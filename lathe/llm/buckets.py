@@ -88,11 +88,11 @@ def stars(members: DataFrame) -> DataFrame:
     return stored(members.where("near").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
 
 
-def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable, quick: Callable, exact: Callable, similarity: float, crowd: int = 4096, outline: Callable | None = None, allowed: Callable | None = None, few: int = 64) -> DataFrame | None:
+def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: Callable[[DataFrame], DataFrame], near: Callable, quick: Callable, exact: Callable, similarity: float, crowd: int = 4096, outline: Callable | None = None, allowed: Callable | None = None, few: int = 64, shaped: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """Links ``a, b`` between rows of one bucket that ``groups`` leaves apart; None if there are none.
 
     groups: ``node, component`` so far. points: ``id, size, sketch, blocks``, the blocks
-    in one order for all. payload: ids -> ``id, payload``. A pair is looked at if its
+    in one order for all; ``shaped``, if given, makes these of other columns, only for the rows that are needed. payload: ids -> ``id, payload``. A pair is looked at if its
     sizes allow the similarity, ``near(sketch, sketches)`` holds, and no earlier block
     holds both (there it was looked at already). ``quick(payload, payload)`` says
     whether the rows are linked, or None; ``exact(pairs of payloads)`` decides those, some thousands at a time.
@@ -111,6 +111,7 @@ def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: C
     rows = stored(with_counted(labelled, torn, ["block"], "n"))
     ids = stored(rows.select("id").distinct())
     known = points.join(sized_broadcast(ids, F.lit(16)), "id")
+    known = shaped(known) if shaped else known
     parts = F.ceil(F.col("n") / crowd).cast("int")
     rows = rows.join(known, "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
     met = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least("part", q).alias("i"), F.greatest("part", q).alias("j")))).alias("x")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lathe.llm.buckets import members_of, settled, stars
-from lathe.llm.common import let, sized_broadcast, spare, stored, with_counted
+from lathe.llm.common import beside_few, let, sized_broadcast, spare, stored, tidy, with_counted
 from lathe.llm.components import connected_components
 
 #: A-Z is lower-cased, digits become 0, other ASCII becomes a space; beyond ASCII bytes stay.
@@ -368,6 +368,7 @@ def verified(pairs: DataFrame, texts: DataFrame, at_least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, good boolean")
 
 
+@tidy
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 5, radius: int = 14, similarity: float = 0.8, broadcast_bytes: int = 32 << 20, crowd: int = 4096) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; adds ``n_lines`` and ``n_removed``.
 
@@ -388,7 +389,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     Equal lines collapse to one before any are compared. A block's lines are linked
     to one of them; blocks whose lines are then still apart are settled pair by pair
     within a task, as ``buckets.settled`` says. Texts of documents are shuffled only
-    if the list of removals is too long to broadcast.
+    if the list of removals is too long to broadcast, and those that hold a compared
+    line first only if the list of such lines is.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     clean = docs.select(*kept)
@@ -436,9 +438,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     def texts_of(ids):
         """``id, payload``: the normalised line of each id, read from the document that holds it first."""
-        wanted = ids.join(distinct.select("id", "first"), "id")
+        wanted = distinct.select("id", "first").join(sized_broadcast(ids, F.lit(16), broadcast_bytes), "id")
         spots = stored(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.hash").alias("hash")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("at")))
-        holders = source.join(sized_broadcast(spots, 32 + 16 * F.size("at"), broadcast_bytes), source["doc"].eqNullSafe(spots["doc"]) & (source["hash"] == spots["hash"]))
+        held, few = beside_few(source, spots, 32 + 16 * F.size("at"), "hash", broadcast_bytes)
+        holders = held.join(few.withColumnsRenamed({"doc": "its_doc", "hash": "its_hash"}), F.col("doc").eqNullSafe(F.col("its_doc")) & (F.col("hash") == F.col("its_hash")))
         return stored(holders.select("at", "text").mapInArrow(fetch, "id long, payload string").dropDuplicates(["id"]))
 
     def fetch(batches):
@@ -454,17 +457,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     ends = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     good = stored(verified(pairs, texts_of(ends).withColumnRenamed("payload", "line"), similarity).where("good").select("a", "b"))
     groups = connected_components(good, small=1 << 18)
-    points = formed.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
-    more = settled(members, groups, points, texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_allow(similarity))
+    shaped = lambda points: points.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
+    more = settled(members, groups, formed.select("id", "size", "sim", "bands"), texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_allow(similarity), shaped=shaped)
     if more is not None:
         groups = connected_components(good.union(more), small=1 << 18)
-    grouped = stored(distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))
+    grouped = stored(distinct.select("id", "key", "first", "n").join(sized_broadcast(groups.withColumnRenamed("node", "id"), F.lit(24), broadcast_bytes), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))
     firsts = stored(grouped.groupBy("component").agg(F.min("first").alias("keep")))
     marks = stored(grouped.select("key", "n", "component").join(firsts, "component").select("key", "n", "keep"))
     gone = with_counted(lines.select("doc", "hash", "line", "key"), marks, ["key"], "n").where("not (doc <=> keep.doc and hash = keep.hash and line = keep.line)")
     removed = stored(gone.groupBy("doc", "hash").agg(F.collect_set("line").alias("gone")))
     their_doc, their_hash, out = spare([*kept, "doc", "hash", "gone"], "_doc", "_hash", "_gone")
-    few = sized_broadcast(removed, 32 + 4 * F.size("gone"), broadcast_bytes).select(F.col("doc").alias(their_doc), F.col("hash").alias(their_hash), F.sort_array("gone").alias(out))
+    few = sized_broadcast(removed, 32 + 4 * F.size("gone"), broadcast_bytes, wide=True).select(F.col("doc").alias(their_doc), F.col("hash").alias(their_hash), F.sort_array("gone").alias(out))
     marked = clean.join(few, F.col(doc_id).eqNullSafe(F.col(their_doc)) & (F.xxhash64(F.col(text)) == F.col(their_hash)), "left")
     parts = F.split(F.col(text), "\n", -1)
     between = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(out, lambda x: x + 1)).alias("s"), F.concat(F.col(out), F.array(F.size(parts))).alias("e"))
