@@ -96,9 +96,10 @@ def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: C
     sizes allow the similarity, ``near(sketch, sketches)`` holds, and no earlier block
     holds both (there it was looked at already). ``quick(payload, payload)`` says
     whether the rows are linked, or None; ``exact(pairs of payloads)`` decides those, some thousands at a time.
-    ``allowed(outline, outlines)``, if given, rules pairs out before that by arrays that ``outline(payloads)`` makes,
-    a row for each payload. Rows that became linked aren't compared any more. Buckets of up to ``few`` rows are
-    looked through together, larger ones row by row.
+    ``allowed(outline, outlines)``, if given, says how similar pairs can be at most, by arrays that ``outline(payloads)`` makes,
+    a row for each payload: less than ``similarity`` rules a pair out before that, and ``quick`` is tried only where at least
+    half of what may be missing is left, else ``exact`` decides at once. Rows that became linked aren't compared any more.
+    Buckets of up to ``few`` rows are looked through together, larger ones row by row.
 
     A bucket of more than ``crowd`` rows is cut into parts by hash, and every two
     parts meet in a group of their own, so its work is spread and no pair is lost.
@@ -186,12 +187,14 @@ def settled(members: DataFrame, groups: DataFrame, points: DataFrame, payload: C
             ids, texts, links = t["id"].to_pylist(), t["payload"].to_pylist(), []
             shapes = outline(texts) if outline else None
             for x, y in pairs:
+                hope = np.ones(len(y), bool)
                 if outline:
-                    may = allowed(shapes[x], shapes[y])
-                    x, y = x if np.ndim(x) == 0 else x[may], y[may]
-                for a, b in zip(np.broadcast_to(x, len(y)).tolist(), y.tolist(), strict=True):
+                    most = allowed(shapes[x], shapes[y])
+                    may = most >= similarity
+                    x, y, hope = x if np.ndim(x) == 0 else x[may], y[may], most[may] >= (1 + similarity) / 2
+                for a, b, close in zip(np.broadcast_to(x, len(y)).tolist(), y.tolist(), hope.tolist(), strict=True):
                     if label[a] != label[b]:
-                        good = quick(texts[a], texts[b])
+                        good = quick(texts[a], texts[b]) if close else None
                         if good:
                             links.append(joined(ids, label, a, b))
                         elif good is None:

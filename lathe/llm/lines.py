@@ -25,6 +25,7 @@ def normal_words(line: str | bytes) -> list[bytes]:
 LANES = np.array([sum((d >> b & 1) << 8 * b for b in range(8)) for d in range(256)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
 SPAN = 240  # words summed in one lane stay below 256
+TABLES = 32 << 20  # bytes of letters' positions, for pairs side by side
 
 
 FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the bytes of a little-endian word the first k
@@ -287,15 +288,16 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def letters_allow(at_least: float):
-    """For ``letter_counts`` of texts: which may have an edit similarity of ``at_least`` with the first, or each with its own. An edit takes one letter away at most, and adds one at most."""
+def letters_bound(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For ``letter_counts`` of texts: the most edit similarity that each can have with the first, or each with its own. An edit takes one letter away at most, and adds one at most."""
+    n, m = one.sum(axis=-1), many.sum(axis=1)
+    edits = (np.abs(many - one).sum(axis=1) + np.abs(m - n)) // 2
+    return 1 - edits / np.maximum(np.maximum(m, n), 1)
 
-    def allow(one, many):
-        n, m = one.sum(axis=-1), many.sum(axis=1)
-        edits = (np.abs(many - one).sum(axis=1) + np.abs(m - n)) // 2
-        return 1 - edits / np.maximum(np.maximum(m, n), 1) >= at_least
 
-    return allow
+def letters_allow(at_least: float):
+    """For ``letter_counts`` of texts: which may have an edit similarity of ``at_least`` with the first, or each with its own."""
+    return lambda one, many: letters_bound(one, many) >= at_least
 
 
 def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
@@ -307,18 +309,55 @@ def quickly_similar(a: str, b: str, at_least: float) -> bool | None:
     return True if alignment_cost(a.split(" "), b.split(" "), most) <= most else None
 
 
-def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 40, side: int = 1024) -> list[bool]:
+def shared_start(a: str, b: str) -> int:
+    """How many letters two texts begin with alike; whole slices are compared, twice as long each time and then half."""
+    n, at, step = min(len(a), len(b)), 0, 16
+    while at < n and a[at : at + step] == b[at : at + step]:
+        at, step = at + step, 2 * step
+    while at < n and step:
+        if a[at : at + step] == b[at : at + step] and at + step <= n:
+            at += step
+        step //= 2
+    return min(at, n)
+
+
+def apart(a: str, b: str) -> tuple[str, str]:
+    """Two texts without their common ends, which leaves their edit distance as it is."""
+    i = shared_start(a, b)
+    a, b = a[i:], b[i:]
+    j = shared_start(a[::-1], b[::-1])
+    return a[: len(a) - j], b[: len(b) - j]
+
+
+def letters_of(texts: list[str]) -> int:
+    """How many different code points the texts hold."""
+    used, at = np.zeros(0x110000, bool), 0
+    while at < len(texts):  # about a million letters at a time
+        end, n = at, 0
+        while end < len(texts) and (n < 1 << 20 or end == at):
+            n += len(texts[end])
+            end += 1
+        used[np.frombuffer("".join(texts[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+        at = end
+    return int(used.sum())
+
+
+def exactly_similar(pairs: list[tuple[str, str]], at_least: float, least: int = 40, side: int = 2048) -> list[bool]:
     """The same for many pairs, by edit distance: up to ``side`` of like size side by side; one by one where too few, ``least`` or so, are together."""
     longer = [max(len(a), len(b), 1) for a, b in pairs]
     most = [int((1 - at_least) * n) + 1 for n in longer]
+    pairs = [apart(a, b) for a, b in pairs]
     out = [False] * len(pairs)
     order = sorted(range(len(pairs)), key=longer.__getitem__)
+    alphabet = letters_of([x for p in pairs for x in p])
     at = 0
     while at < len(order):
         widest, letters, end = 2 * max(longer[order[at]], 32), set(), at
         while end < len(order) and end - at < side and longer[order[end]] <= widest:  # up to about twice the size
-            wide = letters.union(*pairs[order[end]])
-            if end > at and 8 * len(wide) * (3 + longer[order[end]] * 3 // 128) * (end - at + 1) > 32 << 20:  # bounded tables
+            table = 8 * (3 + longer[order[end]] * 3 // 128) * (end - at + 1)
+            fresh = order[end if letters else at : end + 1]
+            wide = letters if table * alphabet <= TABLES else letters.union(*(x for i in fresh for x in pairs[i]))
+            if end > at and table * len(wide) > TABLES:
                 break
             letters, end = wide, end + 1
         part, at = order[at:end], end
@@ -458,7 +497,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     good = stored(verified(pairs, texts_of(ends).withColumnRenamed("payload", "line"), similarity).where("good").select("a", "b"))
     groups = connected_components(good, small=1 << 18)
     shaped = lambda points: points.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
-    more = settled(members, groups, formed.select("id", "size", "sim", "bands"), texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_allow(similarity), shaped=shaped)
+    more = settled(members, groups, formed.select("id", "size", "sim", "bands"), texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_bound, shaped=shaped)
     if more is not None:
         groups = connected_components(good.union(more), small=1 << 18)
     grouped = stored(distinct.select("id", "key", "first", "n").join(sized_broadcast(groups.withColumnRenamed("node", "id"), F.lit(24), broadcast_bytes), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))
