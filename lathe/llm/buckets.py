@@ -40,47 +40,100 @@ def groups_of(batches, keys: int, least: int = 1) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def members_of(rows: DataFrame, radius: int | None = None) -> DataFrame:
-    """``block, id, head, near`` for every row of a bucket of two or more, stored; ``head`` is one of the bucket's ids, the first that is read.
+CELLS = 8  # of blocks, for each partition
 
-    rows: ``block, id`` (``sim``: a 64-bit print). ``near`` says whether a row is
-    within ``radius`` bits of its head; without prints every row is, but the head
-    itself. Buckets are read from partitions sorted by the block alone, which takes a
-    radix sort, and none is held, so a crowded one costs time, not memory. Which id
+
+def packed(rows: DataFrame, cells: int, width: int, most: int = 1 << 19) -> DataFrame:
+    """``cell, rows``: ``id, blocks`` (and ``sim``) with one entry for each block, as long integers side by side; about ``most`` entries of a task are dealt to cells by block at a time."""
+
+    def dealt(held):
+        entries = np.concatenate(held)
+        cell = (entries[:, 0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(cells)
+        cell = cell.astype(np.uint16 if cells <= 1 << 16 else np.int64)  # short ones take a radix sort
+        order = np.argsort(cell, kind="stable")
+        cell, data = cell[order], entries[order]
+        starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        offsets = np.append(starts, len(data)).astype(np.int32) * np.int32(8 * width)
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(cell[starts].astype(np.int64)), found], names=["cell", "rows"])
+
+    def pack(batches):
+        held, n = [], 0
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            entries = np.empty((int(sizes.sum()), width), np.int64)
+            entries[:, 0] = batch.column(1).flatten().to_numpy()
+            for i, c in ((1, 0), (2, 2))[: width - 1]:
+                entries[:, i] = np.repeat(batch.column(c).to_numpy(), sizes)
+            held.append(entries)
+            n += len(entries)
+            if n >= most:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    return rows.select("id", "blocks", *(["sim"] if width == 3 else [])).mapInArrow(pack, "cell long, rows binary")
+
+
+def members_of(rows: DataFrame, radius: int | None = None, most: int = 1 << 20) -> DataFrame:
+    """``block, id, head, near`` for every row of a bucket of two or more, stored; ``head`` is one of the bucket's ids, the least of the first that are read.
+
+    rows: ``id`` and either its ``blocks``, an array, or one ``block`` (``sim``: a 64-bit
+    print). ``near`` says whether a row is within ``radius`` bits of its head; without
+    prints every row is, but the head itself. Entries are shuffled in packs, a few rows for each task and cell of
+    blocks. A task reads about ``most`` entries at a time and keeps one for each block that it met, of which
+    partitions hold about four million, so a crowded bucket costs time, not memory. Which id
     is the head decides what is compared first, not what is linked in the end.
     """
-    columns = ["block", "id", *([] if radius is None else ["sim"])]
+    width = 2 if radius is None else 3
+    rows = rows if "blocks" in rows.columns else rows.withColumn("blocks", F.array("block"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    enough = -(-(rows.agg(F.sum(F.size("blocks").cast("long"))).first()[0] or 0) >> 22)
 
     def stream(batches):
-        block = head = sim = None
-        alone = False  # only the head of the last bucket was seen
+        seen = np.empty((0, 4), np.int64)  # block, head, the head's print, whether the head has not been written yet
+
+        def found(held):
+            nonlocal seen
+            entries = np.concatenate(held)
+            entries = entries[np.argsort(entries[:, 0])]
+            blocks, ids, prints = entries[:, 0], entries[:, 1], entries[:, width - 1]
+            starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1])))
+            sizes = np.diff(np.append(starts, len(blocks)))
+            at = np.minimum(np.searchsorted(seen[:, 0], blocks[starts]), max(len(seen) - 1, 0))
+            old = seen[at, 0] == blocks[starts] if len(seen) else np.zeros(len(starts), bool)
+            heads, group = np.minimum.reduceat(ids, starts), np.repeat(np.arange(len(starts)), sizes)
+            spot = np.flatnonzero(ids == heads[group])
+            spot = spot[np.concatenate(([True], group[spot[1:]] != group[spot[:-1]]))]  # where each least id stands first
+            rest = np.ones(len(ids), bool)
+            rest[spot[~old]] = False
+            own = prints[spot]
+            heads[old], own[old] = seen[at[old], 1], seen[at[old], 2]
+            second = np.where(old, seen[at, 3] if len(seen) else 0, sizes > 1) > 0  # their heads are written now
+            rest, group = np.flatnonzero(rest), group[rest]
+            near = np.ones(len(rest), bool) if radius is None else np.bitwise_count((prints[rest] ^ own[group]).view(np.uint64)) <= radius
+            seen[at[old], 3] = 0
+            new = np.stack((blocks[starts], heads, own, sizes == 1), axis=1)[~old]
+            seen = np.concatenate((seen, new))
+            seen = seen[np.argsort(seen[:, 0])]
+            columns = (np.concatenate(x) for x in ((blocks[rest], blocks[starts][second]), (ids[rest], heads[second]), (heads[group], heads[second]), (near, np.zeros(int(second.sum()), bool))))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "id", "head", "near"])
+
+        held, n = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            order = np.lexsort((columns[1], columns[0]))
-            blocks, ids, *prints = (c[order] for c in columns)
-            first = np.concatenate(([blocks[0] != block], blocks[1:] != blocks[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
-            heads = np.where(at < 0, head if head is not None else 0, ids[at])
-            near = np.ones(n, bool)
-            if prints:
-                own = prints[0].view(np.uint64)
-                other = np.where(at < 0, np.uint64(sim if sim is not None else 0), own[at])
-                near = np.bitwise_count(own ^ other) <= radius
-            second = np.concatenate(([alone], first[:-1])) & ~first  # its head has not been written yet
-            keep = np.flatnonzero(~first)
-            out_ids = np.concatenate((ids[keep], heads[second]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((blocks[keep], blocks[second]))), pa.array(out_ids), pa.array(np.concatenate((heads[keep], heads[second]))), pa.array(np.concatenate((near[keep], np.zeros(int(second.sum()), bool))))],
-                names=["block", "id", "head", "near"],
-            )
-            block, head, alone = blocks[-1], heads[-1], bool(first[-1])
-            if prints:
-                sim = other[-1]
-
-    return stored(rows.select(*columns).repartition("block").sortWithinPartitions("block").mapInArrow(stream, "block long, id long, head long, near boolean"))
+            for x in batch.column(1):
+                held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width))
+                n += len(held[-1])
+                if n >= most:
+                    yield found(held)
+                    held, n = [], 0
+        if n:
+            yield found(held)
+
+    packs = packed(rows, CELLS * max(parts, enough), width)
+    packs = packs.repartition(enough, "cell") if enough > parts else packs.repartition("cell")
+    return stored(packs.mapInArrow(stream, "block long, id long, head long, near boolean"))
 
 
 def stars(members: DataFrame) -> DataFrame:

@@ -21,6 +21,30 @@ def normal_words(line: str | bytes) -> list[bytes]:
     return (line.encode("utf-8", "surrogatepass") if isinstance(line, str) else line).translate(NORMAL).split()
 
 
+WORDS = NORMAL[:10] + b"\n" + NORMAL[11:]
+
+
+def normal_lines(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The normalised lines of all texts, without those that hold no word; of each its text, its number there, its words and its code points."""
+    blob = (b"\n".join(texts) + b"\n").translate(WORDS)
+    codes = np.frombuffer(blob, np.uint8)
+    inside = np.concatenate(([False], codes > 32))
+    ends, breaks = np.flatnonzero(inside[:-1] & ~inside[1:]), np.flatnonzero(codes == 10)
+    line_ends = np.searchsorted(breaks, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1  # the lines up to the end of each text
+    line_starts = np.concatenate(([0], line_ends[:-1]))
+    of = np.repeat(np.arange(len(texts)), line_ends - line_starts)
+    up_to = np.searchsorted(ends, breaks, "right")  # the words up to the end of each line
+    words = np.diff(up_to, prepend=0)
+    held = np.flatnonzero(words)
+    codes = codes[inside[1:] | inside[:-1]]  # each word and one letter after it
+    stops = np.flatnonzero(codes <= 32)
+    codes[stops] = 32
+    stops = stops[up_to[held] - 1]
+    codes[stops] = 10
+    points = stops - np.searchsorted(np.flatnonzero(codes.view(np.int8) < -64), stops)  # less bytes that continue a code point
+    return codes.tobytes().split(b"\n")[:-1], of[held], held - line_starts[of[held]], words[held], np.diff(points, prepend=-1) - 1
+
+
 # The eight bits of a byte, each in an 8-bit lane of its own.
 LANES = np.array([sum((d >> b & 1) << 8 * b for b in range(8)) for d in range(256)], np.uint64)
 BASE = 0x9E3779B97F4A7C15
@@ -36,10 +60,10 @@ def word_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(text <= 32)
     starts = np.concatenate(([0], ends[:-1] + 1))
     sizes = ends - starts
-    eight = np.lib.stride_tricks.as_strided(np.concatenate((text, np.zeros(8, np.uint8))).view(np.uint8), (len(text) + 1, 8), (1, 1))
+    eight = np.ndarray(len(text) + 1, "<u8", np.concatenate((text, np.zeros(8, np.uint8))).data, 0, 1)
 
     def mixed(h, at, left):
-        h = (h ^ (eight[at].view("<u8").ravel() & FIRST[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (eight[at] & FIRST[np.minimum(left, 8)])) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ h >> np.uint64(32)
 
     h, done = mixed((sizes + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), starts, sizes), 8
@@ -62,6 +86,7 @@ def hashed_form(line: bytes, min_words: int, min_chars: int = 20) -> bytes | Non
 
 
 BANDS, ROWS = 8, 3
+BAND_PAIRS = [f"bands_{i}" for i in range(0, BANDS, 2)]  # columns of two bands each, of 32 bits, the first one low
 _rng = np.random.default_rng(5)
 MULTIPLY, ADD = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1), _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
@@ -69,8 +94,10 @@ MULTIPLY, ADD = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2
 def minhash_bands(pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of ``BANDS`` keys for each line: hashes of ``ROWS`` minima each over the line's pairs of neighbours."""
     high, out = (pairs >> np.uint64(32)).astype(np.uint32), np.zeros((len(starts), BANDS), np.uint64)
+    mixed = np.empty_like(high)
     for i, (m, a) in enumerate(zip(MULTIPLY, ADD, strict=True)):
-        least = np.minimum.reduceat(high * m + a, starts).astype(np.uint64)
+        np.add(np.multiply(high, m, out=mixed), a, out=mixed)
+        least = np.minimum.reduceat(mixed, starts).astype(np.uint64)
         out[:, i // ROWS] = (out[:, i // ROWS] * np.uint64(BASE) ^ least) * np.uint64(0xD6E8FEB86659FD93)
     return (out >> np.uint64(32)).astype(np.uint32)
 
@@ -82,9 +109,9 @@ def simhashes(lines: list[bytes], bands: np.ndarray | None = None) -> np.ndarray
     """
     out = np.zeros(len(lines), np.uint64)
     at = 0
-    while at < len(lines):  # about half a megabyte at a time, so memory stays bounded
+    while at < len(lines):  # so much at a time that its lanes, about eleven times that, stay in a core's cache
         end, n = at, 0
-        while end < len(lines) and (n < 1 << 19 or end == at):
+        while end < len(lines) and (n < 1 << 17 or end == at):
             n += len(lines[end])
             end += 1
         values, sizes = word_hashes(np.frombuffer(b"\n".join(lines[at:end]) + b"\n", np.uint8))
@@ -96,7 +123,7 @@ def simhashes(lines: list[bytes], bands: np.ndarray | None = None) -> np.ndarray
             after[stops - 1] = 0
             pairs = (values * np.uint64(BASE) ^ (after << np.uint64(31) | after >> np.uint64(33))) * np.uint64(0xD6E8FEB86659FD93)
             bands[at:end] = minhash_bands(pairs ^ pairs >> np.uint64(32), starts)
-        lanes = LANES[values.view(np.uint8)]
+        lanes = LANES.take(values.view(np.uint8))
         spans = -(-sizes // SPAN)
         first = np.cumsum(spans) - spans
         cuts = np.repeat(starts, spans) + SPAN * (np.arange(spans.sum()) - np.repeat(first, spans))
@@ -436,44 +463,42 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     source = clean.select(F.col(doc_id).alias("doc"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text")).where("text is not null and text <> ''")
 
     def cut(batches):
-        def packed(batch, rows, numbers, norms):
+        def packed(batch, at, texts):
+            norms, rows, numbers, words, sizes = normal_lines(texts)
             keys = [xxhash.xxh3_128_digest(x) for x in norms]
             first: dict[bytes, int] = {}
             for n, key in enumerate(keys):
                 first.setdefault(key, n)
-            forms = {k: form for k, n in first.items() if (form := hashed_form(norms[n], min_words))}
+            enough = (words >= min_words).tolist()
+            forms = {k: form for k, n in first.items() if (form := norms[n] if enough[n] else hashed_form(norms[n], min_words))}
             bands = np.zeros((len(forms), BANDS), np.uint32)
             sims = pa.array(simhashes(list(forms.values()), bands).view(np.int64))
             number = {k: i for i, k in enumerate(forms)}
-            at, which = pa.array(rows, pa.int64()), pa.array([number.get(k) for k in keys], pa.int64())
-            listed = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int32).ravel()), BANDS).cast(pa.list_(pa.int32()))
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), sims.take(which), listed.take(which), pa.array([len(x.decode("utf-8", "surrogatepass")) for x in norms], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", "bands", "size"])
+            at, which = pa.array(rows + at, pa.int64()), pa.array([number.get(k) for k in keys], pa.int64())
+            two = bands.view(np.int64)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary()), sims.take(which), *(pa.array(two[:, i]).take(which) for i in range(BANDS // 2)), pa.array(sizes, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "line", "key", "sim", *BAND_PAIRS, "size"])
 
         for batch in batches:
-            rows, numbers, norms, n = [], [], [], 0
+            texts, at, n = [], 0, 0
             for i, t in enumerate(batch.column(2).cast(pa.binary())):
-                for k, line in enumerate(t.as_py().split(b"\n")):
-                    words = normal_words(line)
-                    if words:
-                        rows.append(i)
-                        numbers.append(k)
-                        norms.append(b" ".join(words))
-                        n += len(words)
-                if n > 1 << 17:  # words of a few hundred documents at a time
-                    yield packed(batch, rows, numbers, norms)
-                    rows, numbers, norms, n = [], [], [], 0
-            yield packed(batch, rows, numbers, norms)
-
-    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), ("sim", T.LongType()), ("bands", T.ArrayType(T.IntegerType())), ("size", T.LongType())]
+                texts.append(t.as_py())
+                n += len(texts[-1])
+                if n > 1 << 19:  # about half a megabyte at a time
+                    yield packed(batch, at, texts)
+                    texts, at, n = [], i + 1, 0
+            if texts:
+                yield packed(batch, at, texts)
+
+    fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), *((x, T.LongType()) for x in ("sim", *BAND_PAIRS, "size"))]
     lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])))
     place = F.struct("doc", "hash", "line")
-    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", "bands", "size")), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *BAND_PAIRS, "size")), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
 
     formed = distinct.where("sim is not null")
-    block = lambda key, number: F.shiftleft(key.cast("long"), 5).bitwiseOR(number.cast("long"))
-    keys = formed.select("id", "sim", F.posexplode("bands").alias("number", "key")).select(block(F.col("key"), F.col("number")).alias("block"), "id", "sim")
-    members = members_of(keys, radius)
+    halves = [half for x in BAND_PAIRS for half in (F.shiftright(F.shiftleft(x, 32), 32), F.shiftright(x, 32))]
+    blocks = F.array(*(F.shiftleft(half, 5).bitwiseOR(F.lit(i).cast("long")) for i, half in enumerate(halves)))
+    members = members_of(formed.select("id", "sim", blocks.alias("blocks")), radius)
 
     def texts_of(ids):
         """``id, payload``: the normalised line of each id, read from the document that holds it first."""
@@ -486,8 +511,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     def fetch(batches):
         for batch in batches:
             ids, texts = [], []
-            for at, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                parts = t.as_py().split("\n")
+            for at, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                parts = t.as_py().split(b"\n")
                 ids += [x["id"] for x in at]
                 texts += [b" ".join(normal_words(parts[x["line"]])).decode("utf-8", "surrogatepass") for x in at]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "payload"])
@@ -496,8 +521,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     ends = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     good = stored(verified(pairs, texts_of(ends).withColumnRenamed("payload", "line"), similarity).where("good").select("a", "b"))
     groups = connected_components(good, small=1 << 18)
-    shaped = lambda points: points.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), F.transform("bands", block).alias("blocks"))
-    more = settled(members, groups, formed.select("id", "size", "sim", "bands"), texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_bound, shaped=shaped)
+    shaped = lambda points: points.select("id", "size", F.unhex(F.lpad(F.hex("sim"), 16, "0")).alias("sketch"), blocks.alias("blocks"))
+    more = settled(members, groups, formed.select("id", "size", "sim", *BAND_PAIRS), texts_of, nearby(radius), lambda x, y: quickly_similar(x, y, similarity), lambda pairs: exactly_similar(pairs, similarity), similarity, crowd, letter_counts, letters_bound, shaped=shaped)
     if more is not None:
         groups = connected_components(good.union(more), small=1 << 18)
     grouped = stored(distinct.select("id", "key", "first", "n").join(sized_broadcast(groups.withColumnRenamed("node", "id"), F.lit(24), broadcast_bytes), "id", "left").where("n > 1 or component is not null").select("key", "first", "n", F.coalesce("component", "id").alias("component")))

@@ -99,7 +99,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 
     rows = stored(source.mapInArrow(sign, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(*f) for f in fields)])))
     distinct = stored(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("sketch").alias("sketch"), F.first("fingerprint").alias("fingerprint")).withColumn("id", F.monotonically_increasing_id()))
-    members = members_of(distinct.select(F.explode("blocks").alias("block"), "id"))
+    members = members_of(distinct.select("id", "blocks"))
     pairs = stars(members)
     prints = stored(distinct.where(F.size("blocks") > 0).groupBy("fingerprint").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")))
     shared = with_counted(distinct.where(F.size("blocks") > 0).select("fingerprint", "id"), prints.where("n > 1"), ["fingerprint"], "n").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))

@@ -120,3 +120,18 @@ def test_long_lines_are_compared_along_their_diagonals(monkeypatch):
         limits = [rng.choice([0, 5, 63, 64, d, max(d - 1, 0), k // 5]) for d, k in zip(true, sizes, strict=True)]
         for found in (plain(pairs, np.array(limits)).tolist(), [lines.edit_distance(*p, most) for p, most in zip(pairs, limits, strict=True)]):
             assert [d if d <= most else None for d, most in zip(found, limits, strict=True)] == [d if d <= most else None for d, most in zip(true, limits, strict=True)]
+
+
+def test_lines_of_many_texts_are_normalised_together():
+    rng = random.Random(8)
+    texts = [b"\n", b" ", b"a\n\n b, c\n", b"\n..\n7\r\n", "é 漢字\ud800\nX".encode("utf-8", "surrogatepass"), *("".join(rng.choice("aB \n.\té漢\U0001f6007") for _ in range(rng.randint(1, 60))).encode() for _ in range(2000))]
+
+    def one_by_one(texts):
+        for i, t in enumerate(texts):
+            for k, line in enumerate(t.split(b"\n")):
+                if words := lines.normal_words(line):
+                    yield b" ".join(words), i, k, len(words), len(b" ".join(words).decode("utf-8", "surrogatepass"))
+
+    for some in (texts, *([t] for t in texts[:50])):
+        norms, *rest = lines.normal_lines(some)
+        assert [*zip(norms, *(x.tolist() for x in rest), strict=True)] == [*one_by_one(some)]

@@ -85,3 +85,26 @@ def test_small_groups_come_together():
         parts = [pa.RecordBatch.from_pylist([dict(zip("ab", r, strict=True)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
         assert [t.num_rows for t in buckets.groups_of(parts, 1, 6)] == [6, 10, 3]
         assert [t.num_rows for t in buckets.groups_of(parts, 1, 99)] == [19]
+
+
+def test_members_are_found_whatever_is_read_at_a_time(spark):
+    # before, each block of a row was a row of the shuffle
+    rng = random.Random(4)
+    rows = [(i, [rng.choice((-5, 7)), *{rng.randrange(-150, 150) for _ in range(rng.randint(0, 5))} - {-5, 7}], rng.getrandbits(64) - (1 << 63) if i % 3 else -1 - rng.getrandbits(2)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, blocks array<long>, sim long").repartition(5)
+    where = {}
+    for i, blocks, sim in rows:
+        for b in blocks:
+            where.setdefault(b, {})[i] = sim
+    many = {b: ids for b, ids in where.items() if len(ids) > 1}
+    assert len(many) < len(where)
+    for radius in (20, None):
+        for most in (1, 40, 1 << 20):
+            got = [tuple(r) for r in buckets.members_of(df, radius, most).collect()]
+            heads = {b: h for b, _, h, _ in got}
+            assert all(heads[b] == h for b, _, h, _ in got)
+            assert sorted((b, i) for b, i, _, _ in got) == sorted((b, i) for b, ids in many.items() for i in ids)
+            assert all(near == (i != h and (radius is None or ((many[b][i] ^ many[b][h]) & (1 << 64) - 1).bit_count() <= radius)) for b, i, h, near in got)
+            assert most == 1 or most == 40 or all(h == min(many[b]) for b, h in heads.items())
+    packs = [len(r["rows"]) for r in buckets.packed(df, 4, 3).collect()]
+    assert sum(packs) == 24 * sum(len(b) for _, b, _ in rows) and len(packs) <= 5 * 4
