@@ -166,7 +166,7 @@ def edit_similarity(a: str, b: str) -> float:
 
 
 def alignment_cost(a: list[str], b: list[str], most: float) -> float:
-    """An upper bound of the edit distance of two lines, from aligning their words with up to three words' look-ahead; stops beyond ``most``."""
+    """An upper bound of the edit distance of two lines, from aligning their words with up to six words' look-ahead, else word by word; stops beyond ``most``."""
     i = j = cost = 0
     n, m = len(a), len(b)
     span = lambda xs: sum(map(len, xs)) + len(xs)
@@ -174,7 +174,7 @@ def alignment_cost(a: list[str], b: list[str], most: float) -> float:
         if a[i] == b[j]:
             i, j = i + 1, j + 1
             continue
-        for k in (1, 2, 3):
+        for k in (1, 2, 3, 4, 5, 6):
             if i + k < n and j + k < m and a[i + k] == b[j + k]:
                 cost += max(span(a[i : i + k]), span(b[j : j + k]))
                 i, j = i + k, j + k
@@ -188,7 +188,8 @@ def alignment_cost(a: list[str], b: list[str], most: float) -> float:
                 i += k
                 break
         else:
-            break
+            cost += max(len(a[i]), len(b[j])) + 1
+            i, j = i + 1, j + 1
     return cost + max(span(a[i:]), span(b[j:])) if cost <= most else cost
 
 
@@ -491,9 +492,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 yield packed(batch, at, texts)
 
     fields = [("hash", T.LongType()), ("line", T.IntegerType()), ("key", T.BinaryType()), *((x, T.LongType()) for x in ("sim", *BAND_PAIRS, "size"))]
-    lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])))
+    lines = stored(source.mapInArrow(cut, T.StructType([T.StructField("doc", source.schema["doc"].dataType), *(T.StructField(*f) for f in fields)])), distinct=True)
     place = F.struct("doc", "hash", "line")
-    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *BAND_PAIRS, "size")), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    distinct = stored(lines.groupBy("key").agg(F.min(place).alias("first"), *(F.first(x).alias(x) for x in ("sim", *BAND_PAIRS, "size")), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), distinct=True)
 
     formed = distinct.where("sim is not null")
     halves = [half for x in BAND_PAIRS for half in (F.shiftright(F.shiftleft(x, 32), 32), F.shiftright(x, 32))]

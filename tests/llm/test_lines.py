@@ -135,3 +135,17 @@ def test_lines_of_many_texts_are_normalised_together():
     for some in (texts, *([t] for t in texts[:50])):
         norms, *rest = lines.normal_lines(some)
         assert [*zip(norms, *(x.tolist() for x in rest), strict=True)] == [*one_by_one(some)]
+
+
+def test_alignment_goes_on_after_a_longer_passage():
+    # before, seven changed words in a row ended the alignment, and edit distance decided
+    rng = random.Random(2)
+    line = [rng.choice(WORDS) for _ in range(80)]
+    other = [*line[:20], *(rng.choice(WORDS) for _ in range(7)), *line[27:]]
+    assert lines.quickly_similar(" ".join(line), " ".join(other), 0.8) is True
+    for _ in range(300):
+        a = [rng.choice(WORDS[:12]) for _ in range(rng.randint(1, 20))]
+        b = [w if rng.random() < 0.7 else rng.choice(WORDS[:12]) for w in a if rng.random() < 0.9] + [rng.choice(WORDS)] * rng.randint(0, 3)
+        x, y = " ".join(a), " ".join(b)
+        bound = lines.alignment_cost(x.split(" "), y.split(" "), 1e9)
+        assert bound >= lines.edit_distance(x, y, 1000)
